@@ -43,12 +43,12 @@ class EntropyRules:
     )
     #: A candidate that one of these matches whole is no secret: words joined by marks, one case only, paths, numbers.
     allow: tuple[str, ...] = (
-        r"[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*[-_/=+]*",
-        r"[A-Z]+(?:[-_/=+][A-Z]+)*[-_/=+]*",
+        r"[-_/=+]*(?:[A-Za-z][a-z]*[-_/=+]+)*(?:[A-Za-z][a-z]*)?",
+        r"[-_/=+]*(?:[A-Z]+[-_/=+]+)*(?:[A-Z]+)?",
         r"[0-9]+(?:[-_/=+][0-9]+)*",
         r"[-+/_=]+",
         r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}",
-        r"(?:/?[A-Za-z]*[a-z]+[0-9]{0,4}){1,}/?",
+        r"[A-Za-z]{0,40}(?:/[A-Za-z]{0,40}[0-9]{0,4})+/?",
     )
 
 
