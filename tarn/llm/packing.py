@@ -173,7 +173,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int):
         yield config, times
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 96, small_share: float = 0.125) -> tuple[list[Run], int]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 1024, small_share: float = 0.125) -> tuple[list[Run], int]:
     """Runs that place ``counts[n]`` pieces of each length n, and the number of sequences."""
     small = int(capacity * small_share)
     used = np.zeros(len(counts), np.int64)  # ranks given so far, by length
@@ -255,14 +255,19 @@ def _ranked(found: DataFrame, slices: int) -> DataFrame:
     )
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 96) -> DataFrame:
+def best_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 1024) -> list[Run]:
+    """The plan with the fewest sequences among a few limits of what counts as small."""
+    return min((plan(counts, capacity, groups, s) for s in (0.03, 0.06, 0.09, 0.125, 0.15)), key=lambda x: x[1])[0]
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     spark = found.sparkSession
     found = saved(found)
     counts = np.zeros(capacity + 1, np.int64)
     for r in found.groupBy("length").count().collect():  # capacity rows at most
         counts[r["length"]] = r["count"]
-    runs, _ = plan(counts, capacity, groups)
+    runs = best_plan(counts, capacity, groups)
     runs.sort(key=lambda r: (r.length, r.rank))
     cols = [np.array([getattr(r, n) for r in runs], np.int64) for n in ("length", "rank", "sequence", "offset")]
     shared = spark.sparkContext.broadcast(cols)  # its size depends on capacity and groups alone
