@@ -141,6 +141,21 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
     ).drop("__of", "__host")
 
 
+def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Texts are measured twice, first for the hosts' verdicts and then for their own, and never shuffled for a host table
+    that Spark can broadcast.
+    """
+    slim = docs.select(F.col(host_col).alias("__of"), F.col(text_col).alias("__body"))
+    hosts = saved(host_verdicts(with_failures(document_measures(slim, "__body", ("__of",)), rules), "__of", rules).select("__host", "host_bad"))
+    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host_col).alias("__of"), F.col(text_col).alias("__body"))
+    judged = with_failures(document_measures(row, "__body", ("__row", "__of")), rules)
+    met = judged.join(hosts, judged["__of"].eqNullSafe(hosts["__host"]), "left")
+    gone = F.col("base_failed") | (F.col("rule_failed") & F.coalesce(F.col("host_bad"), F.lit(False)))
+    return met.where(~gone).select("__row.*")
+
+
 def op9_quality_rules(spark, sf_dir):
     """The measures and verdicts of every whole text of documents, by source."""
     return judge(table(spark, sf_dir, "documents")).select(

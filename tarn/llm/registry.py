@@ -16,7 +16,9 @@ def _gather(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _gather("QUERIES")
+    import corpus_pipeline
+
+    return _gather("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

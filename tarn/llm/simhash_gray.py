@@ -14,6 +14,7 @@ components are joined by alternating star contractions on tables, with the linea
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
@@ -135,29 +136,60 @@ def _forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def _spread(fp: DataFrame, d: int, group_rows: int) -> DataFrame:
-    """(key, fp): each fingerprint in every group where a partner within ``d`` bits must meet it.
+def _masks(bits: int, d: int) -> list[int]:
+    """Masks (as signed longs) of every choice of blocks of ``bits`` bits that two words within ``d`` bits may agree on."""
+    blocks = 64 // bits
+    out = []
+    for chosen in combinations(range(blocks), blocks - d):
+        m = reduce(lambda x, c: x | (((1 << bits) - 1) << (c * bits)), chosen, 0)
+        out.append(m - (1 << 64) if m >= 1 << 63 else m)
+    return out
 
-    A group beyond ``group_rows`` is dealt again by the 64 bits cut at other places; after the last cut groups stay.
+
+def _spread(rows: DataFrame, d: int, group_rows: int) -> DataFrame:
+    """Adds h, a key: each row goes to every group where a partner whose fp is within ``d`` <= 3 bits must meet it.
+
+    ``rows`` has fp and may have set (fingerprints of different sets don't meet). A group beyond ``group_rows`` is dealt
+    again by blocks of half the bits; then a group shares 64 - 8 d bits.
     """
+    name = [F.col("set")] if "set" in rows.columns else []
 
-    def keyed(frame: DataFrame, bits: int, head) -> DataFrame:
-        blocks = 64 // bits
-        keep = max(1, blocks - d)
-        masks = []
-        for chosen in combinations(range(blocks), keep):
-            m = reduce(lambda x, c: x | (((1 << bits) - 1) << (c * bits)), chosen, 0)
-            masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-        key = [F.struct(F.concat_ws(":", head, F.lit(f"{bits}.{i}"), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for i, m in enumerate(masks)]
-        return frame.select("fp", F.explode(F.array(*key)).alias("k")).select("fp", F.col("k.key").alias("key"))
-
-    first = keyed(fp, 16, F.lit("a"))
-    sizes = first.groupBy("key").count().where(F.col("count") > group_rows).select("key")
-    large = saved(sizes)
+    def keyed(frame: DataFrame, bits: int) -> DataFrame:
+        keys = [F.xxhash64(F.lit(bits), F.lit(i), *name, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(bits, d))]
+        return frame.withColumn("h", F.explode(F.array(*keys)))
+
+    first = keyed(rows, 16)
+    large = saved(first.groupBy("h").count().where(F.col("count") > group_rows).select("h"))
     if large.isEmpty():
         return first
-    again = keyed(first.join(large, "key", "left_semi").select("fp").distinct(), 8, F.lit("b"))
-    return first.join(large, "key", "left_anti").unionByName(again)
+    again = keyed(first.join(large, "h", "left_semi").drop("h").distinct(), 8)
+    return first.join(large, "h", "left_anti").unionByName(again)
+
+
+def _groups(it, columns):
+    """From Arrow batches sorted by h: arrays of the columns of each run of complete groups, with the groups' bounds."""
+    rest = None
+    for b in it:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", *columns)]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        h = cols[0]
+        if not len(h):
+            continue
+        at = 0 if h[0] == h[-1] else len(h) - int(np.argmax(h[::-1] != h[-1]))
+        if at:
+            yield _bounded([c[:at] for c in cols])
+        rest = [c[at:] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield _bounded(rest)
+
+
+def _bounded(cols):
+    h = cols[0]
+    cut = np.flatnonzero(h[1:] != h[:-1]) + 1
+    starts, ends = np.append(0, cut), np.append(cut, len(h))
+    many = ends - starts > 1
+    return cols[1:], list(zip(starts[many], ends[many]))
 
 
 def links(fp: DataFrame, d: int = 2, group_rows: int = 20_000) -> DataFrame:
@@ -165,17 +197,10 @@ def links(fp: DataFrame, d: int = 2, group_rows: int = 20_000) -> DataFrame:
     groups = _spread(fp, d, group_rows)
 
     def batches(it):
-        keys, fps = [], []
-
-        def found(k, f):
-            order = np.argsort(k, kind="stable")
-            k, f = k[order], f[order]
-            cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-            ends = np.append(cut, len(k))
-            starts = np.append(0, cut)
+        for (fps,), bounds in _groups(it, ("fp",)):
             out = []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                index = GrayIndex(np.unique(f[s:e]))
+            for s, e in bounds:
+                index = GrayIndex(np.unique(fps[s:e].view(np.uint64)))
                 root = _forest(len(index.fps), index.links(d))
                 i = np.flatnonzero(root != np.arange(len(root)))
                 if len(i):
@@ -184,20 +209,7 @@ def links(fp: DataFrame, d: int = 2, group_rows: int = 20_000) -> DataFrame:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        # rows come sorted by key: a group is complete once another key follows
-        rest_k, rest_f = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for b in it:
-            k = np.concatenate([rest_k, b.column("h").to_numpy().view(np.uint64)])
-            f = np.concatenate([rest_f, b.column("fp").to_numpy().view(np.uint64)])
-            if not len(k):
-                continue
-            last = len(k) - 1
-            at = int(np.searchsorted(-(k != k[last]).astype(np.int8), 0)) if k[0] != k[last] else 0
-            yield from found(k[:at], f[:at])
-            rest_k, rest_f = k[at:], f[at:]
-        yield from found(rest_k, rest_f)
-
-    dealt = groups.select(F.xxhash64("key").alias("h"), "fp").repartition("h").sortWithinPartitions("h")
+    dealt = groups.select("h", "fp").repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(batches, "a long, b long").distinct()
 
 
@@ -244,6 +256,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(names, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Hashes of a sketch: a text with no more distinct shingles is compared exactly.
+SKETCH = 384
+
+
+def _mixed(h: np.ndarray, r: int) -> np.ndarray:
+    h = (h ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes]:
+    """SimHash fingerprints of a text's words, weighted by the root of their counts, and a sketch of its shingles.
+
+    A change of one word changes ``width`` shingles but one word, so texts whose shingles are much alike have words that
+    are more so; fingerprints of words lie within few bits for them. Several fingerprints, from different hashes of
+    the same words, make a miss in all of them unlikely.
+    """
+    words = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    if not words:
+        return [0] * prints, b""
+    counts = Counter(words)
+    h = hashes(list(counts))
+    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    out = []
+    for r in range(prints):
+        bits = np.unpackbits(_mixed(h, r).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        out.append(int((_ONE << _BIT[2 * (weight @ bits) > weight.sum()]).sum(dtype=np.uint64)))
+    grams = [b" ".join(words)] if len(words) <= width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+    low = np.unique(_mixed(hashes(grams), -1) >> np.uint64(32))[:SKETCH].astype(np.uint32)
+    return out, low.tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles from their least hashes; exact for texts of up to SKETCH shingles."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) and not len(y):
+        return 1.0
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.count_nonzero(np.isin(both, x) & np.isin(both, y)) / len(both))
+
+
+def _likeliest(fps: np.ndarray, prints: np.ndarray, d: int):
+    """Edges (i, j, in rows) of a forest that joins all rows linked within ``d`` bits, by their most similar links.
+
+    Boruvka's rounds: each component takes its link with the fewest differing bits in all ``prints``. Links come from
+    the Gray-order index a block at a time and are not kept.
+    """
+    index = GrayIndex(fps)
+    order = np.argsort(gray_rank(fps), kind="stable")
+    prints = prints[order]
+    n = len(fps)
+    comp = np.arange(n)
+    most = np.iinfo(np.int64).max
+    while True:
+        best = np.full(n, most)
+        for i, j in index.links(d):
+            a, b = comp[i], comp[j]
+            differ = a != b
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            if len(i):
+                w = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) << 42 | i << 21 | j
+                np.minimum.at(best, a, w)
+                np.minimum.at(best, b, w)
+        edges = np.unique(best[best < most])
+        if not len(edges):
+            return
+        i, j = edges >> 21 & (1 << 21) - 1, edges & (1 << 21) - 1
+        yield order[i], order[j]
+        comp = _forest(n, [(comp[i], comp[j])])[comp]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 6, d: int = 3, group_rows: int = 4_000) -> DataFrame:
+    """A row for each document: node (hash of its text), doc_id, root (node of its group) and keeper, its least doc_id.
+
+    Two texts belong together if their shingles of ``width`` words have this similarity. Candidates come from the
+    Gray-order index; each task keeps a forest of its likeliest links, which are then checked on the shingles.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    chosen = docs.select(node.alias("node"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    of = chosen.schema["doc_id"].dataType.simpleString()
+
+    def profiles(it):
+        for b in it:
+            rows = [profile(t, width, prints) for t in b.column("text").to_pylist()]
+            p = pa.array([np.array(r[0], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), p, pa.array([r[1] for r in rows], pa.binary())], names=["node", "doc_id", "prints", "sketch"])
+
+    every = saved(chosen.mapInArrow(profiles, f"node long, doc_id {of}, prints array<long>, sketch binary"))
+    texts = every.groupBy("node").agg(F.first("prints").alias("prints"))
+    rows = texts.select("node", "prints", F.posexplode("prints").alias("set", "fp"))
+
+    def batches(it):
+        for (nodes, fps, sets), bounds in _groups(it, ("node", "fp", "prints")):
+            out = []
+            for s, e in bounds:
+                p = np.stack(sets[s:e]).view(np.uint64)
+                for i, j in _likeliest(fps[s:e].view(np.uint64), p, d):
+                    out.append((nodes[s:e][i], nodes[s:e][j]))
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt = _spread(rows, d, group_rows).select("h", "node", "fp", "prints").repartition("h").sortWithinPartitions("h")
+    pairs = saved(dealt.mapInArrow(batches, "a long, b long").distinct())
+    sketches = every.select("node", "sketch").dropDuplicates(["node"])
+
+    def alike(it):
+        for b in it:
+            keep = [sketch_similarity(x, y) >= similarity for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_x = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    with_y = with_x.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    roots = components(with_y.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    ids = every.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    keepers = named.groupBy("root").agg(F.min("least").alias("keeper"))
+    return every.select("node", "doc_id").join(named.select("node", "root"), "node").join(keepers, "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies the one with the least id (one of repeated rows)."""
+    found = saved(near_copies(docs, id_col, text_col))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # rows that share id and text, or groups with null ids only: then one row of the group is picked
+    twice = not stays.groupBy("root").count().where("count > 1").isEmpty()
+    of_text = stays.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.col("doc_id").alias("__id")).distinct()
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.select(F.struct(*docs.columns).alias("__row"), node.alias("__node"), F.col(id_col).alias("__of")).join(of_text, "__node")
+    kept = kept.where(F.col("__of").eqNullSafe(F.col("__id")))
+    if twice:
+        kept = kept.dropDuplicates(["__root"])
+    return kept.select("__row.*")
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every whole text of documents."""
     return near_duplicates(table(spark, sf_dir, "documents")).select(
