@@ -407,7 +407,8 @@ def _order(groups: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     """(k1, k2, spans): for each distinct text the repeated windows, as an array of (first, runs)."""
     anchors = saved(_anchors(texts))
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # a table, so that Spark can split the rows of a common anchor in the join
+    twice = saved(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     # an anchor of one text counts twice too if the text has copies, but copies are settled without it
     places = anchors.join(twice, "h").select("k1", "k2", F.struct("h", "place", (F.col("n") > hot_rows).alias("hot")).alias("x"))
     by_text = places.groupBy("k1", "k2").agg(F.collect_list("x").alias("places"))
