@@ -26,3 +26,10 @@ def oracle_sql() -> dict:
 
 def FLAGSHIP(spark, sf_dir):
     return QUERIES["hybrid_rrf"](spark, sf_dir)
+
+
+def _load():
+    from . import guard, ingest, reports, retrieval, streams  # noqa: F401  they register themselves
+
+
+_load()
