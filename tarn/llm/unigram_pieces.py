@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 from itertools import chain
@@ -54,6 +55,7 @@ class Pieces:
     spelling: list[bytes]
     byte_ids: list[int]
     longest: int
+    breaks: bool  # no piece holds a line feed or tab
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -75,7 +77,7 @@ class Pieces:
                 spelling.append(p.piece.encode())
             else:
                 spelling.append(b"")
-        return cls(*double_array(words), np.array(score), spelling, byte_ids, max(map(len, words)))
+        return cls(*double_array(words), np.array(score), spelling, byte_ids, max(map(len, words)), not any(b"\n" in w or b"\t" in w for w in words))
 
 
 def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,10 +149,8 @@ def segment(parts: list[bytes], v: Pieces) -> list[tuple[list[int], float]]:
 
 def _in_step(parts: list[bytes], v: Pieces):
     n, most = len(parts), len(parts[-1])
-    text = np.zeros((n, most + 1), np.uint8)
+    text = np.frombuffer(b"".join(p.ljust(most + 1, b"\0") for p in parts), np.uint8).reshape(n, most + 1)
     size = np.array([len(p) for p in parts])
-    for i, p in enumerate(parts):
-        text[i, : len(p)] = np.frombuffer(p, np.uint8)
     best = np.full((n, most + 1), -np.inf)
     best[:, 0] = 0.0
     come = np.zeros((n, most + 1), np.int32)  # where the last piece began
@@ -192,71 +192,101 @@ def _in_step(parts: list[bytes], v: Pieces):
             better = now > best[r, to]
             r, to = r[better], to[better]
             best[r, to], come[r, to], piece[r, to] = now[better], i, -1
-    for j, p in enumerate(parts):
-        ids: list[int] = []
-        e = len(p)
-        while e:
-            b = int(come[j, e])
-            k = int(piece[j, e])
-            if k >= 0:
-                ids.append(k)
-            else:
-                ids.extend(v.byte_ids[c] for c in reversed(p[b:e]))
-            e = b
-        ids.reverse()
-        yield ids, float(best[j, len(p)])
+    # back from the ends, all parts in step; a part that has come to its start stays there
+    rows, at, steps = np.arange(n), size.copy(), []
+    while at.any():
+        steps.append(np.where(at > 0, piece[rows, at], -2))
+        at = come[rows, at]
+    back = np.stack(steps[::-1], axis=1)
+    used = np.count_nonzero(back != -2, axis=1).tolist()
+    bare = (back == -1).any(axis=1)
+    width = back.shape[1]
+    for j, (ids, k) in enumerate(zip(back.tolist(), used)):
+        if bare[j]:
+            ids, e = [], len(parts[j])
+            while e:
+                b, i = int(come[j, e]), int(piece[j, e])
+                ids.extend([i] if i >= 0 else [v.byte_ids[c] for c in reversed(parts[j][b:e])])
+                e = b
+            yield ids[::-1], float(best[j, size[j]])
+        else:
+            yield ids[width - k :], float(best[j, size[j]])
 
 
 class Codec:
-    """Encoder and decoder with a bounded memory of parts."""
+    """Encoder and decoder that remembers parts: those of the last ``remember``, and older ones that came again."""
 
-    def __init__(self, pieces: Pieces, remember: int = 300_000):
+    def __init__(self, pieces: Pieces, remember: int = 250_000):
         self.pieces, self.remember = pieces, remember
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.scores: dict[str, float] = {}
-
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], float]]:
-        parts = [_PART.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # no piece holds a line feed or tab: a text falls apart at them, too
+        self.part = re.compile(f"[\\n\\t]|{MARK}+[^{MARK}\\n\\t]*|[^{MARK}\\n\\t]+" if pieces.breaks else _PART.pattern)
+        # what an id adds to a text's score: bytes of a character that no piece covers count once together
+        self.is_byte = np.zeros(len(pieces.score), bool)
+        self.is_byte[pieces.byte_ids] = True
+        self.adds = np.where(self.is_byte, 0.0, pieces.score)
+        self.adds[[i for b, i in enumerate(pieces.byte_ids) if not 0x80 <= b < 0xC0]] = float(pieces.score.min()) - UNKNOWN_PENALTY
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.ids) > self.remember:
-            self.ids.clear()
-            self.scores.clear()
-        new = list({p for x in parts for p in x if p not in self.ids})
-        for p, (ids, score) in zip(new, segment([p.encode() for p in new], self.pieces)):
-            self.ids[p], self.scores[p] = tuple(ids), score
-        return [(list(chain.from_iterable(map(self.ids.__getitem__, x))), sum(map(self.scores.__getitem__, x))) for x in parts]
+            self.older, self.ids = self.ids, {}
+        new = []
+        for p in set(chain.from_iterable(parts)).difference(self.ids):
+            if p in self.older:
+                self.ids[p] = self.older[p]
+            else:
+                new.append(p)
+        for p, (found, _) in zip(new, segment([p.encode() for p in new], self.pieces)):
+            self.ids[p] = array("I", found).tobytes()
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, x)), np.uint32) for x in parts]
+
+    def score(self, ids: np.ndarray) -> float:
+        return float(self.adds[ids].sum())
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.pieces.spelling.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        spelled = b"".join(map(self.pieces.spelling.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        text = spelled.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
+#: Codecs of this Python process by model file, so that the tasks of a worker share what it remembers.
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(path: str, pieces: Pieces) -> Codec:
+    if path not in _codecs:
+        _codecs[path] = Codec(pieces)
+    return _codecs[path]
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
     """For each document its ids (if asked for), their number, byte ids, checksum and score, and whether decoding gives
     the text back."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))  # as large as the vocabulary
+    path = model or default_model()
+    shared = spark.sparkContext.broadcast(Pieces.load(path))  # as large as the vocabulary
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "score", "decoded_sha256", "exact"] + ["ids"] * with_ids
 
     def batches(it):
-        codec = Codec(shared.value)
-        fallback = set(codec.pieces.byte_ids)
+        codec = _codec(path, shared.value)
         for b in it:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
                 texts = s.column("text").to_pylist()
                 cols = defaultdict(list)
-                for t, (ids, score) in zip(texts, codec.encode_batch(texts)):
+                for t, ids in zip(texts, codec.encode_batch(texts)):
                     back = codec.decode(ids)
-                    a = np.array(ids, "<u4")
                     cols["n_ids"].append(len(ids))
-                    cols["n_byte_ids"].append(int(np.isin(a, codec.pieces.byte_ids).sum()) if fallback.intersection(ids) else 0)
-                    cols["ids_crc32"].append(zlib.crc32(a.tobytes()))
-                    cols["score"].append(score)
+                    cols["n_byte_ids"].append(int(np.count_nonzero(codec.is_byte[ids])))
+                    cols["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    cols["score"].append(codec.score(ids))
                     cols["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
                     cols["exact"].append(back == (t or "").replace(MARK, " "))
                     if with_ids:
-                        cols["ids"].append(ids)
+                        cols["ids"].append(ids.astype(np.int32))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([s.column("doc_id")] + [pa.array(cols[n], k) for n, k in zip(names[1:], kinds)], names=names)
 
@@ -268,11 +298,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text from doc_id and ids; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
+    path = model or default_model()
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(path))
     chosen = encoded.select("doc_id", "ids")
 
     def batches(it):
-        codec = Codec(shared.value)
+        codec = _codec(path, shared.value)
         for b in it:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([codec.decode(x or ()) for x in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"]
