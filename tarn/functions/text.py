@@ -71,7 +71,8 @@ def injection(c: Column, patterns=D.INJECTIONS) -> Column:
 #: A token that is a number, price, range or date, after marks at its ends are cut off.
 _NUM = "[0-9০-৯]+(?:[.,][0-9০-৯]+)?"
 _CUR = "(?:৳|[Tt][Kk]\\.?|[Bb][Dd][Tt])?"
-NUMERIC = f"^(?:{_NUM}[./\\\\–—‑-]{_NUM}[./\\\\–—‑-]{_NUM}|{_CUR}{_NUM}|{_CUR}{_NUM}[–—‑-]{_CUR}{_NUM})$"
+_PART = "[0-9০-৯]{1,4}"
+NUMERIC = f"^(?:{_PART}[./\\\\–—‑-]{_PART}[./\\\\–—‑-]{_PART}|{_CUR}{_NUM}|{_CUR}{_NUM}[–—‑-]{_CUR}{_NUM})$"
 MARKS = ".,;:!?()[]{}<>\"'“”‘’*"
 _MARK_CLASS = "[.,;:!?()\\[\\]{}<>\"'“”‘’*]+"
 LETTER = "[\\u0985-\\u09B9\\u09BE-\\u09CC\\u09CE\\u09D7\\u09DC-\\u09DF]"
