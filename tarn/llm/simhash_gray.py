@@ -267,8 +267,9 @@ def _mixed(h: np.ndarray, r: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes]:
-    """SimHash fingerprints of a text's words, weighted by the root of their counts, and a sketch of its shingles.
+def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes, bytes]:
+    """SimHash fingerprints of a text's words, weighted by the root of their counts, and of its shingles 16 bytes that
+    estimate similarity and a sketch that settles it.
 
     A change of one word changes ``width`` shingles but one word, so texts whose shingles are much alike have words that
     are more so; fingerprints of words lie within few bits for them. Several fingerprints, from different hashes of
@@ -276,7 +277,7 @@ def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes
     """
     words = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return [0] * prints, b""
+        return [0] * prints, bytes(16), b""
     counts = Counter(words)
     h = hashes(list(counts))
     weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
@@ -285,8 +286,11 @@ def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes
         bits = np.unpackbits(_mixed(h, r).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
         out.append(int((_ONE << _BIT[2 * (weight @ bits) > weight.sum()]).sum(dtype=np.uint64)))
     grams = [b" ".join(words)] if len(words) <= width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    low = np.unique(_mixed(hashes(grams), -1) >> np.uint64(32))[:SKETCH].astype(np.uint32)
-    return out, low.tobytes()
+    h = np.unique(_mixed(hashes(grams), -1))
+    low = np.unique(h >> np.uint64(32))[:SKETCH].astype(np.uint32)
+    # one byte of the least hash in each sixteenth of their range
+    first = np.minimum(np.searchsorted(h, np.arange(16, dtype=np.uint64) << np.uint64(60)), len(h) - 1)
+    return out, h[first].astype(np.uint8).tobytes(), low.tobytes()
 
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
@@ -300,15 +304,15 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return float(np.count_nonzero(np.isin(both, x) & np.isin(both, y)) / len(both))
 
 
-def _likeliest(fps: np.ndarray, prints: np.ndarray, d: int):
+def _likeliest(fps: np.ndarray, hints: np.ndarray, d: int):
     """Edges (i, j, in rows) of a forest that joins all rows linked within ``d`` bits, by their most similar links.
 
-    Boruvka's rounds: each component takes its link with the fewest differing bits in all ``prints``. Links come from
-    the Gray-order index a block at a time and are not kept.
+    Boruvka's rounds: each component takes its link with the fewest differing bytes of ``hints``, then bits of ``fps``.
+    Links come from the Gray-order index a block at a time and are not kept.
     """
     index = GrayIndex(fps)
     order = np.argsort(gray_rank(fps), kind="stable")
-    prints = prints[order]
+    hints = hints[order]
     n = len(fps)
     comp = np.arange(n)
     most = np.iinfo(np.int64).max
@@ -319,7 +323,8 @@ def _likeliest(fps: np.ndarray, prints: np.ndarray, d: int):
             differ = a != b
             i, j, a, b = i[differ], j[differ], a[differ], b[differ]
             if len(i):
-                w = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) << 42 | i << 21 | j
+                apart = np.count_nonzero(hints[i] != hints[j], axis=1).astype(np.int64) << 8 | np.bitwise_count(index.fps[i] ^ index.fps[j])
+                w = apart << 42 | i << 21 | j
                 np.minimum.at(best, a, w)
                 np.minimum.at(best, b, w)
         edges = np.unique(best[best < most])
@@ -330,7 +335,7 @@ def _likeliest(fps: np.ndarray, prints: np.ndarray, d: int):
         comp = _forest(n, [(comp[i], comp[j])])[comp]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 6, d: int = 3, group_rows: int = 4_000) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 10, d: int = 3, group_rows: int = 4_000) -> DataFrame:
     """A row for each document: node (hash of its text), doc_id, root (node of its group) and keeper, its least doc_id.
 
     Two texts belong together if their shingles of ``width`` words have this similarity. Candidates come from the
@@ -344,24 +349,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in it:
             rows = [profile(t, width, prints) for t in b.column("text").to_pylist()]
             p = pa.array([np.array(r[0], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), p, pa.array([r[1] for r in rows], pa.binary())], names=["node", "doc_id", "prints", "sketch"])
+            hints = np.array([np.frombuffer(r[1], np.int64) for r in rows], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), b.column("doc_id"), p, pa.array(hints[:, 0]), pa.array(hints[:, 1]), pa.array([r[2] for r in rows], pa.binary())],
+                names=["node", "doc_id", "prints", "hint1", "hint2", "sketch"],
+            )
 
-    every = saved(chosen.mapInArrow(profiles, f"node long, doc_id {of}, prints array<long>, sketch binary"))
-    texts = every.groupBy("node").agg(F.first("prints").alias("prints"))
-    rows = texts.select("node", "prints", F.posexplode("prints").alias("set", "fp"))
+    every = saved(chosen.mapInArrow(profiles, f"node long, doc_id {of}, prints array<long>, hint1 long, hint2 long, sketch binary"))
+    texts = every.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "hint1", "hint2")])
+    rows = texts.select("node", "hint1", "hint2", F.posexplode("prints").alias("set", "fp"))
 
     def batches(it):
-        for (nodes, fps, sets), bounds in _groups(it, ("node", "fp", "prints")):
+        for (nodes, fps, hint1, hint2), bounds in _groups(it, ("node", "fp", "hint1", "hint2")):
             out = []
+            hints = np.stack([hint1, hint2], axis=1).view(np.uint8)
             for s, e in bounds:
-                p = np.stack(sets[s:e]).view(np.uint64)
-                for i, j in _likeliest(fps[s:e].view(np.uint64), p, d):
+                for i, j in _likeliest(fps[s:e].view(np.uint64), hints[s:e], d):
                     out.append((nodes[s:e][i], nodes[s:e][j]))
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    dealt = _spread(rows, d, group_rows).select("h", "node", "fp", "prints").repartition("h").sortWithinPartitions("h")
+    dealt = _spread(rows, d, group_rows).select("h", "node", "fp", "hint1", "hint2").repartition("h").sortWithinPartitions("h")
     pairs = saved(dealt.mapInArrow(batches, "a long, b long").distinct())
     sketches = every.select("node", "sketch").dropDuplicates(["node"])
 
