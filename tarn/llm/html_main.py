@@ -79,16 +79,16 @@ def read(html: str | None):
     root = _Node("", "", False, None)
     nodes, blocks = [root], []
     node, text, links, heading = root, [], 0, False
-    size = in_link = 0
-    article = 0
+    in_link = article = 0
+    mute: list[str] = []  # open inline elements of a boilerplate class
 
     def flush():
-        nonlocal text, size, links
+        nonlocal text, links
         if text:
             t = " ".join(unescape("".join(text)).split())
             if t and not node.junk:
                 blocks.append((node, t, max(0, len(t) - links), heading))
-            text, size, links = [], 0, 0
+            text, links = [], 0
 
     for m in _TOKEN.finditer(html or ""):
         tag = m[3]
@@ -98,6 +98,8 @@ def read(html: str | None):
                 if m[1]:
                     text.append(" ")
                 continue
+            if mute:
+                continue
             text.append(s)
             if in_link:
                 links += len(s)
@@ -106,12 +108,16 @@ def read(html: str | None):
         close = m[2]
         if tag == "a":
             in_link = not close
-            continue
         if tag == "br":
             text.append(" ")
             continue
         if tag not in BLOCKS and tag not in BOILERPLATE_TAGS:
+            if close and mute and mute[-1] == tag:
+                mute.pop()
+            elif not close and tag not in VOID and (mute or _describe(tag, m[4])[1]):
+                mute.append(tag)
             continue
+        mute.clear()
         flush()
         heading = tag in HEADINGS and not close
         if tag in VOID:

@@ -178,7 +178,7 @@ def test_main_text(spark):
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site"><h1>Site</h1></header><div id="cookie-notice">Cookies</div>
-<div class="wrap"><nav>menu</nav><div class="post-%d body"><h1>Title</h1><p>One &amp; two.<p>Three <b>fo</b>ur &eacute;<div class="part"><p>Inner text that is long.</p></div>
+<div class="wrap"><nav>menu</nav><div class="post-%d body"><h1>Title</h1><p>One &amp; two.<p>Three <b>fo</b>ur <span class="share-this">Share <i>it</i></span>&eacute;<div class="part"><p>Inner text that is long.</p></div>
 <form>Sub</form><div class="ad-slot">Buy</div></div><aside>side</aside><section id="comments"><p>%s</p></section></div><footer>foot</footer></body></html>"""
 
 
