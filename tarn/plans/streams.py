@@ -15,7 +15,7 @@ from .registry import query
 
 def _folder(spark) -> str:
     """A new folder in the shared one: spark.checkpoint.dir, or a temporary folder where it is unset (as in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-streams-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
