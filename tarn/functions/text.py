@@ -156,3 +156,22 @@ def enforce_uncertainty(answer: Column, tier: Column, notice: str, hedges=D.HEDG
 def without_fences(c: Column) -> Column:
     """A reply without the Markdown fences around it."""
     return strip(F.regexp_replace(c, "^[ \\t\\n]*```[a-zA-Z]*|```[ \\t\\n]*$", ""))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility form without zero-width characters. Spark has no such function, so texts go through Arrow."""
+    import unicodedata
+
+    import pandas as pd
+
+    def normal(s):
+        drop = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff"))
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(drop))
+
+    normal.__annotations__ = {"s": pd.Series, "return": pd.Series}  # real types: this module's annotations are strings
+    return F.pandas_udf(normal, "string")(c)
+
+
+def table_text(c: Column) -> Column:
+    """An array of rows of cells as lines, cells joined by bars, empty ones left out."""
+    return F.array_join(F.transform(c, lambda r: F.array_join(F.filter(r, lambda x: x != ""), " | ")), "\n")

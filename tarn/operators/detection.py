@@ -85,3 +85,21 @@ def inspected(files: DataFrame, folder: str, size: str, corrupt: Column) -> Data
     return hist.groupBy(folder).agg(
         F.sum("n").alias("files"), F.sum("bad").alias("corrupt"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(size).cast("string"), "n")))).alias("sizes")
     )
+
+
+def full_frame(images: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
+    """A label line over the whole image for each image of a mapped folder label (from_label, class_id)."""
+    m = mapping.select(F.col("from_label").alias("__l"), "class_id")
+    met = images.join(m, F.col(label) == F.col("__l")).drop("__l")
+    return met.withColumn("line", F.concat(F.col("class_id").cast("string"), F.lit(" 0.5 0.5 1.0 1.0")))
+
+
+def stem(name: Column) -> Column:
+    """A file's name without its ending."""
+    return F.regexp_replace(name, "[.][^.]+$", "")
+
+
+def annotation_format(files: DataFrame, folder: str, name: str) -> DataFrame:
+    """bbox for a folder with text files, else folder if it has any image, else unknown."""
+    text, image = F.bool_or(F.lower(F.col(name)).endswith(".txt")), F.bool_or(F.col(name).rlike("(?i)[.](?:jpg|jpeg|png)$"))
+    return files.groupBy(folder).agg(F.when(text, F.lit("bbox")).when(image, F.lit("folder")).otherwise(F.lit("unknown")).alias("format"))

@@ -29,7 +29,7 @@ def forward_fill_unit(spark, d):
     return P.inherited(rows, "cell", ["user_id"], ["ts", "event_id"], "unit").select("event_id", "user_id", "unit")
 
 
-NAMES = {"steel": ["steel"], "copper": ["copper", "brass"], "small": ["small", "mini"], "red": ["red", "almond"]}
+NAMES = {"ring": ["ring"], "bolt": ["bolt", "screw"], "small": ["small", "mini"], "gear": ["gear", "cog"]}
 HIT = " OR ".join(f"(name = {q(k)} AND ({' OR '.join(f'contains(lower(p_name || chr(32) || p_type), {q(v)})' for v in vs)}))" for k, vs in NAMES.items())
 
 
@@ -187,3 +187,27 @@ def products_distinct(spark, d):
 @query("omitted_rows", "SELECT p_brand, count_if(length(p_name) > 20)::BIGINT AS omitted, count(*)::BIGINT AS seen FROM part GROUP BY p_brand")
 def omitted_rows(spark, d):
     return P.omitted(t(spark, d, "part"), ["p_brand"], F.length("p_name") > 20)
+
+
+@query("ticker_prices", """WITH v AS (SELECT unnest(['ring', 'gizmo', 'widget']) AS variant, unnest(['round', 'odd', 'round']) AS crop, unnest([1, 1, 2]) AS place),
+h AS (SELECT p_partkey, crop, min(place) AS place FROM part JOIN v ON contains(lower(p_name || ' ' || p_type), variant) GROUP BY ALL)
+SELECT p_partkey, crop, round(p_retailprice, 2) AS lo, round(p_retailprice, 2) AS hi FROM h JOIN part USING (p_partkey)""")
+def ticker_prices(spark, d):
+    """Prices that follow a wanted word in a text, by the first of its variants."""
+    variants = spark.createDataFrame([("round", "ring", 1), ("odd", "gizmo", 1), ("round", "widget", 2)], "crop string, variant string, place int")
+    text = F.concat(F.regexp_replace(F.concat("p_name", F.lit(" "), "p_type"), "[0-9]", ""), F.lit(" : "), F.format_string("%.2f", "p_retailprice"))
+    got = P.ticker(t(spark, d, "part").select("p_partkey", text.alias("body")), "body", variants)
+    return got.select("p_partkey", "crop", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
+
+
+@query("names_repaired", "SELECT p_partkey, CASE WHEN len(regexp_extract_all(x, '\\(')) - len(regexp_extract_all(x, '\\)')) = 1 THEN x || ')' ELSE x END AS name FROM (SELECT p_partkey, trim(regexp_replace(replace(replace(p_name || ' (' || p_brand, 'Brand#', 'brand '), 'ring', 'loop'), '[ \\t]+', ' ', 'g')) AS x FROM part)")
+def names_repaired(spark, d):
+    c = P.repaired(F.concat("p_name", F.lit(" ("), "p_brand"), {"ring": "loop", "Brand#": "brand "})
+    return t(spark, d, "part").select("p_partkey", c.alias("name"))
+
+
+@query("full_frame_labels", "SELECT doc_id, CASE lang WHEN 'en' THEN 0 ELSE 1 END || ' 0.5 0.5 1.0 1.0' AS line FROM documents WHERE lang IN ('en', 'de')")
+def full_frame_labels(spark, d):
+    """Whole-image labels by folder; folders without a class drop out."""
+    mapping = spark.createDataFrame([("en", 0), ("de", 1)], "from_label string, class_id int")
+    return V.full_frame(t(spark, d, "documents").select("doc_id", "lang"), "lang", mapping).select("doc_id", "line")

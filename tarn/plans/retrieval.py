@@ -165,3 +165,29 @@ def ap50_sorted(spark, d):
     a = t(spark, d, "embeddings").join(t(spark, d, "labels"), F.col("doc_id") == F.col("vec_id"), "left").groupBy("label").agg(F.coalesce(F.avg("quality"), F.lit(0.0)).alias("ap"))
     # a row for each class
     return a.select("label", F.round("ap", 6).alias("ap50"), (F.col("ap") < 0.6).alias("poor")).withColumn("place", F.row_number().over(Window.orderBy("ap50", "label")))
+
+
+@query("answer_pipeline")
+def answer_pipeline(spark, d):
+    """User turns from sanitizing to guarded answers, without a model: what the engine says offline."""
+    from tarn.operators import answers as A
+
+    turns = t(spark, d, "conversations").where("role = 'user'").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    asked = A.prepared(turns, "id", "text")
+    return A.answered(asked, A.contexts(asked, t(spark, d, "documents"), "source"), None).select("query_id", "method", "answer")
+
+
+@query("nfkc_text")
+def nfkc_text(spark, d):
+    """Texts in compatibility form."""
+    c = X.nfkc(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("sha"))
+
+
+@query("crop_conflict", "SELECT doc_id, NOT contains(lower(text), 'then') AND contains(lower(text), 'ering') AS conflict FROM documents")
+def crop_conflict(spark, d):
+    """Texts that name another thing than the predicted one (here words stand for crops)."""
+    from tarn.operators import answers as A
+
+    got = A.names_another_crop(F.col("text"), F.lit("first"), {"first": "then", "second": "ering"})
+    return t(spark, d, "documents").select("doc_id", got.alias("conflict"))
