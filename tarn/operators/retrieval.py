@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import Settings
 from tarn.functions import text as X
+from tarn.sources.files import stored
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,8 +48,10 @@ def bm25(queries: DataFrame, docs: DataFrame, s: Settings = Settings(), query_id
     Only the postings of the queries' terms are joined. A document without any of them scores 0, so of those only the
     first ``pool`` by id can matter; twice as many ids are enough to fill up every query.
     """
-    posts, lens = postings(docs, id_col, text_col), lengths(docs, id_col, text_col)
-    stats = corpus(lens)
+    # texts are split into terms once; the table serves frequencies, lengths and hits
+    posts = stored(postings(docs, id_col, text_col))
+    lens = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    stats = docs.agg(F.count("*").alias("n")).join(F.broadcast(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
     asked = (
         queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("term"))
         .groupBy("query_id", "term")
@@ -66,7 +69,7 @@ def bm25(queries: DataFrame, docs: DataFrame, s: Settings = Settings(), query_id
     scored = asked.join(parts, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
     best = top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], s.pool)
     # 2 * pool ids at most, against every query
-    first = lens.select("doc_id").orderBy("doc_id").limit(2 * s.pool)
+    first = docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * s.pool)
     rest = queries.select(F.col(query_id).alias("query_id")).join(F.broadcast(first)).join(scored, ["query_id", "doc_id"], "left_anti")
     both = best.select("query_id", "doc_id", "score").unionByName(rest.select("query_id", "doc_id", F.lit(0.0).alias("score")))
     return top(both, ["query_id"], [F.desc("score"), F.asc("doc_id")], s.pool)

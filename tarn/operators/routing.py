@@ -29,7 +29,8 @@ def is_unclear(c: Column, weather: str = D.WEATHER, price: str = D.PRICE, advice
     t = _flat(c)
     known = t.rlike(f"(?i){weather}|{price}|{advice}|" + "|".join(table.values()))
     shape = t.rlike("^[A-Za-z]+(?: [A-Za-z]+)*$") | (t.rlike(f"^[{D.BANGLA} ,!.?।]+$") & (F.length(t) <= 40))
-    return (t != "") & ~is_greeting(c) & ~known & (F.size(F.split(t, " ")) <= 6) & shape
+    # the shape fails at the first other character, so long texts meet no keyword pattern
+    return (t != "") & shape & (F.size(F.split(t, " ")) <= 6) & ~is_greeting(c) & ~known
 
 
 def route(c: Column, weather: str = D.WEATHER, price: str = D.PRICE, advice: str = D.ADVICE) -> Column:

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tarn.sources.files import shared_folder
 from tarn.streaming import streams as S
 
 from .common import t
 from .registry import query
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one: spark.checkpoint.dir, or a temporary folder where it is unset (as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-streams-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     table = t(spark, d, "events")
     # a stream reads folders; a single file is named by a pattern
@@ -26,7 +20,7 @@ def _events(spark, d):
 
 
 def _finished(spark, stream, name):
-    at = f"{_folder(spark)}-{name}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}-{name}"
     S.run_once(stream, f"{at}/out", f"{at}/state")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,18 @@ MANIFEST = (
 EVAL_QUERY = "id string, query string, lang string, expected_route string, expected_crop string, notes string, ground_truth string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (as in tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to a table in the shared folder and read back: for what several parts of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/tarn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 20_000_000, magic: bytes | None = None) -> DataFrame:
     """path, content and content_hash of files below a size, with the given first bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
