@@ -123,7 +123,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """doc_id and text in ranges (bucket); the rows of a range's first id also stand, with head, in the range before."""
     parts = partitions(docs.sparkSession)
     ids = docs.select("doc_id")
-    ranged = ids.where("doc_id is not null").repartitionByRange(parts, "doc_id")
+    # several ranges to a partition, as ranges are dealt to partitions by hash: their sums are more even
+    ranged = ids.where("doc_id is not null").repartitionByRange(4 * parts, "doc_id")
     # one row for each range
     heads = sorted(r[0] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).select("min(doc_id)").collect())
     first_null = not ids.where("doc_id is null").isEmpty()
