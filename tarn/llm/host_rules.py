@@ -159,8 +159,28 @@ def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", rule
 def op9_quality_rules(spark, sf_dir):
     """The measures and verdicts of every whole text of documents, by source."""
     return judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
     )
 
 
+_BLANK = "[ \\t\\n\x0b\\f\\r]"
+SQL = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_replace(l, '{_BLANK}', '', 'g') <> '') AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed,
+  n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words AS soft_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed OR soft_failed)::DOUBLE AS bad FROM f GROUP BY source),
+a AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS inv FROM h),
+p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 1), 1e4) AS weight FROM a),
+q AS (SELECT source, n, (bad + m * weight) / (n + weight) AS host_rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (soft_failed AND host_rate > 0.5 AND n >= 5)) AS kept, round(host_rate, 6) AS host_rate
+FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
+"""
+
+
 QUERIES = {"op9_quality_rules": op9_quality_rules}
+ORACLES = {"op9_quality_rules": SQL}

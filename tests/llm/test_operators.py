@@ -484,6 +484,19 @@ def test_quality(spark, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, DATA)
+        want = con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_bad_hosts(spark):
     """Soft failures go only in bad hosts; few documents don't make a host bad."""
     good = " ".join(f"word{i}" for i in range(60))
