@@ -113,13 +113,50 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
     return base.join(of_path, ["host", "key"]).select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("purity") > config.reject, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "template", "purity",
+        "template", F.round("purity", 6).alias("purity"),
     )
 
 
+def _sql(rules=RULES, c: Templates = Templates()) -> str:
+    """The same judgement in DuckDB's SQL: a few common table expressions for each level of the tree."""
+    cases = {"rule": "", "verdict": ""}
+    for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
+        h, _, p = rule.partition("/")
+        for what, value in (("rule", rule), ("verdict", verdict)):
+            cases[what] += f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{value}'"
+    parts = [
+        "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "x AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)",
+        f"y AS (SELECT page_id, translate(raw, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM x)",
+        f"b AS (SELECT *, CASE {cases['rule']} END AS rule, CASE {cases['verdict']} END AS ruled, array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/') AS key FROM y)",
+        "t0 AS (SELECT host, key, count(*)::DOUBLE AS n, count(ruled)::DOUBLE AS labelled, (count(*) FILTER (WHERE ruled = 'block'))::DOUBLE AS blocked, '' AS template FROM b GROUP BY host, key)",
+    ]
+    for k in range(c.depth):
+        last = k == c.depth - 1
+        seg = f"array_to_string(string_split(key, '/')[{k + 1}:], '/')" if last else f"string_split(key, '/')[{k + 1}]"
+        parts += [
+            f"r{k} AS (SELECT *, nullif({seg}, '') AS seg FROM t{k})",
+            f"c{k} AS (SELECT host, template, seg, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM r{k} WHERE seg IS NOT NULL GROUP BY ALL)",
+            f"p{k} AS (SELECT host, template, sum(n) AS pn, sum(labelled) AS pl, sum(blocked) AS pb FROM c{k} GROUP BY ALL)",
+            f"l{k} AS (SELECT host, template, seg FROM c{k} JOIN p{k} USING (host, template) WHERE n >= {c.min_share} * pn AND CASE WHEN labelled > 0 AND pl > labelled AND pb > 0 AND pb < pl "
+            f"THEN abs(blocked / labelled - (pb - blocked) / (pl - labelled)) / sqrt(pb / pl * (1 - pb / pl) * (1 / labelled + 1 / (pl - labelled))) > {c.z} ELSE false END)",
+            f"t{k + 1} AS (SELECT host, key, n, labelled, blocked, CASE WHEN seg IS NULL THEN template ELSE template || '/' || CASE WHEN (host, template, seg) IN (SELECT (host, template, seg) FROM l{k}) THEN seg ELSE '*' END END AS template FROM r{k})",
+        ]
+    parts += [
+        f"s AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{c.depth} GROUP BY ALL)",
+        f"g AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS share FROM t{c.depth})",
+        f"j AS (SELECT host, template, (blocked + {c.prior} * share) / (labelled + {c.prior}) AS purity FROM s, g)",
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT page_id, b.host, path, rule, coalesce(ruled, CASE WHEN purity > {c.reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity"
+        f" FROM b JOIN t{c.depth} USING (host, key) JOIN j USING (host, template)"
+    )
+
+
 def op4_url_filter(spark, sf_dir):
     """Verdicts of every url of pages."""
     return judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op4_url_filter": op4_url_filter}
+ORACLES = {"op4_url_filter": _sql()}
