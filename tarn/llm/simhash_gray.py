@@ -10,11 +10,14 @@ top: the bits that differ from a node's pattern can only grow below it, so a who
 Groups that grow beyond ``group_rows`` fingerprints are dealt again by further blocks of their remaining bits (the same
 argument holds there), so no group has to fit one task. A group returns a forest of its links, never all its pairs;
 components are joined by alternating star contractions on tables, with the lineage cut at every round.
+
+The pipeline's stage (``near_copies``) asks for similar sets of shingles, which no number of fingerprints finds for sure:
+its candidates share one of their rarest shingles (prefix filter), which every pair of the similarity does.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -256,136 +259,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(names, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Hashes of a sketch: a text with no more distinct shingles is compared exactly.
-SKETCH = 384
+#: Cells of the table that orders shingles by how common they are. Any order finds all pairs, if every text keeps to it.
+CELLS = 1 << 20
 
 
-def _mixed(h: np.ndarray, r: int) -> np.ndarray:
-    h = (h ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted."""
+    return np.unique(hashes(shingles(text, width)))
 
 
-def profile(text: str | None, width: int, prints: int) -> tuple[list[int], bytes, bytes]:
-    """SimHash fingerprints of a text's words, weighted by the root of their counts, and of its shingles 16 bytes that
-    estimate similarity and a sketch that settles it.
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
-    A change of one word changes ``width`` shingles but one word, so texts whose shingles are much alike have words that
-    are more so; fingerprints of words lie within few bits for them. Several fingerprints, from different hashes of
-    the same words, make a miss in all of them unlikely.
-    """
-    words = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not words:
-        return [0] * prints, bytes(16), b""
-    counts = Counter(words)
-    h = hashes(list(counts))
-    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
-    out = []
-    for r in range(prints):
-        bits = np.unpackbits(_mixed(h, r).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        out.append(int((_ONE << _BIT[2 * (weight @ bits) > weight.sum()]).sum(dtype=np.uint64)))
-    grams = [b" ".join(words)] if len(words) <= width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    h = np.unique(_mixed(hashes(grams), -1))
-    low = np.unique(h >> np.uint64(32))[:SKETCH].astype(np.uint32)
-    # one byte of the least hash in each sixteenth of their range
-    first = np.minimum(np.searchsorted(h, np.arange(16, dtype=np.uint64) << np.uint64(60)), len(h) - 1)
-    return out, h[first].astype(np.uint8).tobytes(), low.tobytes()
-
-
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two texts' shingles from their least hashes; exact for texts of up to SKETCH shingles."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) and not len(y):
-        return 1.0
-    both = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.count_nonzero(np.isin(both, x) & np.isin(both, y)) / len(both))
-
-
-def _likeliest(fps: np.ndarray, hints: np.ndarray, d: int):
-    """Edges (i, j, in rows) of a forest that joins all rows linked within ``d`` bits, by their most similar links.
-
-    Boruvka's rounds: each component takes its link with the fewest differing bytes of ``hints``, then bits of ``fps``.
-    Links come from the Gray-order index a block at a time and are not kept.
-    """
-    index = GrayIndex(fps)
-    order = np.argsort(gray_rank(fps), kind="stable")
-    hints = hints[order]
-    n = len(fps)
-    comp = np.arange(n)
-    most = np.iinfo(np.int64).max
-    while True:
-        best = np.full(n, most)
-        for i, j in index.links(d):
-            a, b = comp[i], comp[j]
-            differ = a != b
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            if len(i):
-                apart = np.count_nonzero(hints[i] != hints[j], axis=1).astype(np.int64) << 8 | np.bitwise_count(index.fps[i] ^ index.fps[j])
-                w = apart << 42 | i << 21 | j
-                np.minimum.at(best, a, w)
-                np.minimum.at(best, b, w)
-        edges = np.unique(best[best < most])
-        if not len(edges):
-            return
-        i, j = edges >> 21 & (1 << 21) - 1, edges & (1 << 21) - 1
-        yield order[i], order[j]
-        comp = _forest(n, [(comp[i], comp[j])])[comp]
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 10, d: int = 3, group_rows: int = 4_000) -> DataFrame:
-    """A row for each document: node (hash of its text), doc_id, root (node of its group) and keeper, its least doc_id.
 
-    Two texts belong together if their shingles of ``width`` words have this similarity. Candidates come from the
-    Gray-order index; each task keeps a forest of its likeliest links, which are then checked on the shingles.
-    """
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    chosen = docs.select(node.alias("node"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    of = chosen.schema["doc_id"].dataType.simpleString()
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """How many rows have a shingle in each cell; of a size that doesn't grow with the texts."""
 
-    def profiles(it):
+    def batches(it):
+        n = np.zeros(CELLS, np.int64)
         for b in it:
-            rows = [profile(t, width, prints) for t in b.column("text").to_pylist()]
-            p = pa.array([np.array(r[0], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
-            hints = np.array([np.frombuffer(r[1], np.int64) for r in rows], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("doc_id"), p, pa.array(hints[:, 0]), pa.array(hints[:, 1]), pa.array([r[2] for r in rows], pa.binary())],
-                names=["node", "doc_id", "prints", "hint1", "hint2", "sketch"],
-            )
+            for t in b.column("text").to_pylist():
+                np.add.at(n, _cells(shingle_set(t, width)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(batches, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    every = saved(chosen.mapInArrow(profiles, f"node long, doc_id {of}, prints array<long>, hint1 long, hint2 long, sketch binary"))
-    texts = every.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "hint1", "hint2")])
-    rows = texts.select("node", "hint1", "hint2", F.posexplode("prints").alias("set", "fp"))
 
-    def batches(it):
-        for (nodes, fps, hint1, hint2), bounds in _groups(it, ("node", "fp", "hint1", "hint2")):
-            out = []
-            hints = np.stack([hint1, hint2], axis=1).view(np.uint8)
-            for s, e in bounds:
-                for i, j in _likeliest(fps[s:e].view(np.uint64), hints[s:e], d):
-                    out.append((nodes[s:e][i], nodes[s:e][j]))
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a text and their places in the order of all its shingles, less those that no other row has.
+
+    Two texts of this similarity share at least one: outside their prefixes there are too few shingles to share.
+    """
+    n = common[_cells(h)]
+    # h is sorted: a stable sort makes (n, h) the order of all texts
+    at = np.argsort(n, kind="stable")[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    place = np.flatnonzero(n[at] > 1)
+    return h[at[place]], place
 
-    dealt = _spread(rows, d, group_rows).select("h", "node", "fp", "hint1", "hint2").repartition("h").sortWithinPartitions("h")
-    pairs = saved(dealt.mapInArrow(batches, "a long, b long").distinct())
-    sketches = every.select("node", "sketch").dropDuplicates(["node"])
 
-    def alike(it):
+def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(s, node, size, place) for each shingle s of each text's prefix; texts without words meet at s = 0."""
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
+
+    def batches(it):
+        seen = set()  # copies in one task give their rows once
         for b in it:
-            keep = [sketch_similarity(x, y) >= similarity for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            s, node, size, place = [], [], [], []
+            for n, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
+                if n in seen:
+                    continue
+                seen.add(n)
+                h = shingle_set(t, width)
+                of, at = prefix(h, common.value, similarity) if len(h) else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+                s.append(of.view(np.int64))
+                place.append(at)
+                node.append(np.full(len(of), n))
+                size.append(np.full(len(of), len(h)))
+            if s:
+                cols = [pa.array(np.concatenate(x)).cast(of) for x, of in ((s, pa.int64()), (node, pa.int64()), (size, pa.int32()), (place, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["s", "node", "size", "place"])
+
+    return texts.select("node", "text").mapInArrow(batches, "s long, node long, size int, place int")
+
+
+def _may(similarity: float, x: str, y: str):
+    """Whether enough shingles are left from the first one that two texts share; it holds their sizes against each other too."""
+    left = F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place"))
+    return left * (1 + similarity) >= similarity * (F.col(f"{x}size") + F.col(f"{y}size")) - 1e-6
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingles have this similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    met = texts.join(saved(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def batches(it):
+        for b in it:
+            sets = [shingle_set(t, width).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    sets = saved(met.mapInArrow(batches, "node long, grams array<long>"))
+    with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return with_y.where((either == 0) | (both / either >= similarity)).select("a", "b")
 
-    with_x = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    with_y = with_x.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    roots = components(with_y.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of this similarity; ``texts`` has node and text.
+
+    Texts that share a shingle of their prefixes are a group. First each group's least node is checked against the others.
+    What these links don't join is then checked pair by pair: every pair of a group that lies in two components.
+    """
+    rows = saved(_prefixes(texts, width, similarity))
+    first = rows.groupBy("s").agg(F.min(F.struct("node", "size", "place")).alias("p"), F.max("node").alias("last")).where("p.node < last")
+    first = saved(first.select("s", F.col("p.node").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.place").alias("p_place")))
+    met = saved(rows.join(first, "s").where("node <> pivot").distinct())
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    checked = saved(met.where(_may(similarity, "", "p_")).withColumn("other", F.col("pivot")).select(*pair).distinct())
+    found = saved(_alike(checked, texts, width, similarity))
+    roots = saved(components(found))
+    rest = (
+        met.select("s", "node", "size", "place", "pivot")
+        .join(roots, "node", "left")
+        .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left")
+        .select("s", "node", "size", "place", F.coalesce("root", "node").alias("root"), F.coalesce("p_root", "pivot").alias("p_root"))
+    )
+    rest = saved(rest)
+    # groups with someone outside the first one's component, and someone else to check
+    more = saved(rest.groupBy("s").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.col("root") != F.col("p_root")).alias("out")).where("u < v AND out").select("s"))
+    rest = saved(rest.join(more, "s", "left_semi"))
+    out = rest.where("root <> p_root").select("s", *[F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "root")])
+    across = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("p_root")) | (F.col("node") < F.col("o_node")))
+    late = out.join(rest, "s").where(across & _may(similarity, "", "o_")).withColumn("other", F.col("o_node")).select(*pair).distinct()
+    late = saved(late.join(checked, ["a", "b"], "left_anti"))
+    return found.unionByName(_alike(late, texts, width, similarity))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """A row for each document: node (hash of its text), doc_id, root (node of its group) and keeper, its least doc_id.
+
+    Two texts belong together if their sets of shingles of ``width`` words have this Jaccard similarity, or are linked by
+    such pairs. All pairs count, and each link is settled on the whole sets.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    chosen = docs.select(node.alias("node"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = saved(chosen.select("node", "doc_id"))
+    roots = components(near_links(chosen.select("node", "text"), width, similarity))
     ids = every.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     keepers = named.groupBy("root").agg(F.min("least").alias("keeper"))
-    return every.select("node", "doc_id").join(named.select("node", "root"), "node").join(keepers, "root")
+    return every.join(named.select("node", "root"), "node").join(keepers, "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

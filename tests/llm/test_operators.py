@@ -400,6 +400,36 @@ def test_near_copies(spark, odd, texts):
     assert all(got[i] == i for i in texts if i not in linked)
 
 
+def linked_brute(texts):
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [WORD.findall(t.encode().lower())]}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_near_copies_of_every_shape(spark):
+    """Truncated, appended, with a block replaced, and scattered edits."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    texts = {}
+    for k in range(60):
+        w = words(int(rng.integers(120, 300)))
+        n = len(w)
+        cut, more, block, spots = w[: int(n * 0.84)], w + words(int(n * 0.18)), list(w), list(w)
+        block[n // 3 : n // 3 + int(n * 0.08)] = words(int(n * 0.08))
+        for at in rng.choice(n, n // 60, replace=False):
+            spots[at] = "changed"
+        # two of each, so that a copy isn't reached by way of another
+        for i, copy in enumerate((cut, more, block, spots)):
+            own = [f"{x}.{i}" for x in w]
+            back = {x: f"{x}.{i}" for x in w}
+            texts[8 * k + 2 * i] = " ".join(own)
+            texts[8 * k + 2 * i + 1] = " ".join(back.get(x, x) for x in copy)
+    pairs = linked_brute(texts)
+    assert len(pairs) > 150
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["keeper"] for r in simhash_gray.near_copies(docs).collect()}
+    assert {(got[i], i) for i in texts if got[i] != i} == pairs
+
+
 # 8 packing
 
 
