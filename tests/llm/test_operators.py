@@ -430,6 +430,45 @@ def test_near_copies_of_every_shape(spark):
     assert {(got[i], i) for i in texts if got[i] != i} == pairs
 
 
+def groups_brute(texts):
+    root = {i: i for i in texts}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked_brute(texts):
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in texts}
+
+
+def near_groups(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["keeper"] for r in simhash_gray.near_copies(docs).collect()}
+
+
+def test_near_copies_among_template_neighbours(spark):
+    """Partners just over the threshold, each among many texts just under it."""
+    rng = np.random.default_rng(12)
+    texts = {}
+
+    def edited(w, n, name):
+        w = list(w)
+        for at in rng.choice(39, n, replace=False) * 5 + 3:
+            w[at] = f"{name}.{at}"
+        return w
+
+    for k in range(8):
+        first = [f"t{k}.{x}" for x in range(200)]
+        for w in (first, edited(first, 4, f"e{k}")):
+            for x in [w] + [edited(w, 5, f"n{k}.{len(texts)}.{m}") for m in range(20)]:
+                texts[len(texts)] = " ".join(x)
+    assert len(linked_brute(texts)) == 8
+    assert near_groups(spark, texts) == groups_brute(texts)
+
+
 # 8 packing
 
 
