@@ -483,6 +483,17 @@ def test_near_copies_of_long_texts(spark):
     assert near_groups(spark, texts) == groups_brute(texts)
 
 
+def test_near_copies_of_one_page(spark):
+    """A page with a counter is a large group of distinct texts: links grow with its texts, not with their pairs."""
+    from pyspark.sql import functions as F
+
+    words = [f"p{x}" for x in range(150)]
+    texts = {i: " ".join(words[:75] + [f"counter{i}"] + words[75:]) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    assert simhash_gray.near_links(docs, 5, 0.8).select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() < 2 * len(texts)
+    assert set(near_groups(spark, texts).values()) == {0}
+
+
 # 8 packing
 
 
