@@ -121,41 +121,150 @@ def test_pitman_yor(spark, texts):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
 
 
+def test_tokens_are_words(texts):
+    every = [*texts.values(), "A b\x0bA", "", " ", "x" * 3_000_000, "wörd \n" * 400_000]
+    tokens, sizes = pitman_yor._tokens(every)
+    words = [w for t in every for w in [*WORD.findall(t.encode().lower()), None]]
+    assert len(words) == len(tokens) and sizes.tolist() == [len(WORD.findall(t.encode())) + 1 for t in every]
+    assert len(set(words)) == len(set(tokens.tolist())) == len(set(zip(words, tokens.tolist()))), "one hash for each word"
+
+
 def test_pitman_yor_sums_to_one():
     """Over all known tokens and the unknown one, the probabilities of a context add up to 1."""
     rng = np.random.default_rng(0)
     word, ctx = np.divmod(np.arange(60), 3)
     c = rng.integers(1, 9, 60)
-    model = pitman_yor.Model(contexts=4)
-    customers = np.bincount(ctx, weights=c, minlength=4)
-    blob = pitman_yor._pack(bucket=np.array([0]), word=word.astype(np.uint32), ctx=ctx.astype(np.uint16), c=c.astype(np.uint32))
-    state = pitman_yor.State(customers, np.zeros(4), 0, 0, 20, 0.6, 0.4)
-    k = pitman_yor.Block(blob, state, model, 1)
+    cells = pitman_yor._pack(words=np.arange(20, dtype=np.uint64), ctxs=np.arange(3, dtype=np.uint64), word=word, ctx=ctx, c=c)
+    customers = np.bincount(ctx, weights=c)
+    none = np.empty(0, np.uint64)
+    model, state = pitman_yor.Model(), pitman_yor.State(known=20, d1=0.6, d0=0.4)
+    k = pitman_yor.Block(cells, [{"range": 0, "blob": pitman_yor._pack(c=customers, t=np.ones(3))}], pitman_yor.Hot(none, none), state, model, 1, 0)
     for _ in range(3):
         k.sweep()
-        state.tables = np.bincount(ctx, weights=k.t, minlength=4)
+        k.tables = np.bincount(ctx, weights=k.t)
+        k._parent(True)
         state.parent_customers, state.parent_tables = k.c0.sum(), k.t0.sum()
-        k._parent(0)
-        k.t0 = np.minimum(k.c0, 1)
-        state.parent_tables = k.t0.sum()
-        k._parent(0)
+        k._weights()
     p = k.probability()
     unseen = (model.strength + state.d0 * state.parent_tables) / 21 / (model.strength + state.parent_customers)
-    back = (model.strength + state.d1 * state.tables) / (model.strength + customers)
+    back = (model.strength + state.d1 * k.tables) / (model.strength + customers)
     for x in range(3):
         assert math.isclose(p[ctx == x].sum() + back[x] * unseen, 1, rel_tol=1e-9)
 
 
-def test_seating_follows_the_restaurant():
-    """The share of dishes with one table after Gibbs is that of the model, for two and for three customers."""
-    rng = np.random.default_rng(1)
-    d, new = 0.5, 2.0
-    two = pitman_yor._seated(2, np.full(40_000, new), d, rng, 3)
-    assert abs((two == 1).mean() - (1 - d) / (1 - d + new)) < 0.01
-    three = pitman_yor._seated(3, np.full(40_000, new), d, rng, 6)
-    # weights of the tables' partitions: (1-d)(2-d), 3 of (1-d) new, new^2
-    w = np.array([(1 - d) * (2 - d), 3 * (1 - d) * new, new * new])
-    assert np.abs(np.bincount(three, minlength=4)[1:] / 40_000 - w / w.sum()).max() < 0.015
+def test_tables_follow_the_restaurant():
+    """Three customers: weights of the partitions are (1-d)(2-d), 3 of (1-d) new and new * newer."""
+    d, strength, p, others = 0.5, 2.0, 0.25, 5
+    a = [(strength + d * (others + k)) * p for k in range(3)]
+    w = np.array([(1 - d) * (2 - d), 3 * (1 - d) * a[1], a[1] * a[2]])
+    one = np.ones(60_000)
+    got = pitman_yor.draw((3 * one).astype(int), others * one, p * one, d, strength, np.random.default_rng(1))
+    assert np.abs(np.bincount(got.astype(int), minlength=4)[1:] / len(got) - w / w.sum()).max() < 0.01
+
+
+@pytest.mark.parametrize("c,others,p,d", [(65, 10, 0.01, 0.7), (300, 50, 0.02, 0.8), (300, 500, 0.2, 0.5), (1000, 3, 0.001, 0.6), (1000, 2000, 0.05, 0.75)])
+def test_tables_of_many_customers(c, others, p, d):
+    """Mean and spread at the saddle point against the exact distribution, by sums in logarithms."""
+    row = np.full(c + 1, -np.inf)
+    row[0] = 0.0
+    for n in range(c):
+        more = np.log(np.maximum(n - d * np.arange(c + 1), 1e-300)) + row
+        up = np.append(-np.inf, row[:-1])
+        row = np.logaddexp(up, np.where(np.arange(c + 1) <= n, more, -np.inf))
+    w = row[1:] + np.cumsum(np.log((1 + d * (others + np.arange(c))) * p))
+    w = np.exp(w - w.max())
+    t, w = np.arange(1, c + 1), w / w.sum()
+    mean, sd = (w * t).sum(), math.sqrt((w * t * t).sum() - (w * t).sum() ** 2)
+    one = np.ones(20_000)
+    got = pitman_yor.draw((c * one).astype(int), others * one, p * one, d, 1.0, np.random.default_rng(2))
+    # c - d * t is what the customers of a dish add to its probability
+    assert abs(got.mean() - mean) * d < 0.005 * (c - d * mean) and abs(got.std() - sd) * d < 0.01 * (c - d * mean)
+
+
+def gibbs_brute(train, every, d1, d0, known, sweeps=30, samples=30):
+    """Log10 probabilities of token lists by a sampler that seats every customer at a table, one after another."""
+    import random
+
+    rng = random.Random(5)
+    rooms, parent = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+    tables, customers, total = collections.Counter(), collections.Counter(), [0, 0]
+
+    def p0(w):
+        t = parent[w]
+        return (sum(t) - d0 * len(t) + (1 + d0 * total[1]) / (known + 1)) / (1 + total[0])
+
+    def choose(sizes, d, new):
+        u = rng.random() * (sum(sizes) - d * len(sizes) + new)
+        for i, n in enumerate(sizes):
+            u -= n - d
+            if u < 0:
+                return i
+        return len(sizes)
+
+    def add(u, w):
+        here = rooms[u][w]
+        i = choose(here, d1, (1 + d1 * tables[u]) * p0(w))
+        customers[u] += 1
+        if i < len(here):
+            here[i] += 1
+            return
+        here.append(1)
+        tables[u] += 1
+        i = choose(parent[w], d0, (1 + d0 * total[1]) / (known + 1))
+        if i == len(parent[w]):
+            parent[w].append(0)
+            total[1] += 1
+        parent[w][i] += 1
+        total[0] += 1
+
+    def remove(u, w):
+        here = rooms[u][w]
+        i = choose(here, 0, 0)
+        here[i] -= 1
+        customers[u] -= 1
+        if not here[i]:
+            here.pop(i)
+            tables[u] -= 1
+            i = choose(parent[w], 0, 0)
+            parent[w][i] -= 1
+            total[0] -= 1
+            if not parent[w][i]:
+                parent[w].pop(i)
+                total[1] -= 1
+
+    pairs = [(u, w) for t in train for u, w in zip([b"\n", *t[:-1]], t)]
+    for x in pairs:
+        add(*x)
+    out = [np.zeros(len(t)) for t in every]
+    for turn in range(sweeps + samples):
+        for x in pairs:
+            remove(*x)
+            add(*x)
+        if turn >= sweeps:
+            for o, t in zip(out, every):
+                o += [(sum(rooms[u][w]) - d1 * len(rooms[u][w]) + (1 + d1 * tables[u]) * p0(w)) / (1 + customers[u]) for u, w in zip([b"\n", *t[:-1]], t)]
+    return [float(np.log10(o / samples).sum()) for o in out]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_pitman_yor_against_seating(spark, texts, hot):
+    """Scores of a few texts against the plain sampler; with hot tokens and pairs of their own, too."""
+    rows = [(i, t[:1500]) for i, t in list(texts.items())[:60]] + [(1000 + i, t[:1500]) for i, t in list(texts.items())[:15]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    per = pitman_yor.BLOCKS_PER_PARTITION
+    try:
+        pitman_yor.BLOCKS_PER_PARTITION = 16 if hot else 1
+        got = {r["doc_id"]: r for r in pitman_yor.scores(docs, model=pitman_yor.Model(samples=20, passes=4)).collect()}
+    finally:
+        pitman_yor.BLOCKS_PER_PARTITION = per
+    tokens = {i: [*WORD.findall(t.encode().lower()), b""] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    cells = collections.Counter((u, w) for t in train for u, w in zip([b"\n", *t[:-1]], t))
+    parents = collections.Counter(w for _, w in cells)
+    share = lambda c: float(np.clip(sum(x == 1 for x in c.values()) / (sum(x == 1 for x in c.values()) + 2 * sum(x == 2 for x in c.values())), 0.1, 0.95))
+    want = gibbs_brute(train, list(tokens.values()), share(cells), share(parents), len({w for t in train for w in t}))
+    apart = np.array([(got[i]["score"] - w) / len(t) for (i, t), w in zip(tokens.items(), want)])
+    assert np.abs(apart).max() < 0.03 and abs(apart.mean()) < 0.005, (np.abs(apart).max(), apart.mean())
 
 
 def test_pitman_yor_edges(spark, odd):
