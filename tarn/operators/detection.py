@@ -22,19 +22,26 @@ def with_class(rows: DataFrame, column: str, classes: dict = D.CLASSES, default:
     """Rows with crop, label and query of their class; unknown classes get the default. The table is a caller's."""
     spark = rows.sparkSession
     dim = spark.createDataFrame([(k, *v) for k, v in classes.items()], "__class string, crop string, label string, rag_query string")
-    met = rows.join(F.broadcast(dim), F.col(column) == F.col("__class"), "left").drop("__class")
+    met = rows.join(dim, F.col(column) == F.col("__class"), "left").drop("__class")
     return met.fillna(dict(zip(("crop", "label", "rag_query"), default)))
 
 
 def split(rows: DataFrame, by: str, key: str, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """Rows with split (train, val, test): shares within each class, in the order of a hash of the seed and the key."""
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    n = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(by).orderBy(order, key)
-    placed = rows.withColumn("__i", F.row_number().over(w)).join(n, by)
+    """Rows with split (train, val, test): shares within each class, in the order of a hash of the seed and the key.
+
+    A class is ranked in 256 slices by the first digits of its hashes, each shifted by what stands before it, so that a
+    class of half of all rows is still ranked by many tasks.
+    """
+    cut = rows.withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).withColumn("__s", F.substring("__h", 1, 2))
+    sums = cut.groupBy(by, "__s").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    # a class has at most 256 rows here
+    shift = sums.select(by, "__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"), F.sum("__c").over(Window.partitionBy(by)).alias("__n"))
+    w = Window.partitionBy(by, "__s").orderBy("__h", key)
+    placed = cut.withColumn("__r", F.row_number().over(w)).join(shift, [by, "__s"]).withColumn("__i", F.col("__r") + F.col("__b"))
     a = F.bround(F.col("__n") * train, 0)
     b = a + F.bround(F.col("__n") * val, 0)
-    return placed.withColumn("split", F.when(F.col("__i") <= a, F.lit("train")).when(F.col("__i") <= b, F.lit("val")).otherwise(F.lit("test"))).drop("__i", "__n")
+    return placed.withColumn("split", F.when(F.col("__i") <= a, F.lit("train")).when(F.col("__i") <= b, F.lit("val")).otherwise(F.lit("test"))).drop("__i", "__n", "__h", "__s", "__r", "__b")
 
 
 def label_line(c: Column, classes: int) -> Column:

@@ -15,8 +15,11 @@ def _flat(c: Column) -> Column:
 
 
 def is_greeting(c: Column, words: str = D.GREETINGS) -> Column:
-    """Nothing but greetings, thanks or farewells."""
-    return _flat(c).rlike(f"(?i)^(?:(?:{words})[ ,!.?।]+)*(?:{words})[ ,!.?।]*$")
+    """Nothing but greetings, thanks or farewells.
+
+    The repeated group is possessive: Java matches it in a loop, while others recurse once for each word of a long text.
+    """
+    return F.concat(_flat(c), F.lit(" ")).rlike(f"(?i)^(?:(?:{words})[ ,!.?।]+)++$")
 
 
 def crops(c: Column, table: dict[str, str] = D.CROPS) -> Column:
@@ -28,9 +31,10 @@ def is_unclear(c: Column, weather: str = D.WEATHER, price: str = D.PRICE, advice
     """A short text without any keyword, of Latin letters only or of at most 40 Bangla characters."""
     t = _flat(c)
     known = t.rlike(f"(?i){weather}|{price}|{advice}|" + "|".join(table.values()))
-    shape = t.rlike("^[A-Za-z]+(?: [A-Za-z]+)*$") | (t.rlike(f"^[{D.BANGLA} ,!.?।]+$") & (F.length(t) <= 40))
-    # the shape fails at the first other character, so long texts meet no keyword pattern
-    return (t != "") & shape & (F.size(F.split(t, " ")) <= 6) & ~is_greeting(c) & ~known
+    # blanks are single here, and at no end; no group repeats, which would recurse once for each word of a long text
+    shape = t.rlike("^[A-Za-z ]+$") | (t.rlike(f"^[{D.BANGLA} ,!.?।]+$") & (F.length(t) <= 40))
+    short = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) <= 5
+    return (t != "") & short & shape & ~is_greeting(c) & ~known
 
 
 def route(c: Column, weather: str = D.WEATHER, price: str = D.PRICE, advice: str = D.ADVICE) -> Column:

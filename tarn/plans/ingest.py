@@ -40,7 +40,7 @@ SQUEEZED = strip_sql("regexp_replace(regexp_replace(array_to_string(k, '\n'), '[
 SELECT doc_id, sha256({SQUEEZED}) AS sha, length({SQUEEZED})::INTEGER AS chars FROM f""")
 def clean_lines(spark, d):
     """Texts without boilerplate, bare numbers and lines of another script."""
-    pages = I.clean_pages(t(spark, d, "documents"), ["source"], "text", D.LATIN)
+    pages = I.clean_pages(t(spark, d, "documents"), ["source"], "doc_id", "text", D.LATIN)
     return pages.select("doc_id", F.sha2("clean", 256).alias("sha"), F.length("clean").alias("chars"))
 
 
