@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, shared_dir, table
+from .common import partitions, saved, shared_dir, table, tidy
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Documents and bytes of a batch; a document's place in its batch fits 15 bits.
@@ -367,7 +367,8 @@ def _blocks(dealt: DataFrame) -> DataFrame:
 
     made = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(batches, arrow_schema)
     name = f"tarn_blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(n, "bucket").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with tidy(spark):
+        made.write.bucketBy(n, "bucket").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 

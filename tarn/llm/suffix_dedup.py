@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, shared_dir, table
+from .common import partitions, saved, shared_dir, table, tidy
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1  # grams in a window
@@ -252,13 +252,14 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     chosen = docs.select(body.alias("body")).select(*_key(F.col("body")), "body")
     folded = chosen.groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
     name = f"tarn_texts_{uuid.uuid4().hex}"
-    (
-        folded.write.bucketBy(partitions(spark), "k1", "k2")
-        .sortBy("k1", "k2")
-        .option("path", f"{shared_dir(spark)}/{name}")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
+    with tidy(spark):
+        (
+            folded.write.bucketBy(partitions(spark), "k1", "k2")
+            .sortBy("k1", "k2")
+            .option("path", f"{shared_dir(spark)}/{name}")
+            .option("compression", "zstd")
+            .saveAsTable(name)
+        )
     return spark.table(name)
 
 
