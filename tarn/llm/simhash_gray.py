@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(ids.select("fp"), d))
     named = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    by_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_root = saved(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
     names = named.join(by_root, "root").select("fp", "component_id")
     return fp.join(names, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -301,14 +301,31 @@ def prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.nda
     return h[at[place]], place
 
 
+#: Bits of a text's parity map, in words of 64.
+PARITY_WORDS = 8
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Parity map of a set of shingles: bit i is 1 if an odd number of them falls to it.
+
+    A shingle that only one of two texts has changes one bit, so two maps differ in at most as many bits as the sets differ
+    in shingles: a bound that never turns away a pair of the similarity.
+    """
+    bits = np.bincount((h >> np.uint64(20) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(s, node, size, place) for each shingle s of each text's prefix; texts without words meet at s = 0."""
+    """(s, node, size, place) for each shingle s of each text's prefix, and (node, bits) once: its parity map, s being null.
+
+    Texts without words meet at s = 0.
+    """
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
 
     def batches(it):
         seen = set()  # copies in one task give their rows once
         for b in it:
-            s, node, size, place = [], [], [], []
+            s, node, size, place, maps = [], [], [], [], []
             for n, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
                 if n in seen:
                     continue
@@ -319,11 +336,15 @@ def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 place.append(at)
                 node.append(np.full(len(of), n))
                 size.append(np.full(len(of), len(h)))
+                maps.append((n, parity(h)))
             if s:
                 cols = [pa.array(np.concatenate(x)).cast(of) for x, of in ((s, pa.int64()), (node, pa.int64()), (size, pa.int32()), (place, pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["s", "node", "size", "place"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.list_(pa.int64()))], names=names)
+                none = [pa.nulls(len(maps), pa.int32())] * 2
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(maps), pa.int64()), pa.array([n for n, _ in maps]), *none, pa.array([x for _, x in maps], pa.list_(pa.int64()))], names=names)
 
-    return texts.select("node", "text").mapInArrow(batches, "s long, node long, size int, place int")
+    names = ["s", "node", "size", "place", "bits"]
+    return texts.select("node", "text").mapInArrow(batches, "s long, node long, size int, place int, bits array<long>")
 
 
 def _may(similarity: float, x: str, y: str):
@@ -354,36 +375,38 @@ def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of this similarity; ``texts`` has node and text.
 
     Texts that share a shingle of their prefixes are a group. First each group's least node is checked against the others.
-    What these links don't join is then checked pair by pair: every pair of a group that lies in two components.
+    What these links don't join is then checked pair by pair: every pair of a group that lies in two components and whose
+    sizes, places and parity maps allow the similarity.
     """
-    rows = saved(_prefixes(texts, width, similarity))
+    both = saved(_prefixes(texts, width, similarity))
+    rows = both.where("s is not null").select("s", "node", "size", "place")
     first = rows.groupBy("s").agg(F.min(F.struct("node", "size", "place")).alias("p"), F.max("node").alias("last")).where("p.node < last")
     first = saved(first.select("s", F.col("p.node").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.place").alias("p_place")))
     met = saved(rows.join(first, "s").where("node <> pivot").distinct())
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     checked = saved(met.where(_may(similarity, "", "p_")).withColumn("other", F.col("pivot")).select(*pair).distinct())
     found = saved(_alike(checked, texts, width, similarity))
-    # a few of the pairs join most of what belongs together, so that the last turn, which leaves none out, has few to check
-    for part in (64, 1):
-        roots = saved(components(found))
-        rest = (
-            met.select("s", "node", "size", "place", "pivot")
-            .join(roots, "node", "left")
-            .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left")
-            .select("s", "node", "size", "place", F.coalesce("root", "node").alias("root"), F.coalesce("p_root", "pivot").alias("p_root"))
-        )
-        rest = saved(rest)
-        # groups with someone outside the first one's component, and someone else to check
-        more = saved(rest.groupBy("s").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.col("root") != F.col("p_root")).alias("out")).where("u < v AND out").select("s"))
-        rest = saved(rest.join(more, "s", "left_semi"))
-        out = rest.where("root <> p_root").select("s", *[F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "root")])
-        across = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("p_root")) | (F.col("node") < F.col("o_node")))
-        among = F.pmod(F.xxhash64(F.least("node", "o_node"), F.greatest("node", "o_node")), F.lit(part)) == 0
-        late = out.join(rest, (out["s"] == rest["s"]) & across & among & _may(similarity, "", "o_")).withColumn("other", F.col("o_node")).select(*pair).distinct()
-        late = saved(late.join(checked, ["a", "b"], "left_anti"))
-        found = saved(found.unionByName(_alike(late, texts, width, similarity)))
-        checked = checked.unionByName(late)
-    return found
+    roots = saved(components(found))
+    rest = (
+        met.select("s", "node", "size", "place", "pivot")
+        .join(roots, "node", "left")
+        .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left")
+        .select("s", "node", "size", "place", F.coalesce("root", "node").alias("root"), F.coalesce("p_root", "pivot").alias("p_root"))
+    )
+    rest = saved(rest)
+    # groups with someone outside the first one's component, and someone else to check
+    more = saved(rest.groupBy("s").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.col("root") != F.col("p_root")).alias("out")).where("u < v AND out").select("s"))
+    maps = both.where("s is null").dropDuplicates(["node"]).select("node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY_WORDS)])
+    open_ = rest.join(more, "s", "left_semi")
+    rest = saved(open_.join(maps.join(saved(open_.select("node").distinct()), "node", "left_semi"), "node"))
+    kept = ["node", "size", "place", "root", *[f"b{i}" for i in range(PARITY_WORDS)]]
+    out = rest.where("root <> p_root").select("s", *[F.col(c).alias(f"o_{c}") for c in kept])
+    across = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("p_root")) | (F.col("node") < F.col("o_node")))
+    apart = sum(F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(PARITY_WORDS))
+    near = apart * (1 + similarity) <= (1 - similarity) * (F.col("size") + F.col("o_size")) + 1e-6
+    late = out.join(rest, (out["s"] == rest["s"]) & across & _may(similarity, "", "o_") & near).withColumn("other", F.col("o_node")).select(*pair).distinct()
+    late = saved(late.join(checked, ["a", "b"], "left_anti"))
+    return saved(found.unionByName(_alike(late, texts, width, similarity)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -398,7 +421,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(near_links(chosen.select("node", "text"), width, similarity))
     ids = every.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    keepers = named.groupBy("root").agg(F.min("least").alias("keeper"))
+    # a table, so that Spark can split the rows of a large group in the join
+    keepers = saved(named.groupBy("root").agg(F.min("least").alias("keeper")))
     return every.join(named.select("node", "root"), "node").join(keepers, "root")
 
 
