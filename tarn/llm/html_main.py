@@ -1,12 +1,16 @@
 """Main text of web pages by consensus host paths.
 
 A page is read once as a stream of tags and texts. Blocks of text fall to their containers; a container is known by its
-generalised path (tags and first classes from the root down, numbers as #). Blocks inside boilerplate elements (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, by tag or by the words of class and id) count
-nowhere. Containers are scored by the text of their own blocks outside links, and by a share of their children's.
+generalised path (tags and first classes from the root down, numbers as #), kept as a hash of its parent's and its own
+name. Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are known by tag,
+or by the words of class and id; words never decide over an element that holds the page's heading or article, or without
+which no paragraph would be left (a wrapper of class ``has-sidebar``, a form around the page). Containers are scored by
+the text of their own blocks outside links, and by their children's scores: all of them if nothing in the container is
+boilerplate, else half.
 
-Spark then adds up the scores by host and path, and the best path of each host is joined back to its pages: the text is
-that of the host's path where a page has it, else of the page's own best container, else of all blocks left.
+Spark then adds up the scores by host and path. The best paths of each host (``PATHS`` at most, for hosts with several
+templates) are joined back to its pages: a page's text is that of the path that holds most of it, if that is at least
+``SHARE`` of the page's own best container; else it is that container's, else that of all blocks left.
 
 Edge cases: null or empty html has no text; unclosed, misnested and cut-off markup is read as far as it goes; pages
 without a host (null url) vote together; repeated rows vote and return each; an empty table gives an empty result; only
@@ -19,7 +23,8 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -27,6 +32,7 @@ from .url_templates import host_and_path
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?:svg|math|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
     r"|<(script|style|noscript|template|textarea|svg|iframe|object|select|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|[^<]+|<",
@@ -45,38 +51,66 @@ BOILERPLATE_WORDS = frozenset(
     " promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription"
     " tags taboola teaser toolbar topbar widget widgets".split()
 )
+#: First words of classes that tell a state (``has-sidebar``), last ones (``comments-closed``), and first ones of an
+#: article's own header (``entry-header``).
+STATES = frozenset("has no with without is js".split())
+CONDITIONS = frozenset("closed open enabled disabled active on off visible hidden".split())
+OWN_HEADER = frozenset("article content entry post section story text title".split())
+#: Words that may stand beside a boilerplate word in the class of an inline element.
+PLAIN_WORDS = frozenset("bar block box button buttons btn count icon icons item items label link links list me more on text this to us wrap wrapper".split())
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What a container gets of its children's scores.
+#: What a container gets of its children's scores, if some of it is boilerplate.
 UP = 0.5
+#: Characters of a paragraph that must be left outside an element for its class to make it boilerplate.
+PARAGRAPH = 80
+#: Most paths of a host, the least share of its votes for each, and the least share of a page's own best container.
+PATHS, VOTES, SHARE = 3, 0.1, 0.6
 
 
 class _Node:
-    __slots__ = ("tag", "path", "junk", "parent", "inside", "score", "other")
+    __slots__ = ("tag", "path", "depth", "words", "junk", "parent", "score", "other", "clean", "whole", "inside")
 
-    def __init__(self, tag, path, junk, parent):
-        self.tag, self.path, self.junk, self.parent = tag, path, junk, parent
+    def __init__(self, tag, name, words, junk, parent):
+        self.tag, self.words, self.junk, self.parent = tag, words, junk, parent
+        self.path = xxhash.xxh64_intdigest(name, parent.path) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
         self.score = 0.0  # text of its own blocks outside links
         self.other = 0  # own blocks that are no headings
+        self.clean = True  # no boilerplate in it
+        self.whole = False  # holds the page's heading or article
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
+def _marks(value: str, inline: bool) -> bool:
+    """Whether a class, id or role has a token that marks boilerplate."""
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or (len(words) > 1 and (words[0] in STATES or words[-1] in CONDITIONS)):
+            continue
+        found = BOILERPLATE_WORDS.intersection(words)
+        if found == {"header"} and words[0] in OWN_HEADER:
+            continue
+        if found and (not inline or found.union(PLAIN_WORDS).issuperset(words)):
+            return True
+    return False
+
+
+def _describe(tag: str, attributes: str, inline: bool = False) -> tuple[str, bool]:
     """Name of an element in a path, and whether its words mark boilerplate."""
     if not attributes or "=" not in attributes:
         return tag, False
     name, junk = tag, False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
-        words = {w.lower() for w in _WORD.findall(value)}
-        junk |= bool(words & BOILERPLATE_WORDS)
+        junk |= _marks(value, inline)
         if key.lower() == "class" and value.split():
             name = tag + "." + re.sub(r"\d+", "#", value.split()[0].lower())
     return name, junk
 
 
 def read(html: str | None):
-    """(nodes, blocks) of a page: containers in order, and (node, text, outside links, heading) for each block."""
-    root = _Node("", "", False, None)
+    """(nodes, blocks) of a page: containers in order, and (node, text, outside links, heading) for each block that stays."""
+    root = _Node("", "", False, False, None)
     nodes, blocks = [root], []
     node, text, links, heading = root, [], 0, False
     in_link = article = 0
@@ -86,7 +120,7 @@ def read(html: str | None):
         nonlocal text, links
         if text:
             t = " ".join(unescape("".join(text)).split())
-            if t and not node.junk:
+            if t:
                 blocks.append((node, t, max(0, len(t) - links), heading))
             text, links = [], 0
 
@@ -114,7 +148,7 @@ def read(html: str | None):
         if tag not in BLOCKS and tag not in BOILERPLATE_TAGS:
             if close and mute and mute[-1] == tag:
                 mute.pop()
-            elif not close and tag not in VOID and (mute or _describe(tag, m[4])[1]):
+            elif not close and tag not in VOID and (mute or _describe(tag, m[4], True)[1]):
                 mute.append(tag)
             continue
         mute.clear()
@@ -128,8 +162,10 @@ def read(html: str | None):
                 if node.tag in ("p", "li", *HEADINGS):
                     node = node.parent
                 name, junk = _describe(tag, m[4])
+                if tag == "h1":
+                    node.whole = True
                 if junk:
-                    node = _Node(tag, f"{node.path}>{name}", True, node)
+                    node = _Node(tag, name, True, False, node)
                     nodes.append(node)
             elif node.tag == tag:
                 node = node.parent
@@ -150,56 +186,87 @@ def read(html: str | None):
                 node = node.parent
             if node.tag == "head" and tag != "title":
                 node = node.parent
-            name, junk = _describe(tag, m[4])
+            name, words = _describe(tag, m[4])
             # the header of an article is its title, that of a page is not
-            junk |= tag in BOILERPLATE_TAGS or (tag == "header" and not article)
-            if tag in ("html", "body", "article", "main"):
-                junk = False
-            node = _Node(tag, f"{node.path}>{name}" if node.path else name, node.junk or junk, node)
+            junk = tag in BOILERPLATE_TAGS - {"form", "fieldset"} or (tag == "header" and not article)
+            words = (words or tag in ("form", "fieldset")) and tag not in ("html", "body", "main")
+            node = _Node(tag, name, words, junk, node)
+            node.whole = tag == "main" or (tag == "article" and not words)
             nodes.append(node)
             article += tag in ("article", "main")
     flush()
-    return nodes, blocks
+    return nodes, _without_boilerplate(nodes, blocks)
+
+
+def _without_boilerplate(nodes, blocks):
+    """Settles which nodes are boilerplate, and returns the blocks of the others."""
+    for node in reversed(nodes[1:]):
+        node.parent.whole |= node.whole and not node.junk
+    by_tag = [node.junk for node in nodes]
+    while True:
+        for node, junk in zip(nodes[1:], by_tag[1:]):
+            node.junk = junk or node.parent.junk or (node.words and not node.whole)
+        left = [b for b in blocks if not b[0].junk]
+        size = sum(len(t) for _, t, _, _ in left)
+        wrapper = _wrapper(blocks, nodes, by_tag, size) if size < PARAGRAPH else None
+        if wrapper is None:
+            break
+        wrapper.words = False
+    for node in reversed(nodes[1:]):
+        node.parent.clean &= node.clean and not node.junk
+    return left
+
+
+def _wrapper(blocks, nodes, by_tag, left: int):
+    """The outermost element whose words take the page's longest paragraph, if it is one around the page; else None."""
+    tagged = {id(n) for n, junk in zip(nodes, by_tag) if junk}
+    longest, found = 0, None
+    for node, t, _, _ in blocks:
+        if len(t) <= longest or len(t) < min(PARAGRAPH, 1 if not left else PARAGRAPH):
+            continue
+        outer = None
+        while node is not None and id(node) not in tagged:
+            outer = node if node.words and not node.whole else outer
+            node = node.parent
+        if node is None and outer is not None and (not left or outer.parent.tag in ("", "html", "body")):
+            longest, found = len(t), outer
+    return found
 
 
-def container_scores(html: str | None) -> dict[str, float]:
-    """Score of each generalised path of a page."""
+def _scored(html: str | None):
+    """(nodes, blocks, scores): and for each generalised path of a page, its score and depth."""
     nodes, blocks = read(html)
     for node, t, free, heading in blocks:
         node.score += free
         node.other += 0 if heading else len(t)
-    out: dict[str, float] = {}
+    out: dict[int, tuple[float, int]] = {}
     passed: dict[int, float] = {}
     for node in reversed(nodes):
-        total = node.score + UP * passed.get(id(node), 0.0)
+        up = 1.0 if node.clean and node.tag not in ("", "html", "body") else UP
+        total = node.score + up * passed.get(id(node), 0.0)
         if node.parent is not None:
             # a parent that adds no more than headings, and an article around its parts, is as good as they are
-            share = 1 / UP if node.parent.tag in ("article", "main") or (not node.parent.other and node.parent.score) else 1.0
-            passed[id(node.parent)] = passed.get(id(node.parent), 0.0) + share * total
+            parent = node.parent
+            share = 1 / UP if not parent.clean and (parent.tag in ("article", "main") or (not parent.other and parent.score)) else 1.0
+            passed[id(parent)] = passed.get(id(parent), 0.0) + share * total
         if total and not node.junk:
             weight = 1.25 if node.tag in ("article", "main") else 1.0
-            out[node.path] = out.get(node.path, 0.0) + weight * total
-    return out
+            out[node.path] = (out.get(node.path, (0.0, 0))[0] + weight * total, node.depth)
+    return nodes, blocks, out
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """Text of the containers with this path; without any, of the page's best container, else of all that is left."""
-    nodes, blocks = read(html)
+def extract(html: str | None, paths) -> str:
+    """Text of the containers of the path that holds most of the page, if that is enough; else of its best container."""
+    nodes, blocks, scores = _scored(html)
     if not blocks:
         return ""
-    if not any(n.path == path for n in nodes[1:]):
-        scores = container_scores(html)
-        path = max(scores, key=scores.get) if scores else None
-
-    def inside(node):
-        while node is not None:
-            if node.path == path:
-                return True
-            node = node.parent
-        return False
-
-    chosen = [t for node, t, _, _ in blocks if path is None or inside(node)]
-    return " ".join(chosen)
+    best = max(scores, key=lambda p: scores[p]) if scores else None
+    known = [p & (1 << 64) - 1 for p in paths or ()]
+    known = [p for p in known if p in scores and scores[p][0] >= SHARE * scores[best][0]]
+    path = max(known, key=lambda p: scores[p]) if known else best
+    for node in nodes:
+        node.inside = path is None or node.path == path or (node.parent is not None and node.parent.inside)
+    return " ".join(t for node, t, _, _ in blocks if node.inside)
 
 
 def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -207,23 +274,29 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the greatest sum of scores among each host's pages; ``pages`` has host and html."""
+    """(host, paths): the paths with the greatest sums of scores among each host's pages; ``pages`` has host and html."""
 
     def batches(it):
         for b in it:
-            host, path, score = [], [], []
+            host, path, depth, score = [], [], [], []
             for h, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                scores = container_scores(html)
-                total = sum(scores.values())
-                for p, s in scores.items():
+                scores = _scored(html)[2]
+                total = sum(s for s, _ in scores.values())
+                for p, (s, d) in scores.items():
                     host.append(h)
-                    path.append(p)
+                    path.append(p - (1 << 64) if p >> 63 else p)
+                    depth.append(d)
                     score.append(s / total)  # each page has one vote, long or short
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
+            cols = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(depth, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "path", "depth", "score"])
 
-    votes = pages.select("host", "html").mapInArrow(batches, "host string, path string, score double")
-    sums = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("score", "path")).alias("path"))
+    votes = pages.select("host", "html").mapInArrow(batches, "host string, path long, depth int, score double")
+    sums = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"), F.max("depth").alias("depth"))
+    # among like paths, as of containers in one another, the deepest; a host keeps a few rows whatever its pages
+    best = Window.partitionBy("host").orderBy(F.desc("score"), F.desc("depth"), "path")
+    first = sums.withColumn("n", F.row_number().over(best)).where(F.col("n") <= PATHS)
+    most = first.groupBy("host").agg(F.max("score").alias("most"), F.collect_list(F.struct("path", "score")).alias("x"))
+    return most.select("host", F.transform(F.filter("x", lambda x: x["score"] >= VOTES * F.col("most")), lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -231,11 +304,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     base = _with_host(pages, id_col, url_col, html_col)
     # a table of one row a host: Spark knows its size, and broadcasts it only below its limit
     best = saved(host_paths(base))
-    joined = base.join(best, "host", "left").select("page_id", "url", "html", F.col("path").alias("best"))
+    joined = base.join(best, "host", "left").select("page_id", "url", "html", "paths")
 
     def batches(it):
         for b in it:
-            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("best").to_pylist())]
+            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("paths").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -301,6 +301,37 @@ def test_main_text_by_votes(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+LONG_P = "<p>" + "Plain words of an article that goes on for a while and says something. " * 3 + "</p>"
+TEXT = " ".join(LONG_P[3:-4].split())
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><div id="page" class="has-sidebar">{LONG_P}<div class="sidebar">side</div></div></body>', TEXT),
+    (f'<body><div class="post comments-closed">{LONG_P}</div><div class="comments"><p>nice</p></div></body>', TEXT),
+    (f'<body><form id="aspnetForm"><nav>menu</nav><div class="c">{LONG_P}</div></form></body>', TEXT),
+    (f'<body><article><header class="entry-header"><h1>Head</h1></header>{LONG_P}</article></body>', "Head " + TEXT),
+    ('<body><div class="c"><p>A <span class="social-security">social</span> law <span class="share-button">Share</span></p></div></body>', "A social law"),
+    (f'<body><nav>menu</nav><div class=post><div class=intro><p>{"intro " * 40}</p></div><div class=body>{LONG_P * 3}</div></div></body>', " ".join(["intro"] * 40 + [TEXT] * 3)),
+    (f'<body><div class=c><svg class="x"/>{LONG_P}<math/></div></body>', TEXT),
+    (f'<body><div class=c>{LONG_P}</div><div class="comments">{LONG_P * 9}</div></body>', TEXT),
+    (f'<body><div class=c><h1>H</h1>{LONG_P}</div><ol class="commentlist"><li><article class="comment-body">{LONG_P * 9}</article></li></ol></body>', "H " + TEXT),
+    (f'<body><main><div class="l">{LONG_P}</div><div class="related">more</div></main><footer>f</footer></body>', TEXT),
+    ("<div>" * 20_000 + LONG_P + "</div>" * 20_000, TEXT),
+    ('<p class="widget">' + "word " * 200_000 + "</p>", "word " * 199_999 + "word"),
+])
+def test_layouts(page, want):
+    assert html_main.extract(page, None) == want
+
+
+def test_host_with_two_templates(spark):
+    """Pages of either template give their own text; a page whose container of the host's path is empty gives its best."""
+    one, two = f'<body><div class="w"><div class="news">{LONG_P}</div></div></body>', f'<body><div class="w"><section class="blog">{LONG_P * 2}</section></div></body>'
+    odd = f'<body><div class="w"><div class="news"></div><div class="other">{LONG_P}</div></div></body>'
+    rows = [(i, "http://h.com/", one) for i in range(5)] + [(10 + i, "http://h.com/", two) for i in range(3)] + [(20, "http://h.com/", odd)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: TEXT for i in (0, 1, 2, 3, 4, 20)} | {i: f"{TEXT} {TEXT}" for i in (10, 11, 12)}
+
+
 def test_broken_markup_ends():
     for s in ("<", "<div", "<!--", "<div class='", "</div></div>", "<p>x</q>" * 300, "&am", "<a" * 1000):
         html_main.extract(s, None)
