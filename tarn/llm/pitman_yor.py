@@ -16,7 +16,8 @@ shuffle of packed arrays each way and pass, of a size that grows with the data.
 side by side, given the totals of the pass before.
 
 Tokens that would make a block large (a share above 1 / (2 * buckets); so their number is bounded by that of buckets) are
-dealt by the pair instead; their tables in all blocks are added up from pass to pass. Pairs that would make a block large
+dealt by the pair instead, over as many blocks as their share asks for; their tables in these blocks are added up from
+pass to pass. Pairs that would make a block large
 go to their block as counts alone; where they stand in texts stays with the texts, and their probabilities (at most as
 many as 4 * buckets) are sent there.
 
@@ -44,7 +45,7 @@ from .common import partitions, saved, shared_dir, table, tidy
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Documents and bytes of a batch; a document's place in its batch fits 15 bits.
-BATCH, BATCH_BYTES = 4096, 16 << 20
+BATCH, BATCH_BYTES = 2048, 8 << 20
 #: Bytes that are split into tokens at once.
 CHUNK = 1 << 20
 #: Blocks of tokens are so much smaller than a shuffle partition, as a sampler holds its block several times over.
@@ -141,9 +142,9 @@ def _pairs(word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     return _mixed(word ^ (ctx * np.uint64(_BASE)))
 
 
-def _range(h: np.ndarray, n: int) -> np.ndarray:
+def _range(h: np.ndarray, n) -> np.ndarray:
     """Which of n even ranges of hashes."""
-    return ((h >> _LOW) * np.uint64(n) >> _LOW).astype(np.int64)
+    return ((h >> _LOW) * np.asarray(n, np.uint64) >> _LOW).astype(np.int64)
 
 
 def _among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -196,7 +197,13 @@ class Hot:
     """Tokens and pairs that would make a block large; at most as many as 4 times the buckets."""
 
     words: np.ndarray  # sorted hashes
+    parts: np.ndarray  # over how many blocks each is dealt; in all at most a few times the buckets
     pairs: np.ndarray  # sorted hashes of pairs
+    of: np.ndarray  # the pairs' tokens
+
+    def place(self, at: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """What a hot token's pair is dealt by; ``at`` is the token's position in words."""
+        return _mixed(word + (_range(pair, self.parts[at]) + 1).astype(np.uint64) * np.uint64(_BASE))
 
 
 def _totals(chosen: DataFrame, share: int) -> tuple[Hot, int]:
@@ -216,20 +223,23 @@ def _totals(chosen: DataFrame, share: int) -> tuple[Hot, int]:
             often = n * 2 * share >= len(tokens)
             words, n = words[often], n[often]
             of = _among(words, tokens) >= 0
-            pairs, m = np.unique(_pairs(tokens[of], _contexts(tokens, sizes)[of]), return_counts=True)
+            pairs, first, m = np.unique(_pairs(tokens[of], _contexts(tokens, sizes)[of]), return_index=True, return_counts=True)
             often = m * 2 * share >= len(tokens)
-            pairs, m = pairs[often], m[often]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([1, 2], [len(n), len(m)])), pa.array(np.append(words, pairs).view(np.int64)), pa.array(np.append(n, m))], names=["kind", "key", "n"]
-            )
-        yield pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([0, 0]), pa.array([total, train])], names=["kind", "key", "n"])
+            pairs, of, m = pairs[often], tokens[of][first[often]], m[often]
+            cols = np.repeat([1, 2], [len(n), len(m)]), np.append(words, pairs).view(np.int64), np.append(words, of).view(np.int64), np.append(n, m)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["kind", "key", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([0, 0]), pa.array([0, 0]), pa.array([total, train])], names=["kind", "key", "word", "n"])
 
-    sums = saved(chosen.select("text", "held_out").mapInArrow(batches, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    found = chosen.select("text", "held_out").mapInArrow(batches, "kind long, key long, word long, n long")
+    sums = saved(found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
     count = {r["kind"]: r["n"] for r in sums.where("kind > 2").collect()}  # two rows
     # at most 2 * share of each kind
-    hot = sums.where((F.col("kind") <= 2) & (F.col("n") * 2 * share >= count.get(3, 0))).select("kind", "key").toPandas()
-    words, pairs = (np.sort(hot["key"][hot["kind"] == k].to_numpy(np.int64).view(np.uint64)) for k in (1, 2))
-    return Hot(words, pairs), count.get(4, 0)
+    hot = sums.where((F.col("kind") <= 2) & (F.col("n") * 2 * share >= count.get(3, 0))).toPandas()
+    (words, _, n), (pairs, of, _) = ([x[c].to_numpy(np.int64) for c in ("key", "word", "n")] for x in (hot[hot["kind"] == k] for k in (1, 2)))
+    words, pairs, of = words.view(np.uint64), pairs.view(np.uint64), of.view(np.uint64)
+    a, b = np.argsort(words), np.argsort(pairs)
+    # pieces of half a block's mean size
+    return Hot(words[a], np.ceil(n[a] * share / max(count.get(3, 0), 1)).astype(np.int64), pairs[b], of[b]), count.get(4, 0)
 
 
 BLOCK = "bucket int, batch long, cells binary, places binary, ids array<{of}>, held array<boolean>, tokens array<long>"
@@ -276,8 +286,10 @@ def _deal(chosen: DataFrame, hot: Hot, buckets: int) -> DataFrame:
             held = held.to_numpy(zero_copy_only=False)
             ctx = _contexts(tokens, sizes)
             doc = np.repeat((np.arange(len(sizes)) | np.where(held, 0, 1 << 15)).astype(np.uint16), sizes)
-            split = np.flatnonzero(_among(hot.words, tokens) >= 0)  # dealt by the pair
+            which = _among(hot.words, tokens)
+            split = np.flatnonzero(which >= 0)  # dealt by the pair
             pair = _pairs(tokens[split], ctx[split])
+            place = hot.place(which[split], tokens[split], pair)
             cell = _among(hot.pairs, pair)
             is_hot = split[cell >= 0]
             header = _pack(cell=cell[cell >= 0].astype(np.uint32), doc=doc[is_hot])
@@ -286,16 +298,16 @@ def _deal(chosen: DataFrame, hot: Hot, buckets: int) -> DataFrame:
                 x = is_hot[cell[cell >= 0] == at]
                 w, u = tokens[x[:1]], ctx[x[:1]]
                 c = np.array([int((doc[x] >> 15).sum())])
-                rows.append((int(_range(_pairs(w, u), buckets)[0]), batch, blob_of(w, u, np.zeros(1), c, np.empty(0, np.uint16)), None, None, None, None))
+                rows.append((int(_range(place[cell == at][:1], buckets)[0]), batch, blob_of(w, u, np.zeros(1), c, np.empty(0, np.uint16)), None, None, None, None))
             # places in the order of buckets, words and contexts; what collides in 32 bits makes a few more runs
             order = tokens & ~np.uint64(0xFFFFFFFF) | ctx >> np.uint64(8)
-            order[split] = pair & ~np.uint64(0xFFFFFFFF) | tokens[split] >> _LOW
+            order[split] = place & ~np.uint64(0xFFFFFFFF) | pair >> _LOW
             keep = np.ones(len(tokens), bool)
             keep[is_hot] = False
             keep = np.flatnonzero(keep)
             order = keep[np.argsort(order[keep])]
             dealt = tokens.copy()
-            dealt[split] = pair
+            dealt[split] = place
             bucket = _range(dealt[order], buckets)
             tokens, ctx, doc = tokens[order], ctx[order], doc[order]
             first, last = _run_bounds(bucket, tokens, ctx)
@@ -649,7 +661,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     pair_p, pair_count = np.ones(len(hot.pairs)), np.zeros(len(hot.pairs))
     if len(hot.pairs):
-        owners = np.unique(_range(hot.pairs, buckets)).tolist()
+        owners = np.unique(_range(hot.place(_among(hot.words, hot.of), hot.of, hot.pairs), buckets)).tolist()
         found = joined.where(F.col("bucket").isin(owners)).select("bucket", "cells", "met").mapInArrow(hot_pairs, "pair long, p double, count double")
         for r in found.collect():  # a row for each hot pair
             pair_p[r["pair"]], pair_count[r["pair"]] = r["p"], r["count"]

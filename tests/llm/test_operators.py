@@ -138,7 +138,7 @@ def test_pitman_yor_sums_to_one():
     customers = np.bincount(ctx, weights=c)
     none = np.empty(0, np.uint64)
     model, state = pitman_yor.Model(), pitman_yor.State(known=20, d1=0.6, d0=0.4)
-    k = pitman_yor.Block(cells, [{"range": 0, "blob": pitman_yor._pack(c=customers, t=np.ones(3))}], pitman_yor.Hot(none, none), state, model, 1, 0)
+    k = pitman_yor.Block(cells, [{"range": 0, "blob": pitman_yor._pack(c=customers, t=np.ones(3))}], pitman_yor.Hot(none, none, none, none), state, model, 1, 0)
     for _ in range(3):
         k.sweep()
         k.tables = np.bincount(ctx, weights=k.t)
