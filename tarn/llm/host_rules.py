@@ -2,8 +2,8 @@
 
 Every document is measured and held against the rules. The failures are then summed by host, each host's failure rate
 is shrunk towards the rate of all hosts by a beta prior that is fitted to the hosts themselves, and the host's verdict
-is joined back. A document goes if it fails a hard rule, or if it fails a soft rule and its host is a bad one; so a
-document that fails no rule always stays.
+is joined back. A document goes if it fails a hard rule, or if it fails a soft rule and its host isn't clearly better than
+hosts are by the prior; so a document that fails no rule always stays, and a good host's odd pages do, too.
 
 Edge cases: a null or empty text has no words (it fails the word-count rule); documents without a host form one group
 of their own, as null; an empty table gives an empty result; repeated rows each count and each return a row. Only the
@@ -28,14 +28,19 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules. The first two are hard, the others count only in bad hosts."""
+    """Limits of the rules. The first two are hard, the others are forgiven on good hosts.
+
+    A host is good if its shrunk rate is below ``good_share`` of the prior's mean, or ``good_deviations`` of the prior's
+    standard deviations below it, or if it has fewer than ``min_host_documents``, which say little about it.
+    """
 
     min_words: int = 50
     max_repeat_share: float = 0.5
     max_symbols_per_word: float = 0.1
-    max_dup_line_share: float = 0.3
+    max_dup_line_share: float = 0.4
     mean_word_chars: tuple[float, float] = (2.5, 12.0)
-    bad_host_rate: float = 0.5
+    good_share: float = 0.5
+    good_deviations: float = 2.0
     min_host_documents: int = 5
 
 
@@ -118,13 +123,15 @@ def host_verdicts(judged: DataFrame, host_col: str, rules: Rules = Rules()) -> D
     spread = F.greatest(F.col("__v") - mean * F.col("__inv"), F.lit(1e-6))
     weight = F.least(F.greatest(mean / spread - 1, F.lit(1.0)), F.lit(1e4))
     prior = fit.select(F.col("__m"), weight.alias("__w"))
+    limit = F.greatest(rules.good_share * F.col("__m"), F.col("__m") - rules.good_deviations * F.sqrt(mean / (F.col("__w") + 1)))
     # the prior is one row by construction, so this is no cross join of data
     return hosts.join(F.broadcast(prior)).select(
         "__host",
         "host_documents",
         "host_failures",
         ((F.col("host_failures") + F.col("__m") * F.col("__w")) / (F.col("host_documents") + F.col("__w"))).alias("host_rate"),
-    ).withColumn("host_bad", (F.col("host_rate") > rules.bad_host_rate) & (F.col("host_documents") >= rules.min_host_documents))
+        limit.alias("__limit"),
+    ).select("__host", "host_documents", "host_failures", "host_rate", ((F.col("host_rate") >= F.col("__limit")) & (F.col("host_documents") >= rules.min_host_documents)).alias("host_bad"))
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: Rules = Rules()) -> DataFrame:
@@ -172,12 +179,12 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed,
-  n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words AS soft_failed FROM m),
+  n_symbols > 0.1 * n_words OR n_dup_lines > 0.4 * n_lines OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words AS soft_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed OR soft_failed)::DOUBLE AS bad FROM f GROUP BY source),
 a AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS inv FROM h),
 p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 1), 1e4) AS weight FROM a),
-q AS (SELECT source, n, (bad + m * weight) / (n + weight) AS host_rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (soft_failed AND host_rate > 0.5 AND n >= 5)) AS kept, round(host_rate, 6) AS host_rate
+q AS (SELECT source, n, (bad + m * weight) / (n + weight) AS host_rate, greatest(0.5 * m, m - 2 * sqrt(m * (1 - m) / (weight + 1))) AS good FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (soft_failed AND host_rate >= good AND n >= 5)) AS kept, round(host_rate, 6) AS host_rate
 FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
 """
 

@@ -1,10 +1,12 @@
 """URL filter: fixed rules, and path templates judged by their labels. DataFrame functions only.
 
-Each host has a tree of path segments. From the root down, a branch stays literal only if it holds ``min_share`` of its
-parent's urls and its share of labelled blocks differs from its parent's (two-proportion z test); all others, variable
-or statistically alike, merge into one wildcard branch. So a node has at most 1 / min_share literal branches. A template
-is rejected if the share of blocks among its labelled urls, smoothed towards the share over all hosts, is above
-``reject``; templates without labels follow the prior and are allowed.
+Each host has a tree of path segments. From the root down, a branch stays literal if its share of labelled blocks differs
+from that of its labelled siblings (two-proportion z test), however small it is, or if it does so on ``min_hosts`` other
+hosts. Of the others, segments of fewer than ``min_urls`` urls are variable and merge into one wildcard ``*``. Larger ones with labels that don't differ merge into
+``+`` (a single one stays literal); larger ones without labels stay literal, as nothing says that they are like others.
+
+A template is rejected if the share of blocks among its labelled urls is above ``reject``, after smoothing towards the
+share of the same template over all hosts, which in turn is smoothed towards the share of all labelled urls.
 
 Labels are given, or else the verdicts of the fixed rules. The longest rule that fits decides before any template.
 
@@ -29,7 +31,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 @dataclass(frozen=True)
 class Templates:
     depth: int = 4  # segments; what lies deeper belongs to the last
-    min_share: float = 0.02
+    min_urls: int = 8
+    min_hosts: int = 2
     z: float = 1.96
     prior: float = 4.0  # weight of the share over all hosts, in labelled urls
     reject: float = 0.75
@@ -69,22 +72,26 @@ def templates(urls: DataFrame, config: Templates = Templates()) -> DataFrame:
             rows = rows.withColumn("seg", F.when(F.col("key") != "", F.col("seg")))
         child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         child = saved(child)
-        parent = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"p_{c}") for c in ("n", "labelled", "blocked")])
+        large = F.col("n") >= config.min_urls
+        labelled_large = F.sum((large & (F.col("labelled") > 0)).cast("long")).alias("p_large")
+        parent = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"p_{c}") for c in ("labelled", "blocked")], labelled_large)
+        parent = saved(parent)  # so that Spark can split a host with many branches in the join
         # the parent without the child: the branches that the child is held against
         other_n, other_b = F.col("p_labelled") - F.col("labelled"), F.col("p_blocked") - F.col("blocked")
         pooled = F.col("p_blocked") / F.col("p_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / other_n))
         z = F.abs(F.col("blocked") / F.col("labelled") - other_b / other_n) / error
-        differs = (F.col("labelled") > 0) & (other_n > 0) & (F.col("p_blocked") > 0) & (F.col("p_blocked") < F.col("p_labelled")) & (z > config.z)
-        literal = saved(
-            child.join(parent, ["host", "template"])
-            .where((F.col("n") >= config.min_share * F.col("p_n")) & F.when((F.col("labelled") > 0) & (other_n > 0) & (pooled > 0) & (pooled < 1), differs).otherwise(F.lit(False)))
-            .select("host", "template", "seg", F.lit(True).alias("literal"))
-        )
-        step = F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*"))
-        tree = rows.join(literal, ["host", "template", "seg"], "left").select(
+        differs = F.when((F.col("labelled") > 0) & (other_n > 0) & (F.col("p_blocked") > 0) & (F.col("p_blocked") < F.col("p_labelled")), z > config.z).otherwise(F.lit(False))
+        step = F.when(differs, F.col("seg")).when(~large, F.lit("*")).when((F.col("labelled") == 0) | (F.col("p_large") == 1), F.col("seg")).otherwise(F.lit("+"))
+        # few of many variable segments are in here: all without a step become wildcards
+        apart = child.where(large | (F.col("labelled") > 0)).join(parent, ["host", "template"]).withColumn("differs", differs).withColumn("step", step)
+        apart = saved(apart.where("step <> '*'").select("host", "template", "seg", "step", "differs"))
+        common = saved(apart.where("differs").groupBy("template", "seg").count().where(F.col("count") >= config.min_hosts).select("template", "seg"))
+        named = child.join(common, ["template", "seg"], "left_semi").select("host", "template", "seg", F.col("seg").alias("step"))
+        steps = saved(apart.drop("differs").join(common, ["template", "seg"], "left_anti").unionByName(named))
+        tree = rows.join(steps, ["host", "template", "seg"], "left").select(
             "host", "key", "n", "labelled", "blocked",
-            F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)).alias("template"),
+            F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("step", F.lit("*")))).alias("template"),
         )
     return tree
 
@@ -107,8 +114,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     share = tree.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("share"))
     # one row, by construction
-    purity = (F.col("blocked") + config.prior * F.col("share")) / (F.col("labelled") + config.prior)
-    judged = sums.join(F.broadcast(share)).select("host", "template", purity.alias("purity"))
+    shrunk = lambda mean: (F.col("blocked") + config.prior * F.col(mean)) / (F.col("labelled") + config.prior)
+    everywhere = sums.groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    everywhere = saved(everywhere.join(F.broadcast(share)).select("template", shrunk("share").alias("mean")))
+    judged = sums.join(everywhere, "template").select("host", "template", shrunk("mean").alias("purity"))
     of_path = saved(tree.select("host", "key", "template").join(judged, ["host", "template"]))
     return base.join(of_path, ["host", "key"]).select(
         "page_id", "host", "path", "rule",
@@ -137,15 +146,19 @@ def _sql(rules=RULES, c: Templates = Templates()) -> str:
         parts += [
             f"r{k} AS (SELECT *, nullif({seg}, '') AS seg FROM t{k})",
             f"c{k} AS (SELECT host, template, seg, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM r{k} WHERE seg IS NOT NULL GROUP BY ALL)",
-            f"p{k} AS (SELECT host, template, sum(n) AS pn, sum(labelled) AS pl, sum(blocked) AS pb FROM c{k} GROUP BY ALL)",
-            f"l{k} AS (SELECT host, template, seg FROM c{k} JOIN p{k} USING (host, template) WHERE n >= {c.min_share} * pn AND CASE WHEN labelled > 0 AND pl > labelled AND pb > 0 AND pb < pl "
-            f"THEN abs(blocked / labelled - (pb - blocked) / (pl - labelled)) / sqrt(pb / pl * (1 - pb / pl) * (1 / labelled + 1 / (pl - labelled))) > {c.z} ELSE false END)",
-            f"t{k + 1} AS (SELECT host, key, n, labelled, blocked, CASE WHEN seg IS NULL THEN template ELSE template || '/' || CASE WHEN (host, template, seg) IN (SELECT (host, template, seg) FROM l{k}) THEN seg ELSE '*' END END AS template FROM r{k})",
+            f"p{k} AS (SELECT host, template, sum(labelled) AS pl, sum(blocked) AS pb, count_if(n >= {c.min_urls} AND labelled > 0) AS big FROM c{k} GROUP BY ALL)",
+            f"d{k} AS (SELECT *, CASE WHEN labelled > 0 AND pl > labelled AND pb > 0 AND pb < pl "
+            f"THEN abs(blocked / labelled - (pb - blocked) / (pl - labelled)) / sqrt(pb / pl * (1 - pb / pl) * (1 / labelled + 1 / (pl - labelled))) > {c.z} ELSE false END AS differs "
+            f"FROM c{k} JOIN p{k} USING (host, template))",
+            f"l{k} AS (SELECT host, template, seg, CASE WHEN differs OR (template, seg) IN (SELECT (template, seg) FROM d{k} WHERE differs GROUP BY template, seg HAVING count(*) >= {c.min_hosts}) THEN seg "
+            f"WHEN n < {c.min_urls} THEN '*' WHEN labelled = 0 OR big = 1 THEN seg ELSE '+' END AS step FROM d{k})",
+            f"t{k + 1} AS (SELECT r.host, key, n, labelled, blocked, CASE WHEN r.seg IS NULL THEN r.template ELSE r.template || '/' || step END AS template FROM r{k} r LEFT JOIN l{k} l ON r.host = l.host AND r.template = l.template AND r.seg = l.seg)",
         ]
     parts += [
         f"s AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{c.depth} GROUP BY ALL)",
         f"g AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS share FROM t{c.depth})",
-        f"j AS (SELECT host, template, (blocked + {c.prior} * share) / (labelled + {c.prior}) AS purity FROM s, g)",
+        f"e AS (SELECT template, (sum(blocked) + {c.prior} * any_value(share)) / (sum(labelled) + {c.prior}) AS mean FROM s, g GROUP BY template)",
+        f"j AS (SELECT host, template, (blocked + {c.prior} * mean) / (labelled + {c.prior}) AS purity FROM s JOIN e USING (template))",
     ]
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT page_id, b.host, path, rule, coalesce(ruled, CASE WHEN purity > {c.reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity"
