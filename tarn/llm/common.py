@@ -29,22 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession):
-    """Writes within remove their own shuffle files when they are done, rather than when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def tidy(spark: SparkSession, arrow_rows: int | None = None):
+    """Writes within remove their own shuffle files when they are done, rather than when the driver collects its garbage.
+
+    ``arrow_rows``: at most so many rows go to Python at once; for rows that hold large blobs.
+    """
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if arrow_rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(arrow_rows)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
-    with tidy(spark):
+    with tidy(spark, arrow_rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

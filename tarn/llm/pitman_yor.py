@@ -45,7 +45,7 @@ from .common import partitions, saved, shared_dir, table, tidy
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Documents and bytes of a batch; a document's place in its batch fits 15 bits.
-BATCH, BATCH_BYTES = 2048, 8 << 20
+BATCH, BATCH_BYTES = 2048, 4 << 20
 #: Bytes that are split into tokens at once.
 CHUNK = 1 << 20
 #: Blocks of tokens are so much smaller than a shuffle partition, as a sampler holds its block several times over.
@@ -379,7 +379,7 @@ def _blocks(dealt: DataFrame) -> DataFrame:
 
     made = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(batches, arrow_schema)
     name = f"tarn_blocks_{uuid.uuid4().hex}"
-    with tidy(spark):
+    with tidy(spark, arrow_rows=64):
         made.write.bucketBy(n, "bucket").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
