@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import partitions, saved, table
 
 CAPACITY, END_ID = 1024, 2
+#: Numbers of groups that are tried; the plan with the fewest sequences is taken.
+GROUPS = (128, 256, 512, 1024)
 #: The words of this kind of byte-level vocabulary, as published with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with other characters are encoded by the tokenizers library: what counts as a letter depends on the version of
@@ -71,9 +73,12 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if _PLAIN.search(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+        if not _PLAIN.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its patterns give up on very long runs of white space
+                pass
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -255,12 +260,12 @@ def _ranked(found: DataFrame, slices: int) -> DataFrame:
     )
 
 
-def best_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 1024) -> list[Run]:
-    """The plan with the fewest sequences among a few limits of what counts as small."""
-    return min((plan(counts, capacity, groups, s) for s in (0.03, 0.06, 0.09, 0.125, 0.15)), key=lambda x: x[1])[0]
+def best_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[Run]:
+    """The plan with the fewest sequences among a few numbers of groups and limits of what counts as small."""
+    return min((plan(counts, capacity, g, s) for g in groups for s in (0.03, 0.06, 0.09, 0.125, 0.15)), key=lambda x: x[1])[0]
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 1024) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     spark = found.sparkSession
     found = saved(found)

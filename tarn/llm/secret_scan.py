@@ -37,7 +37,7 @@ class EntropyRules:
 
     width: int = 20
     classes: tuple[tuple[str, str, float], ...] = (
-        ("hex", r"[0-9a-f]+|[0-9A-F]+", 3.0),
+        ("hex", r"[0-9a-fA-F]+", 3.0),
         ("alnum", r"[A-Za-z0-9]+", 3.7),
         ("base64", r"[A-Za-z0-9+/_=-]+", 3.9),
     )
@@ -122,11 +122,21 @@ class Scanner:
         return [tuple(x) for x in found]
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """The base spans, and all spans: entropy adds those that overlap no base span."""
+        """The base spans, and all spans: entropy adds what no base span covers."""
         if not text:
             return [], []
         base = self.base(text)
-        more = [x for x in self.entropic(text) if all(x[2] <= a or b <= x[0] for a, _, b in base)]
+        more, i, covered = [], 0, 0
+        for a, kind, b in self.entropic(text):
+            # base spans up to this one's end, in step with the entropy's; ``covered`` is how far they reach
+            while i < len(base) and base[i][0] < b:
+                if a < base[i][0] and covered < base[i][0]:
+                    more.append((max(a, covered), kind, base[i][0]))
+                covered = max(covered, base[i][2])
+                a = max(a, covered)
+                i += 1
+            if max(a, covered) < b:
+                more.append((max(a, covered), kind, b))
         return base, sorted(base + more)
 
 

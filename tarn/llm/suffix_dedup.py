@@ -15,7 +15,7 @@ A suffix order of the whole corpus is never held in one place. The work is cut s
 5. The repeated windows are joined back to the texts, whose covered bytes are removed.
 
 Segments of an anchor with over ``hot_rows`` places (a passage that many documents share) don't meet in one task: there
-each window is an anchor of its own, keyed by the hashes of its anchor and of its LENGTH bytes (128 bits), and counted.
+each window is an anchor of its own, keyed by 128 bits of hash of its LENGTH bytes, and counted.
 
 Edge cases: a null text is empty; texts under LENGTH bytes lose nothing; copies of a longer text lose everything;
 repeated rows are copies of each other; an empty table gives an empty result; only the named columns are read.
@@ -320,7 +320,9 @@ def _segments(joined: DataFrame) -> DataFrame:
                     n = (place & 255) + 1
                     if x["hot"]:
                         for p in range(first, first + n):
-                            add(h, xxhash.xxh64_intdigest(text[p : p + LENGTH]) - (1 << 63), 0, c, None, k1, k2, p, True)
+                            d = xxhash.xxh128_digest(text[p : p + LENGTH])
+                            s1, s2 = (int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))
+                            add(h, s1, s2, c, None, k1, k2, p, True)
                     else:
                         s = text[first : first + n + LENGTH - 1]
                         d = xxhash.xxh128_digest(s)
@@ -419,8 +421,9 @@ def repeated_spans(texts: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     spans = cut.where("not hot").join(found, ["s1", "s2"]).select("k1", "k2", F.struct("first", "runs").alias("x"))
     one = F.unhex(F.lit("0000000001000000"))
     windows = cut.where("hot")
-    often = windows.groupBy("h", "s1").agg(F.sum("weight").alias("n")).where("n > 1")
-    hot = windows.join(often, ["h", "s1"], "left_semi")
+    # a table, so that Spark can split the rows of a common window in the join
+    often = saved(windows.groupBy("s1", "s2").agg(F.sum("weight").alias("n")).where("n > 1").select("s1", "s2"))
+    hot = windows.join(often, ["s1", "s2"], "left_semi")
     spans = spans.unionByName(hot.select("k1", "k2", F.struct("first", one.alias("runs")).alias("x")))
     return spans.groupBy("k1", "k2").agg(F.collect_list("x").alias("spans"))
 

@@ -134,7 +134,10 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
 def segment(parts: list[bytes], v: Pieces) -> list[tuple[list[int], float]]:
     """Ids and score of each of many parts (UTF-8), by Viterbi in step over groups of like lengths."""
     out: list = [None] * len(parts)
-    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+    for i, p in enumerate(parts):
+        if len(p) > ALONE:
+            out[i] = _alone(p, v)
+    order = sorted((i for i, p in enumerate(parts) if len(p) <= ALONE), key=lambda i: len(parts[i]))
     at = 0
     while at < len(order):
         end = at + 1
@@ -147,6 +150,60 @@ def segment(parts: list[bytes], v: Pieces) -> list[tuple[list[int], float]]:
     return out
 
 
+#: Parts with more bytes are segmented alone; most are a word.
+ALONE = 192
+#: Positions of such a part whose pieces are looked up at once.
+WINDOW = 1 << 15
+
+
+def _alone(part: bytes, v: Pieces) -> tuple[list[int], float]:
+    """Ids and score of one long part: pieces from all positions by one walk through the trie, then Viterbi over them."""
+    n = len(part)
+    text = np.frombuffer(part, np.uint8)
+    leads = np.flatnonzero(text & 0xC0 != 0x80)
+    width = np.append(leads[1:], n) - leads
+    unknown = float(v.score.min()) - UNKNOWN_PENALTY
+    limit = len(v.check)
+    best, come, piece = [-np.inf] * (n + 1), array("i", bytes(4 * (n + 1))), array("i", [-1]) * (n + 1)
+    best[0] = 0.0
+    for lo in range(0, len(leads), WINDOW):
+        at = leads[lo : lo + WINDOW]
+        live, node = np.arange(len(at)), np.zeros(len(at), np.int32)
+        found = []
+        for k in range(v.longest):
+            inside = at[live] + k < n
+            live, node = live[inside], node[inside]
+            child = v.base[node] + text[at[live] + k]
+            ok = (child < limit) & (v.check[np.minimum(child, limit - 1)] == node) & (v.base[node] > 0)
+            live, node = live[ok], child[ok]
+            if not len(live):
+                break
+            hit = np.flatnonzero(v.value[node] >= 0)
+            found.append((live[hit], np.full(len(hit), k + 1), v.value[node[hit]]))
+        start, size, ends = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(len(at) + 1)).tolist()
+        size, ends, worth = size[order].tolist(), ends[order].tolist(), v.score[ends[order]].tolist()
+        for j, (i, w) in enumerate(zip(at.tolist(), width[lo : lo + WINDOW].tolist())):
+            here = best[i]
+            if here == -np.inf:
+                continue
+            single = False
+            for e in range(bounds[j], bounds[j + 1]):
+                to, now = i + size[e], here + worth[e]
+                single |= size[e] == w
+                if now > best[to]:
+                    best[to], come[to], piece[to] = now, i, ends[e]
+            if not single and here + unknown > best[i + w]:
+                best[i + w], come[i + w], piece[i + w] = here + unknown, i, -1
+    ids, e = [], n
+    while e:
+        b, i = come[e], piece[e]
+        ids.extend([i] if i >= 0 else [v.byte_ids[c] for c in reversed(part[b:e])])
+        e = b
+    return ids[::-1], best[n]
+
+
 def _in_step(parts: list[bytes], v: Pieces):
     n, most = len(parts), len(parts[-1])
     text = np.frombuffer(b"".join(p.ljust(most + 1, b"\0") for p in parts), np.uint8).reshape(n, most + 1)

@@ -480,6 +480,34 @@ def test_entropy():
     scan("a-" * 50_000 + "!")
 
 
+def test_entropy_finds_tokens():
+    """Share of random tokens of common formats that are covered whole, but for their fixed first letters."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    formats = {
+        "ghp_ and 36 letters": lambda: ("ghp_", some(word, 36)), "ghp_ and mixed hex": lambda: ("ghp_", some("0123456789abcdefABCDEF", 36)), "sk_live_": lambda: ("sk_live_", some(word, 24)),
+        "40 of base64": lambda: ("", some(b64, 40)), "64 of base64": lambda: ("", some(b64, 64) + "=="), "upper hex": lambda: ("", some("0123456789ABCDEF", 32)), "30 letters and digits": lambda: ("", some(word, 30)),
+    }
+    scan = secret_scan.Scanner().scan
+    for name, make in formats.items():
+        hits = 0
+        for _ in range(300):
+            head, body = make()
+            spans = scan(f"the key is {head}{body} here")[1]
+            at = 11 + len(head)
+            covered = set().union(*(range(a, b) for a, _, b in spans))
+            hits += len(covered & set(range(at, at + len(body)))) >= 0.9 * len(body)
+        assert hits >= 0.95 * 300, (name, hits)
+    spans = scan("x " + "0123456789abcdef" * 2 + "QwErTyUiOpAsDfGhJkLzXcVb" + " y")[1]
+    assert spans[0][1] == 2 and {i for a, _, b in spans for i in range(a, b)} == set(range(2, 58)), "what a base span leaves of an entropy span stays a span"
+    many = "password=abcdefgh " * 20_000 + "Zx9" * 30_000
+    assert len(scan(many)[0]) == 20_000
+
+
 def test_secret_edges(spark, odd):
     got = secret_scan.scan_documents(odd).collect()
     assert len(got) == len(ROWS) and sum(r["n_assign"] for r in got) == 1
@@ -717,7 +745,7 @@ def test_plan_places_every_piece():
 
 def test_encoder_is_the_tokenizers_library():
     e = packing.Encoder(packing.default_vocabulary())
-    for t in ("", "a", " a  b\n\n c's", "x<|endoftext|>y", "日本語 テスト", "naïve café – “quote”", "\t\r\n 1234 ½", "x" * 5000, "🙂 ok"):
+    for t in ("", "a", " a  b\n\n c's", "x<|endoftext|>y", "日本語 テスト", "naïve café – “quote”", "\t\r\n 1234 ½", "x" * 5000, "🙂 ok", " " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "ab" * 1_000_000):
         assert e(t).tolist() == (e.exact.encode(t, add_special_tokens=False).ids if t else [])
 
 
@@ -811,6 +839,8 @@ def test_pieces_against_the_library(texts):
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     codec = unigram_pieces.Codec(p)
     odd = ["", "a", " ", "  x  y", "héllo\n\n日本語 🙂 z", "\t", "tab\tand\nline"]
+    run = "".join(list(texts.values())[0].split())
+    odd += [run[:3000], "日本語のテキスト" * 300, "é" * 500 + "\u0378" * 200, ("🙂x" * 200 + run)[:2000]]
     sample = [*list(texts.values())[:60], *odd]
     for t, ids in zip(sample, codec.encode_batch(sample)):
         want = library.encode(t)
@@ -835,6 +865,18 @@ def test_double_array():
     assert all(find(w) == i for w, i in words.items()) and find(b"ac") == -1 and find(b"abcd") == -1 and find(b"zz") == -1
 
 
+def test_long_parts():
+    """Long parts alone give what parts in step give; a million letters without a space take no minute."""
+    p = unigram_pieces.Pieces.load(unigram_pieces.default_model())
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        part = "".join(rng.choice(list("etaoinsh日é🙂\u0378"), 150)).encode()
+        assert unigram_pieces._alone(part, p) == next(unigram_pieces._in_step([part], p))
+    codec = unigram_pieces.Codec(p)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 1_000_000))
+    assert codec.decode(codec.encode_batch([text])[0]) == text
+
+
 def test_piece_edges(spark, odd):
     got = unigram_pieces.encode_documents(odd)
     rows = {r["doc_id"]: r for r in got.collect()}
@@ -861,3 +903,24 @@ def test_pipeline(spark):
     rows = saved(corpus_pipeline.STAGES[-1][1](spark, docs, DATA)).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     check_sequences(rows)
+
+
+def test_pipeline_edges(spark, odd):
+    """Nulls, empty and long texts, repeated rows, further columns with clashing names, and an empty table."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tarn.llm.common import saved
+
+    text = " ".join(f"word{i} stands{i}" for i in range(80))
+    more = odd.where("doc_id = 7").limit(1).withColumn("i", F.explode(F.lit([20, 21, 22, 23, 23])))
+    more = more.withColumn("doc_id", F.col("i").cast("long")).withColumn("text", F.concat(F.lit(text), F.when(F.col("i") < 22, F.lit("")).otherwise(F.concat(F.lit(" tail"), "i"))))
+    unlike = more.limit(1).withColumn("doc_id", F.lit(30).cast("long")).withColumn("text", F.lit(" ".join(f"other{i} thing{i}" for i in range(90)) + " password=abcdefgh"))
+    for docs, want in ((odd.unionByName(more.drop("i")).unionByName(unlike.drop("i")), {20, 30}), (odd.limit(0), set())):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = saved(stage(spark, docs, DATA))
+            assert docs.columns == columns, name
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+        assert {r["doc_id"] for r in rows} == want
+        assert not docs.where("text LIKE '%abcdefgh%'").count()
+        check_sequences(rows)
