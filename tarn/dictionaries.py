@@ -61,13 +61,61 @@ OVERCLAIMS = (
     ("অবশ্যই আপনার", "সম্ভবত আপনার"),
     ("নিশ্চিতভাবে এটি", "এটি সম্ভবত"),
 )
-#: (unit, words of a cell that mean it), the first that fits.
+#: (unit, words of a cell that mean it, or a pattern of the whole cell), the first that fits.
 UNITS = (
     ("প্রতি লিটার", ("লিটার", "নিটার", "লিট", "নিট", "তিটার", "রিটার", "রিটারি", "লি.")),
     ("প্রতি হালি", ("হালি", "হোলি")),
     ("প্রতি গ্রাম", ("গ্রাম", "গ্োরোম")),
+    ("প্রতিটি", "^(?:(?:[0-9]+ *)?টি|(?:প্রতি|প্রনি|প্রতিটি|প্রনিটি) *টি)$"),
     ("প্রতি কেজি", ("কেজি", "কেতি", "কেনি", "কেজ")),
 )
+# Words by which rows of market tables are read.
+UNIT_MARKS = (
+    "কেজি", "কেতি", "কেনি", "কেজ", "কেলি", "বেরি", "লিটার", "নিটার", "লিট", "নিট", "তিটার", "রিটার", "রিটারি", "লি.", "হালি", "হোলি", "গ্রাম",
+)
+HEADER_NOISE = ("পরের নাম", "পণ্যের নাম", "পরের িোম", "পলেি নাম", "পতরমাপ", "পরের প্রকার", "পণ্যের প্রকার", "পনরমাপ", "পনরমোপ", "পরিমাপ")
+DITTO = ("", ",,", '"', "”", "''", '""')
+QUALIFIERS = (
+    "খোলা", "প্যাকেট", "দেশী", "দেশি", "চায়না", "আমদানিকৃত", "উন্নত", "মোটা", "সরু", "চাষের", "জীবন্ত", "সোনালী", "ব্রয়লার", "লম্বা", "জালি",
+    "সাদা", "ক্যান",
+)
+PULSES = ("ডাল", "মসুর ডাল", "মুগ ডাল")
+PULSE_NAMES = ("মসুর", "মুগ", "মাষকলাই", "কেসারি")
+OWN_UNITS = {"লাউ": "প্রতিটি", "চালকুমড়া": "প্রতিটি"}
+OILS = ("সয়াবিন তেল", "পাম তেল", "সরিষার তেল", "তেল (", "তেল-")
+EGGS = ("ডিম",)
+FLESH = ("মাছ", "রুই", "কাতলা", "পাঙ্গাস", "তেলাপিয়া", "ইলিশ", "মুরগি", "মোরগ", "গরু", "ছাগল", "মাংস", "মোংস")
+BY_PIECE = ("কলা", "লাউ", "চালকুমড়া")
+CONFIDENT = (
+    "আটা", "মসুর", "মুগ", "ডাল", "কেসারি", "ছোলা", "তেল", "চিনি", "পেঁয়াজ", "রসুন", "আদা", "মরিচ", "আলু", "বেগুন", "পেঁপে", "কুমড়া", "চিচিঙ্গা",
+    "ধুন্দুল", "কচু", "বরবটি", "লাউ", "চালকুমড়া", "শসা", "উচ্ছে", "করল্লা", "ঝিঙ্গা", "ঢেঁড়স", "পটল", "ফুলকপি", "বাঁধাকপি", "মূলা", "মুলা", "শিম",
+    "চাল", "ধান", "লবণ", "দুধ", "আপেল", "পেয়ারা", "আম", "কলা", "মাছ", "রুই", "কাতলা", "ইলিশ", "পাঙ্গাস", "তেলাপিয়া", "মাংস", "গরু", "ছাগল",
+    "মুরগি", "মোরগ", "ডিম", "ব্রয়লার",
+)
+ROOTS = (
+    "আটা", "মসুর", "মুগ", "মাষকলাই", "কেসারি", "ছোলা", "সয়াবিন", "পাম", "সরিষার", "চিনি", "পেঁয়াজ", "রসুন", "আদা", "মরিচ", "আলু", "বেগুন", "পেঁপে",
+    "কুমড়া", "চিচিঙ্গা", "ধুন্দুল", "কচু", "বরবটি", "লাউ", "চালকুমড়া", "শসা", "উচ্ছে", "করল্লা", "ঝিঙ্গা", "ঢেঁড়স", "পটল", "চাল", "আপেল", "পেয়ারা",
+    "আম", "কলা", "মাছ", "রুই", "কাতলা", "ইলিশ", "পাঙ্গাস", "তেলাপিয়া", "মাংস", "গরু", "ছাগল", "মুরগি", "মোরগ", "ডিম",
+)
+#: root -> the qualifiers it may have
+ALLOWED = {"আটা": ("প্যাকেট-সাদা", "প্যাকেট", "খোলা"), "রসুন": ("দেশী", "দেশি")}
+#: A name that begins with the first is kept only with the second.
+ONLY_WITH = {"রসুন": "দেশী"}
+CURRENT = ("আজ", "আির", "আদর", "র্াজার", "বাজার", "সর্বনিম্ন")
+COMPARED = ("সাথে", "হ্রাস", "বৃদ্ধি", "%", "গি ম", "গি র")
+#: (pattern, replacement) that names are repaired by, in this order.
+NAME_REPAIRS = (
+    ("^রুই মা(?=[ ]|$)", "রুই মাছ"),
+    ("[ \\t]+", " "),
+    ("ডাল(?: ডাল)+", "ডাল"),
+    (" *- *\\(", " ("),
+    (" *\\( *", " ("),
+    (" *\\)", ")"),
+    ("^রসুন *\\(ি[^()]*\\)$", "রসুন (চায়না)"),
+    ("^(রুই মাছ \\(চাষের\\)).*$", "$1"),
+    (" */ *", " / "),
+    ("([\\u0980-\\u09FF)])(?=[0-9])", "$1 "),
+)
 CROP_LABELS = {
     "potato": "আলু", "onion": "পেঁয়াজ", "masur dal": "মসুর ডাল", "tomato": "টমেটো", "garlic": "রসুন", "ginger": "আদা",
     "green chili": "কাঁচা মরিচ", "rice": "চাল",

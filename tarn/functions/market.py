@@ -64,17 +64,42 @@ def format_range(lo: Column, hi: Column, single: bool = False, sign: str = "৳"
 
 
 def normalize_unit(c: Column, units=D.UNITS) -> Column:
-    """The unit whose words the cell holds, the first in order; other cells as they are."""
-    v = F.lower(normalize(c))
+    """The unit whose words the cell holds, or whose pattern it matches, the first in order; other cells as they are."""
+    v = F.regexp_replace(F.lower(normalize(c)), "[ \\t]+", " ")
     out = F.when(v == "", F.lit(""))
     for unit, words in units:
-        holds = F.lit(False)
-        for w in words:
-            holds = holds | F.contains(v, F.lit(w))
-        out = out.when(holds, F.lit(unit))
+        out = out.when(v.rlike(words) if isinstance(words, str) else any_in(v, words), F.lit(unit))
     return out.otherwise(normalize(c))
 
 
+def spellings(words: tuple[str, ...]) -> list[str]:
+    """Words, and those with letters that are written in two ways (with the dot below as a sign of its own)."""
+    pairs = {"\u09dc": "\u09a1\u09bc", "\u09dd": "\u09a2\u09bc", "\u09df": "\u09af\u09bc"}
+    out = []
+    for w in words:
+        one, two = w, w
+        for a, b in pairs.items():
+            one, two = one.replace(b, a), two.replace(a, b)
+        out += [one] if one == two else [one, two]
+    return out
+
+
+def any_in(c: Column, words) -> Column:
+    """Whether a text holds one of a short list of words, in either spelling."""
+    found = F.lit(False)
+    for w in spellings(tuple(words)):
+        found = found | F.contains(c, F.lit(w))
+    return found
+
+
+def date_in(c: Column, day: Column) -> Column:
+    """Whether a text has this day, with or without leading zeros, and any of ./- between."""
+    part = lambda x: F.concat(F.lit("0?"), x.cast("string"))
+    gap = F.lit("[ \\t]*[./-][ \\t]*")
+    pattern = F.concat(F.lit("(?<![0-9])"), part(F.dayofmonth(day)), gap, part(F.month(day)), gap, F.year(day).cast("string"), F.lit("(?![0-9])"))
+    return F.regexp_like(ascii_digits(c), pattern)
+
+
 def is_price_like(c: Column) -> Column:
     """A cell with two numbers, joined by a dash or a blank, and no per cent."""
     v = normalize(c)

@@ -29,7 +29,7 @@ def FLAGSHIP(spark, sf_dir):
 
 
 def _load():
-    from . import guard, ingest, reports, retrieval, streams  # noqa: F401  they register themselves
+    from . import guard, ingest, market, reports, retrieval, runs, streams  # noqa: F401  they register themselves
 
 
 _load()
