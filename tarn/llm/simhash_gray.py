@@ -386,27 +386,32 @@ def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     checked = saved(met.where(_may(similarity, "", "p_")).withColumn("other", F.col("pivot")).select(*pair).distinct())
     found = saved(_alike(checked, texts, width, similarity))
-    roots = saved(components(found))
-    rest = (
-        met.select("s", "node", "size", "place", "pivot")
-        .join(roots, "node", "left")
-        .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left")
-        .select("s", "node", "size", "place", F.coalesce("root", "node").alias("root"), F.coalesce("p_root", "pivot").alias("p_root"))
-    )
-    rest = saved(rest)
-    # groups with someone outside the first one's component, and someone else to check
-    more = saved(rest.groupBy("s").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.col("root") != F.col("p_root")).alias("out")).where("u < v AND out").select("s"))
     maps = both.where("s is null").dropDuplicates(["node"]).select("node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY_WORDS)])
-    open_ = rest.join(more, "s", "left_semi")
-    rest = saved(open_.join(maps.join(saved(open_.select("node").distinct()), "node", "left_semi"), "node"))
-    kept = ["node", "size", "place", "root", *[f"b{i}" for i in range(PARITY_WORDS)]]
-    out = rest.where("root <> p_root").select("s", *[F.col(c).alias(f"o_{c}") for c in kept])
-    across = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("p_root")) | (F.col("node") < F.col("o_node")))
-    apart = sum(F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(PARITY_WORDS))
-    near = apart * (1 + similarity) <= (1 - similarity) * (F.col("size") + F.col("o_size")) + 1e-6
-    late = out.join(rest, (out["s"] == rest["s"]) & across & _may(similarity, "", "o_") & near).withColumn("other", F.col("o_node")).select(*pair).distinct()
-    late = saved(late.join(checked, ["a", "b"], "left_anti"))
-    return saved(found.unionByName(_alike(late, texts, width, similarity)))
+    # a few of the pairs join most of what belongs together, so that the last turn, which leaves none out, has few to check
+    for part in (64, 1):
+        roots = saved(components(found))
+        rest = (
+            met.select("s", "node", "size", "place", "pivot")
+            .join(roots, "node", "left")
+            .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left")
+            .select("s", "node", "size", "place", F.coalesce("root", "node").alias("root"), F.coalesce("p_root", "pivot").alias("p_root"))
+        )
+        rest = saved(rest)
+        # groups with someone outside the first one's component, and someone else to check
+        more = saved(rest.groupBy("s").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.col("root") != F.col("p_root")).alias("out")).where("u < v AND out").select("s"))
+        open_ = rest.join(more, "s", "left_semi")
+        rest = saved(open_.join(saved(maps.join(saved(open_.select("node").distinct()), "node", "left_semi")), "node"))
+        kept = ["node", "size", "place", "root", *[f"b{i}" for i in range(PARITY_WORDS)]]
+        out = rest.where("root <> p_root").select("s", *[F.col(c).alias(f"o_{c}") for c in kept])
+        across = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("p_root")) | (F.col("node") < F.col("o_node")))
+        among = F.pmod(F.xxhash64(F.least("node", "o_node"), F.greatest("node", "o_node")), F.lit(part)) == 0
+        apart = sum(F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(PARITY_WORDS))
+        near = apart * (1 + similarity) <= (1 - similarity) * (F.col("size") + F.col("o_size")) + 1e-6
+        late = out.join(rest, (out["s"] == rest["s"]) & across & among & _may(similarity, "", "o_") & near).withColumn("other", F.col("o_node")).select(*pair).distinct()
+        late = saved(late.join(checked, ["a", "b"], "left_anti"))
+        found = saved(found.unionByName(_alike(late, texts, width, similarity)))
+        checked = checked.unionByName(late)
+    return found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
