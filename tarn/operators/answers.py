@@ -82,3 +82,38 @@ def names_another_crop(answer: Column, crop: Column, table: dict[str, str] = D.C
     """Whether an answer names a crop other than the predicted one, and not that one."""
     named = N.crops(answer, table)
     return crop.isNotNull() & (F.size(named) > 0) & ~F.array_contains(named, crop)
+
+
+def normalized(rows: DataFrame, text: str, model: Capability = Capability("transliteration"), least: float = 0.7) -> DataFrame:
+    """Rows with script, normalized, method and warning.
+
+    Texts of the script itself (or without letters) pass; others are the model's to write in it, and its answer counts only
+    if enough of it is of the script. Without one the text stays, with a warning.
+    """
+    t = X.strip(F.coalesce(F.col(text), F.lit("")))
+    base = rows.withColumn("__t", t).withColumn("script", X.script_of(t))
+    passes = F.col("script").isin("bangla", "unknown")
+    kept = base.where(passes).select(*rows.columns, "script", F.col("__t").alias("normalized"), F.lit("passthrough").alias("method"), F.lit(None).cast("string").alias("warning"))
+    told = apply(base.where(~passes), "__t", model, "__r")
+    answer = X.strip(F.regexp_replace(X.strip(F.col("__r")), "^\"+|\"+$", ""))
+    good = F.coalesce((answer != "") & (X.script_ratio(answer, D.BANGLA, X.QUERY_CHARS) >= least), F.lit(False))
+    why = F.when(~good, F.coalesce(F.col("__r_error"), F.lit("the answer is not of the script")))
+    rest = told.select(*rows.columns, "script", F.when(good, answer).otherwise(F.col("__t")).alias("normalized"), F.when(good, F.lit("model")).otherwise(F.lit("fallback")).alias("method"), why.alias("warning"))
+    return kept.unionByName(rest)
+
+
+def image_contexts(detections: DataFrame, hits: DataFrame, docs: DataFrame, source_terms: dict[str, tuple[str, ...]], text_terms: dict[str, tuple[str, ...]], k: int = 5) -> DataFrame:
+    """(image, doc_id, source, scope, place) from each image's surest detection and what its class's query retrieved.
+
+    ``detections``: image, class_name, confidence; ``hits``: class_name, doc_id, rank (eight or so); ``docs``: doc_id, source,
+    text. Suspicious documents are left out, and so is what names another crop: by source, else by text, else nothing stays.
+    """
+    from tarn.operators import detection as V
+
+    best = V.with_class(V.top_detection(detections, "image", "confidence", "class_name"), "class_name").select(F.col("image").alias("query_id"), "class_name")
+    best = best.withColumn("crop_key", N.crop_key(F.col("class_name"), text_terms))
+    safe = docs.where(X.injection(F.col("text")).isNull())
+    met = best.join(hits, "class_name").join(safe, "doc_id")
+    fits = lambda c, terms: F.coalesce(*[F.when(F.col("crop_key") == key, F.exists(F.array(*[F.lit(t.lower()) for t in ts]), lambda t: F.contains(F.lower(c), t))) for key, ts in terms.items()], F.lit(False))
+    scoped = N.scoped(met, fits(F.col("source"), source_terms), fits(F.col("text"), text_terms), k, unscoped=False)
+    return scoped.select(F.col("query_id").alias("image"), "doc_id", "source", "scope", "place")

@@ -110,3 +110,13 @@ def annotation_format(files: DataFrame, folder: str, name: str) -> DataFrame:
     """bbox for a folder with text files, else folder if it has any image, else unknown."""
     text, image = F.bool_or(F.lower(F.col(name)).endswith(".txt")), F.bool_or(F.col(name).rlike("(?i)[.](?:jpg|jpeg|png)$"))
     return files.groupBy(folder).agg(F.when(text, F.lit("bbox")).when(image, F.lit("folder")).otherwise(F.lit("unknown")).alias("format"))
+
+
+def primary_class(lines: DataFrame, image: str = "image", line: str = "line") -> DataFrame:
+    """(image, class_id) of each image's first label line."""
+    return lines.groupBy(image).agg(F.min_by(F.split(line, " ")[0].try_cast("int"), line).alias("class_id"))
+
+
+def unmatched(images: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
+    """Folder labels without a class, with their images."""
+    return images.join(mapping.select(F.col("from_label").alias(label)), label, "left_anti").groupBy(label).agg(F.count("*").alias("images"))

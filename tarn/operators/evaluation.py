@@ -32,3 +32,26 @@ def summary(rows: DataFrame, ok: Column, hit: Column, score: Column, failed: Col
 def markdown(row: dict) -> str:
     """A summary's row as a report."""
     return "\n".join(["# Evaluation", "", "| measure | value |", "|-|-|", *(f"| {k} | {'-' if v is None else v} |" for k, v in row.items())]) + "\n"
+
+
+def selected(queries: DataFrame, ids: list[str] | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
+    """The queries of a run: those named, the first ``limit`` of them by id."""
+    chosen = queries if ids is None else queries.where(F.col(key).isin(ids))
+    return chosen if limit is None else chosen.orderBy(key).limit(limit)
+
+
+def run(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """Each query with its result and what it is worth.
+
+    ``queries``: id, query, expected_route, ground_truth; ``results``: id, route, answer, chunks (an array of texts), error.
+    A query without a result counts as failed. A hit is asked for only where retrieval was expected.
+    """
+    met = queries.join(results, "id", "left")
+    chunks = F.coalesce("chunks", F.array().cast("array<string>"))
+    failed = F.col("error").isNotNull() | F.col("route").isNull()
+    rag = F.array_contains(F.split("expected_route", "\\+"), "rag")
+    return met.select(
+        "id", "query", "expected_route", "route", F.when(~failed, route_matches(F.col("expected_route"), F.col("route"))).alias("route_correct"), F.size(chunks).alias("n_chunks"),
+        F.when(rag & ~failed, F.size(chunks) > 0).alias("hit"), F.length(F.coalesce("answer", F.lit(""))).alias("answer_chars"),
+        faithfulness(F.col("answer"), F.array_join(chunks, " ")).alias("faithfulness"), F.when(failed, F.coalesce("error", F.lit("no result"))).alias("error"), "ground_truth",
+    )

@@ -276,3 +276,18 @@ def fuse(vector: DataFrame, words: DataFrame, k: int, rrf_k: int = 60) -> DataFr
 def with_payload(ranked: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
     """Texts and metadata of ranked ids, joined after the cut; ids without a row drop out, so fewer than k may stay."""
     return ranked.join(docs.select("doc_id", *columns), "doc_id").withColumn("display", F.round(F.coalesce("similarity", "score"), 4))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, rows: DataFrame, s: Settings = Settings(), hybrid: bool = True, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, vector_rank, bm25_rank, similarity, rank) of queries (query_id, text, embedding).
+
+    By words and vectors, or by vectors alone where words are switched off or there are no documents to index. Blank
+    queries have no rows.
+    """
+    k = s.top_k if k is None else k
+    asked = queries.where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    pool = vector_top(asked, rows, s.pool if hybrid else k)
+    if not hybrid or docs.isEmpty():
+        none = F.lit(None).cast("int").alias("bm25_rank")
+        return pool.where(F.col("rank") <= k).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").alias("vector_rank"), none, F.col("score").alias("similarity"), "rank")
+    return fuse(pool, bm25(asked, docs, s, query_id="query_id"), k, s.rrf_k)

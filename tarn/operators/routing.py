@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn import dictionaries as D
+from tarn.functions.text import without_fences
+from tarn.sources.capabilities import Capability, apply
 
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -53,8 +55,6 @@ def route(c: Column, weather: str = D.WEATHER, price: str = D.PRICE, advice: str
 
 def merged(decision: Column, reply: Column) -> Column:
     """A decision of a model's JSON reply where it parses and is complete, else the one by keywords."""
-    from tarn.functions.text import without_fences
-
     got = F.from_json(without_fences(reply), "needs_rag boolean, needs_weather boolean, needs_price boolean")
     whole = got["needs_rag"].isNotNull() & got["needs_weather"].isNotNull() & got["needs_price"].isNotNull()
     pick = lambda n: F.when(whole & ~decision["is_off_topic"], got[n]).otherwise(decision[n]).alias(n)
@@ -93,3 +93,37 @@ def scoped(ranked: DataFrame, by_source: Column, by_text: Column, k: int, unscop
 def first_of_each(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """Distinct keys with their first row in order (what dropDuplicates doesn't promise)."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def crop_key(c: Column, terms: dict[str, tuple[str, ...]]) -> Column:
+    """The first crop of which a text (a query, or a class's name) holds a term; empty if there is none."""
+    low = F.lower(c)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(k)) for k, ts in terms.items() for t in ts], F.lit(""))
+
+
+def routed(rows: DataFrame, text: str, model: Capability, locations: dict[str, str] = D.DIVISIONS, attempts: int = 2) -> DataFrame:
+    """Rows with route (needs_*, is_off_topic, crops), location and source: ``model`` or ``keywords``.
+
+    Off-topic turns never meet the model. A reply that doesn't parse or isn't complete is asked for again, ``attempts`` times
+    in all; then keywords decide. Crops and places that the text names override the reply's.
+    """
+    base = rows.withColumn("__d", route(F.col(text))).withColumn("__reply", F.lit(None).cast("string"))
+    shape = "needs_rag boolean, needs_weather boolean, needs_price boolean, location string, crop string, crops array<string>"
+    got = F.from_json(without_fences(F.col("__reply")), shape)
+    whole = F.coalesce(got["needs_rag"].isNotNull() & got["needs_weather"].isNotNull() & got["needs_price"].isNotNull(), F.lit(False))
+    if model.load is not None:
+        for _ in range(attempts):
+            again = ~whole & ~F.col("__d.is_off_topic")
+            told = apply(base.where(again).drop("__reply"), text, model, "__reply").drop("__reply_available", "__reply_error")
+            base = base.where(~again).unionByName(told)
+    d = F.col("__d")
+    named = F.when(d["needs_price"] | F.coalesce(F.col(text), F.lit("")).rlike("(?i)" + D.PRICE), crops(F.col(text))).otherwise(F.array().cast("array<string>"))
+    explicit = F.size(named) > 0
+    theirs = F.coalesce(got["crops"], F.when(got["crop"].isNotNull(), F.array(got["crop"])), F.array().cast("array<string>"))
+    pick = lambda n: F.when(whole, got[n]).otherwise(d[n])
+    out = F.struct(
+        pick("needs_rag").alias("needs_rag"), pick("needs_weather").alias("needs_weather"), (pick("needs_price") | (whole & explicit)).alias("needs_price"),
+        d["is_off_topic"].alias("is_off_topic"), F.when(whole, F.when(explicit, named).otherwise(theirs)).otherwise(d["crops"]).alias("crops"),
+    )
+    place = F.coalesce(longest_alias(F.col(text), locations), F.when(whole, got["location"]))
+    return base.select(*rows.columns, out.alias("route"), place.alias("location"), F.when(whole, F.lit("model")).otherwise(F.lit("keywords")).alias("source"))

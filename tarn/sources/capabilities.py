@@ -75,3 +75,47 @@ def hashed_embedding(dim: int = 64) -> Capability:
         return call
 
     return Capability("embedding", load, "array<float>")
+
+
+def stopped_short(reason: str | None) -> bool:
+    """Whether a service's reason for stopping says that the reply was cut off."""
+    return any(x in str(reason or "").upper() for x in ("LENGTH", "MAX_TOKENS", "MAXTOKENS", "TOKEN_LIMIT"))
+
+
+def sound_reply(text: str | None, as_json: bool = False, least_words: int = 18) -> bool:
+    """Whether a reply says something, doesn't loop, and (if long) ends where a sentence does; JSON only has to be there."""
+    from tarn.operators.degenerate import loops
+
+    text = (text or "").strip()
+    if as_json or not text:
+        return bool(text)
+    return not loops(text) and (len(text.split()) < least_words or text[-1] in ".!?।॥:;)]}»”\"'’")
+
+
+def first_of(name: str, providers: list[Capability], sound: Callable[[str | None], bool] = sound_reply) -> Capability:
+    """The first provider's answer that is sound; a provider that fails or answers badly hands its inputs to the next."""
+    ready = [p for p in providers if p.load is not None]
+
+    def load():
+        calls = [p.load() for p in ready]
+
+        def call(inputs):
+            out, left, last = [None] * len(inputs), list(range(len(inputs))), None
+            for f in calls:
+                if not left:
+                    break
+                try:
+                    got = f([inputs[i] for i in left])
+                except Exception as e:  # noqa: BLE001  what a provider raises is not known here
+                    last = e
+                    continue
+                for i, g in zip(left, got):
+                    out[i] = g if sound(g) else None
+                left = [i for i in left if out[i] is None]
+            if last is not None and len(left) == len(inputs):
+                raise last
+            return out
+
+        return call
+
+    return Capability(name, load if ready else None)

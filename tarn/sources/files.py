@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def write_results(results: DataFrame, path: str, flat: list[str]) -> None:
     """All columns as JSON, the flat ones as CSV."""
     results.write.mode("overwrite").json(f"{path}/json")
     results.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, content_hash) of what was ingested; empty where nothing was."""
+    try:
+        return spark.read.schema("filename string, content_hash string").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "filename string, content_hash string")
+
+
+def write_manifest(known: DataFrame, done: DataFrame, path: str) -> None:
+    """The manifest with new hashes of what was done; written whole to a new ``path``."""
+    keep = known.join(done.select("filename"), "filename", "left_anti")
+    keep.unionByName(done.select("filename", "content_hash")).coalesce(1).write.mode("errorifexists").json(path)
+
+
+def write_labels(lines: DataFrame, path: str) -> None:
+    """Label lines (image, line) as text, a folder for each image."""
+    lines.select("image", F.col("line").alias("value")).write.mode("errorifexists").partitionBy("image").text(path)
+
+
+def dataset_yaml(classes: list[str], path: str = ".") -> str:
+    """The description of an image dataset with its splits and class names."""
+    return "\n".join([f"path: {path}", *[f"{s}: images/{s}" for s in ("train", "val", "test")], f"nc: {len(classes)}", "names:", *[f"  {i}: {c}" for i, c in enumerate(classes)]]) + "\n"
