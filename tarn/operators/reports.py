@@ -42,7 +42,7 @@ def first_match(wanted: DataFrame, rows: DataFrame, variants: str, text: str, or
 
     ``wanted`` is a caller's list of names; rows are filtered while they are scanned, and only hits are shuffled.
     """
-    hits = rows.join(F.broadcast(wanted), F.exists(F.col(variants), lambda v: F.contains(F.lower(F.col(text)), F.lower(v))))
+    hits = rows.join(wanted, F.exists(F.col(variants), lambda v: F.contains(F.lower(F.col(text)), F.lower(v))))
     w = Window.partitionBy("name").orderBy(*order)
     return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -69,7 +69,7 @@ def ticker(pages: DataFrame, text: str, variants: DataFrame, span: int = 300) ->
     """
     low = F.lower(M.normalize(F.col(text)))
     at = F.instr(low, F.lower(F.col("variant")))
-    hits = pages.join(F.broadcast(variants), F.contains(low, F.lower(F.col("variant"))))
+    hits = pages.join(variants, F.contains(low, F.lower(F.col("variant"))))
     priced = hits.withColumn("price", M.parse_price(F.substring(M.normalize(F.col(text)), at, F.lit(span)))).where("price is not null")
     keys = [c for c in pages.columns if c != text]
     best = priced.groupBy(*keys, "crop").agg(F.min_by("price", "place").alias("p"))

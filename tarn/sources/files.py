@@ -21,8 +21,11 @@ EVAL_QUERY = "id string, query string, lang string, expected_route string, expec
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (as in tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one on one machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or tempfile.mkdtemp(prefix="tarn-")
 
 
 def stored(df: DataFrame) -> DataFrame:
