@@ -606,6 +606,16 @@ def linked_brute(texts):
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+def test_parity_bounds_the_difference():
+    """Maps differ in no more bits than the sets differ in members; equal sets have equal maps."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.append(a[: len(a) - n // 9], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
+        apart = int(np.bitwise_count(simhash_gray.parity(a).view(np.uint64) ^ simhash_gray.parity(b).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (simhash_gray.parity(a) == simhash_gray.parity(a.copy())).all()
+
+
 def test_near_copies_of_every_shape(spark):
     """Truncated, appended, with a block replaced, and scattered edits."""
     rng = np.random.default_rng(11)
