@@ -81,12 +81,13 @@ LETTER = "[\\u0985-\\u09B9\\u09BE-\\u09CC\\u09CE\\u09D7\\u09DC-\\u09DF]"
 def is_garbage(t: Column, least_chars: int = 6, least_digits: int = 3) -> Column:
     """Whether a token looks like debris: long, digits and brackets, no letter of the script, no number or date."""
     core = F.regexp_replace(t, f"^{_MARK_CLASS}|{_MARK_CLASS}$", "")
+    # the cheapest conditions, which most tokens fail, come first
     return (
         (F.length(t) >= least_chars)
-        & ~core.rlike(NUMERIC)
-        & ~t.rlike(LETTER)
-        & (F.regexp_count(t, F.lit("\\p{Nd}")) >= least_digits)
         & t.rlike("[()\\[\\]/:|]")
+        & (F.regexp_count(t, F.lit("\\p{Nd}")) >= least_digits)
+        & ~t.rlike(LETTER)
+        & ~core.rlike(NUMERIC)
     )
 
 

@@ -31,7 +31,7 @@ def append_stream(spark, d):
     return _finished(spark, S.review_queue(_events(spark, d), 10).select("event_id", "user_id", "value"), "append")
 
 
-@query("window_stream", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("window_stream", "WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def window_stream(spark, d):
     """Tumbling hours by type; a window is out once the watermark has passed it."""
     w = S.windowed(_events(spark, d), "ts", "1 hour", None, "10 minutes", ["event_type"])
