@@ -174,16 +174,29 @@ def _unpack(blob: bytes) -> dict:
 
 
 def _pieces(it, columns):
-    """Slices of Arrow batches of at most BATCH rows and (but for a single longer text) BATCH_BYTES of text."""
+    """Columns of batches of up to BATCH rows and (but for a single longer text) BATCH_BYTES of text, however Arrow cuts them."""
+    held, rows, size = [], 0, 0
+
+    def batch():
+        nonlocal held, rows, size
+        t = pa.Table.from_batches(held)
+        held, rows, size = [], 0, 0
+        return [t.column(c).combine_chunks() for c in columns]
+
     for b in it:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            done = size[at - 1] if at else 0
-            n = max(1, min(BATCH, int(np.searchsorted(size, done + BATCH_BYTES, side="right")) - at))
-            s = b.slice(at, n)
-            yield [s.column(c) for c in columns]
-            at += n
+            done = int(upto[at - 1]) if at else 0
+            n = min(BATCH - rows, int(np.searchsorted(upto, done + BATCH_BYTES - size, side="right")) - at)
+            if n <= 0 and rows:
+                yield batch()
+                continue
+            n = max(1, n)
+            held.append(b.slice(at, n))
+            rows, size, at = rows + n, size + int(upto[at + n - 1]) - done, at + n
+    if rows:
+        yield batch()
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
