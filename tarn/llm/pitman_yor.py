@@ -45,7 +45,7 @@ from .common import partitions, saved, shared_dir, table, tidy
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Documents and bytes of a batch; a document's place in its batch fits 15 bits.
-BATCH, BATCH_BYTES = 2048, 8 << 20
+BATCH, BATCH_BYTES = 1024, 4 << 20
 #: Bytes that are split into tokens at once.
 CHUNK = 1 << 20
 #: Blocks of tokens are so much smaller than a shuffle partition, as a sampler holds its block several times over.
@@ -547,7 +547,7 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
     """One pass over all restaurants: totals for each block, and the sums. salt 0 seats everyone at one table a dish."""
     spark = blocks.sparkSession
     # each block sends a row to each range, and contexts are a fraction of the tokens: fewer ranges than partitions do
-    ranges = max(1, partitions(spark) // 4)
+    ranges = max(1, partitions(spark) // 3)
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
     names = ["range", "bucket", "blob", "key", "n"]
 
