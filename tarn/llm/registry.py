@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 
 #: Each of these modules holds QUERIES and, where SQL can express a query, ORACLES.
-MODULES = ["host_rules", "secret_scan", "simhash_gray", "suffix_dedup", "pitman_yor", "packing", "prefix_hash", "unigram_pieces", "url_templates", "html_main"]
+MODULES = [
+    "host_rules", "secret_scan", "simhash_gray", "suffix_dedup", "pitman_yor", "packing", "prefix_hash", "unigram_pieces", "url_templates", "html_main",
+    "decontaminate",
+]
 
 
 def _gather(what: str) -> dict:
