@@ -7,7 +7,7 @@ import importlib
 #: Each of these modules holds QUERIES and, where SQL can express a query, ORACLES.
 MODULES = [
     "host_rules", "secret_scan", "simhash_gray", "suffix_dedup", "pitman_yor", "packing", "prefix_hash", "unigram_pieces", "url_templates", "html_main",
-    "decontaminate", "lexical_search",
+    "decontaminate", "lexical_search", "periodic_runs",
 ]
 
 
