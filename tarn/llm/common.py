@@ -49,12 +49,18 @@ def tidy(spark: SparkSession, arrow_rows: int | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, arrow_rows: int | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``group_bytes``: size of the row groups, which readers take whole; for rows that hold large blobs.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
     with tidy(spark, arrow_rows):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if group_bytes:
+            writer = writer.option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 1)
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ Documents lie in shards of up to ``shard`` documents. A shard's index is made wh
 
 * A posting's impact is what it adds to a score for each unit of the term's weight. A shard's terms are in order, from
   the rarest there to the most common.
-* The documents of each posting list are clustered by the likeness of their vectors (random projections): blocks of up to
+* The documents of each posting list are clustered by the likeness of their vectors (random projections, two rounds): blocks of up to
   ``block`` documents that lie near one another.
 * Each block has a summary: the coordinatewise maximum of its documents' impacts, rounded up to eight bits, for the list's
   own term and the more common ones. A query reads its terms' lists from the rarest on, and documents with a rarer term
@@ -43,14 +43,14 @@ from .words import Cells, mixed, text_bytes, words
 
 #: An impact is below a million, so steps of this size number it in eight bits.
 STEP = 4096
-_DIMENSIONS = 16
+_DIMENSIONS = 32
 
 
 @dataclass(frozen=True)
 class Layout:
     """Documents in a shard and in a block, queries in a block of queries, shards of the first search."""
 
-    shard: int = 4096
+    shard: int = 2048
     block: int = 32
     queries: int = 256
     pilot: int = 8
@@ -133,8 +133,9 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
     order = np.lexsort((number, doc))
     doc, number, impact = doc[order], number[order], impact[order]
     rows = np.searchsorted(doc, np.arange(n + 1))
-    # a document's vector by random signs of its terms
+    # a document's vector by random signs of its terms, the rarer the heavier, as in scores
     signs = (mixed(terms)[:, None] >> np.arange(_DIMENSIONS, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.float32) * 2 - 1
+    signs *= np.log((n + 1) / df[by_df])[:, None].astype(np.float32)
     sketch = np.zeros((n, _DIMENSIONS), np.float32)
     for d in range(_DIMENSIONS):
         sketch[:, d] = np.bincount(doc, signs[number, d] * impact, n)
@@ -150,6 +151,9 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
             middle = np.linspace(0, e - a - 1, -(-(e - a) // block)).astype(np.int64)
             x = sketch[doc[mine]]
             cluster = np.argmax(x @ x[middle].T, axis=1)
+            # once more around the clusters' means
+            means = np.stack([np.bincount(cluster, x[:, d], len(middle)) for d in range(_DIMENSIONS)], axis=1)
+            cluster = np.argmax(x @ (means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)).T, axis=1)
             members[a:e] = mine[np.lexsort((-impact[mine], cluster))]
             edges = np.cumsum(np.bincount(cluster, minlength=len(middle)))
             for lo, hi in zip([0, *edges[:-1].tolist()], edges.tolist()):
@@ -161,8 +165,8 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
     of_block = np.repeat(np.arange(len(cuts)), np.diff(blocks))
     keys, count, sizes = [], np.zeros(len(cuts), np.int64), np.cumsum(stop - members)
     at = 0
-    while at < len(members):  # some millions of entries at a time, cut between blocks
-        until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000))
+    while at < len(members):  # a million entries at a time, cut between blocks
+        until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000))
         if until < len(members):
             until = int(max(blocks[np.searchsorted(blocks, until, side="right") - 1], blocks[np.searchsorted(blocks, at, side="right")]))
         m = members[at:until]
@@ -175,9 +179,10 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
         keys.append(key)
         at = until
     key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+    narrow = np.uint16 if len(terms) <= 1 << 16 else np.int32
     return {
-        "term": terms, "rows": rows.astype(np.int32), "doc_term": number.astype(np.int32), "impact": impact.astype(np.int32), "lists": lists.astype(np.int32), "blocks": blocks.astype(np.int32),
-        "members": doc[members].astype(np.int32), "heads": np.append(0, np.cumsum(count)).astype(np.int32), "sum_term": ((key >> 8) % max(1, len(terms))).astype(np.int32), "sum_top": (key & 255).astype(np.uint8),
+        "term": terms, "rows": rows.astype(np.int32), "doc_term": number.astype(narrow), "impact": impact.astype(np.int32), "lists": lists.astype(np.int32), "blocks": blocks.astype(np.int32),
+        "members": doc[members].astype(np.int32), "heads": np.append(0, np.cumsum(count)).astype(np.int32), "sum_term": ((key >> 8) % max(1, len(terms))).astype(narrow), "sum_top": (key & 255).astype(np.uint8),
     }
 
 
@@ -217,7 +222,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, documen
         if held:
             yield made()
 
-    return saved(chosen.mapInArrow(batches, f"shard long, ids array<{kind}>, blob binary"))
+    return saved(chosen.mapInArrow(batches, f"shard long, ids array<{kind}>, blob binary"), group_bytes=1 << 24)
 
 
 class Shard:
@@ -357,8 +362,8 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10, item_id="item_id", it
     # the shards of the first search: those of least hash, however many there are
     first = [r["shard"] for r in shards.select("shard").orderBy(F.xxhash64("shard")).limit(layout.pilot).collect()]
     pilot = top(searched(shards.where(F.col("shard").isin(first)), query_blocks(weighed, None, n), n, k), k)
-    least = saved(pilot.where(F.col("rank") == k).select("query", F.col("score").alias("least")))
-    found = searched(shards, query_blocks(weighed, least, n), n, k)
+    least = saved(pilot.where(F.col("rank") == k).select("query", F.col("score").alias("least")), arrow_rows=1)
+    found = saved(searched(shards, query_blocks(weighed, least, n), n, k), arrow_rows=1)
     return top(found, k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
