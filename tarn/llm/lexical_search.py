@@ -44,6 +44,8 @@ from .words import Cells, mixed, text_bytes, words
 #: An impact is below a million, so steps of this size number it in eight bits.
 STEP = 4096
 _DIMENSIONS = 32
+#: So many documents go to Python at once.
+_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -163,7 +165,8 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
     # summaries: for each member, its document's postings from the list's term on
     stop = rows[doc[members] + 1]
     of_block = np.repeat(np.arange(len(cuts)), np.diff(blocks))
-    keys, count, sizes = [], np.zeros(len(cuts), np.int64), np.cumsum(stop - members)
+    narrow = np.uint16 if len(terms) <= 1 << 16 else np.int32
+    sum_term, sum_top, count, sizes = [np.empty(0, narrow)], [np.empty(0, np.uint8)], np.zeros(len(cuts), np.int64), np.cumsum(stop - members)
     at = 0
     while at < len(members):  # a million entries at a time, cut between blocks
         until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000))
@@ -176,13 +179,12 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
         key.sort()
         key = key[np.append(key[1:] >> 8 != key[:-1] >> 8, True)]
         count += np.bincount((key >> 8) // len(terms), minlength=len(cuts))
-        keys.append(key)
+        sum_term.append(((key >> 8) % len(terms)).astype(narrow))
+        sum_top.append((key & 255).astype(np.uint8))
         at = until
-    key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    narrow = np.uint16 if len(terms) <= 1 << 16 else np.int32
     return {
         "term": terms, "rows": rows.astype(np.int32), "doc_term": number.astype(narrow), "impact": impact.astype(np.int32), "lists": lists.astype(np.int32), "blocks": blocks.astype(np.int32),
-        "members": doc[members].astype(np.int32), "heads": np.append(0, np.cumsum(count)).astype(np.int32), "sum_term": ((key >> 8) % max(1, len(terms))).astype(narrow), "sum_top": (key & 255).astype(np.uint8),
+        "members": doc[members].astype(np.int32), "heads": np.append(0, np.cumsum(count)).astype(np.int32), "sum_term": np.concatenate(sum_term), "sum_top": np.concatenate(sum_top),
     }
 
 
@@ -222,7 +224,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, documen
         if held:
             yield made()
 
-    return saved(chosen.mapInArrow(batches, f"shard long, ids array<{kind}>, blob binary"), group_bytes=1 << 24)
+    return saved(chosen.mapInArrow(batches, f"shard long, ids array<{kind}>, blob binary"), arrow_rows=_ROWS, group_bytes=1 << 24)
 
 
 class Shard:
@@ -351,7 +353,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10, item_id="item_id", it
     asked = saved(asked_terms(items, item_id, item_text))
     terms = saved(asked.select("term").distinct())
     cells = docs.sparkSession.sparkContext.broadcast(Cells.of(terms, "term"))
-    sums = saved(statistics(docs, text_col, cells))
+    sums = saved(statistics(docs, text_col, cells), arrow_rows=_ROWS)
     counts = {r["kind"]: r["n"] for r in sums.where("kind > 0").collect()}  # two rows
     documents, total = counts.get(1, 0), counts.get(2, 0)
     weight = F.floor(1000 * F.log((2.0 * documents + 2) / (2.0 * F.col("n") + 1)))

@@ -198,7 +198,7 @@ def shard_of(n_docs, seed=1, block=16):
     doc, term, impact = [], [], []
     for d in range(n_docs):
         topic = d % 20
-        t = np.unique(np.concatenate([rng.integers(0, 30, 6), 1000 + topic * 40 + rng.integers(0, 40, 12)]))
+        t = np.unique(np.concatenate([rng.integers(0, 30, 6), 1000 + topic * 16 + rng.integers(0, 16, 12)]))
         doc.append(np.full(len(t), d))
         term.append(t.astype(np.uint64))
         impact.append(rng.integers(1, 999_999, len(t)))
@@ -219,7 +219,7 @@ def test_bounds_hold_and_skip_blocks():
     rng = np.random.default_rng(2)
     for _ in range(40):
         topic = int(rng.integers(0, 20))
-        asked = np.unique(np.concatenate([rng.integers(0, 30, 4), 1000 + topic * 40 + rng.integers(0, 40, 4)])).astype(np.uint64)
+        asked = np.unique(np.concatenate([rng.integers(0, 30, 4), 1000 + topic * 16 + rng.integers(0, 16, 4)])).astype(np.uint64)
         weight = rng.integers(1, 9000, len(asked))
         of = dict(zip(asked.tolist(), weight.tolist()))
         want = np.zeros(2000, np.int64)
@@ -314,7 +314,7 @@ def test_transforms_are_exact(p, g):
 @pytest.mark.parametrize("s", [4, 32, 64])
 def test_squared_differences(s):
     rng = np.random.default_rng(s)
-    x = np.tile(rng.integers(0, 10**9, s + 5), 9)
+    x = np.tile(rng.integers(0, 10**9, s + 3), 9)
     x[7 * s] += 1
     at = np.arange(4) * s
     want = [[bool((x[a : a + s] == x[a + d : a + d + s]).all()) for d in range(s, 2 * s)] for a in at.tolist()]
