@@ -21,11 +21,6 @@ def review_queue(events: DataFrame, below: float, value: str = "value") -> DataF
     return events.where(F.col(value) < below)
 
 
-def latest_within(events: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
-    """One event of each key within ``ttl``: later ones are answered by the cached one, until it has expired."""
-    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-
-
 def windowed(events: DataFrame, ts: str, length: str, slide: str | None, late: str, by: list[str]) -> DataFrame:
     """Counts and sums in tumbling or sliding windows, with late rows allowed for ``late``."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
@@ -36,6 +31,6 @@ def sessions(events: DataFrame, ts: str, gap: str, late: str, by: list[str]) ->
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"))
 
 
-def upsert_each(stream: DataFrame, write, checkpoint: str) -> None:
-    """``write(batch, id)`` for each micro-batch; ids repeat after a failure, so a version named by the id is idempotent."""
+def each_batch(stream: DataFrame, write, checkpoint: str) -> None:
+    """``write(batch, id)`` for each micro-batch that is there; ids repeat after a failure, so a version named by the id is idempotent."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
