@@ -52,8 +52,8 @@ _ROWS = 512
 class Layout:
     """Documents in a shard and in a block, queries in a block of queries, shards of the first search."""
 
-    shard: int = 2048
-    block: int = 32
+    shard: int = 1024
+    block: int = 64
     queries: int = 256
     pilot: int = 8
 
@@ -168,8 +168,8 @@ def blocked(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, block
     narrow = np.uint16 if len(terms) <= 1 << 16 else np.int32
     sum_term, sum_top, count, sizes = [np.empty(0, narrow)], [np.empty(0, np.uint8)], np.zeros(len(cuts), np.int64), np.cumsum(stop - members)
     at = 0
-    while at < len(members):  # a million entries at a time, cut between blocks
-        until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000))
+    while at < len(members):  # some entries at a time, cut between blocks
+        until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 18)))
         if until < len(members):
             until = int(max(blocks[np.searchsorted(blocks, until, side="right") - 1], blocks[np.searchsorted(blocks, at, side="right")]))
         m = members[at:until]

@@ -15,7 +15,7 @@ import numpy as np
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BLOCK = 1 << 18
-_TEXTS = 1 << 21
+_TEXTS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS: list[np.ndarray] = []
