@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import io
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.config import Settings
 from tarn.functions import text as X
+from tarn.operators.lexical import bm25, index, term_counts, term_weights, top
 from tarn.sources.files import stored
 
 
@@ -65,148 +63,6 @@ def _number_of_blocks(queries: DataFrame, block: int) -> int:
     return max(1, -(-queries.count() // block))
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 1024) -> DataFrame:
-    """(chunk, ids, postings): documents with their terms, up to ``rows`` a row; written once, for any number of searches.
-
-    Postings are packed: lengths of the documents, and the document (its place), 64-bit hash of the term and frequency of
-    each posting.
-    """
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = chosen.schema["doc_id"].dataType.simpleString()
-
-    def batches(it):
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        hashes = _Hashes()
-        for b in it:
-            for at in range(0, b.num_rows, rows):
-                s = b.slice(at, rows)
-                counts = [Counter(_TOKEN.findall(t or "")) for t in s.column("text").to_pylist()]
-                sizes = [len(c) for c in counts]
-                blob = _packed(
-                    dl=np.array([c.total() for c in counts]), doc=np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
-                    term=np.fromiter((hashes[w] for c in counts for w in c), np.uint64, sum(sizes)), tf=np.fromiter((n for c in counts for n in c.values()), np.int32, sum(sizes)),
-                )
-                ids = s.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([blob], pa.binary())], names=["chunk", "ids", "postings"]
-                )
-                number += 1
-
-    return stored(chosen.mapInArrow(batches, f"chunk long, ids array<{id_type}>, postings binary"))
-
-
-_TOKEN = re.compile(X.TOKEN)
-
-
-class _Hashes(dict):
-    """64-bit hashes of terms; those of a task's last terms are remembered."""
-
-    def __missing__(self, word):
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def term_weights(indexed: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf) by the hashes of terms, and one row with n and avgdl; a term in more than half of the documents
-    gets epsilon times the mean idf."""
-
-    def batches(it):
-        for b in it:
-            parts = [_unpacked(x) for x in b.column("postings").to_pylist()]
-            if not parts:
-                continue
-            term, df = np.unique(np.concatenate([p["term"] for p in parts]), return_counts=True)
-            n, words = sum(len(p["dl"]) for p in parts), sum(int(p["dl"].sum()) for p in parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*term.view(np.int64).tolist(), None, None]), pa.array([*df.tolist(), n, words]), pa.array([0] * len(df) + [1, 2])], names=["term", "df", "kind"]
-            )
-
-    sums = stored(indexed.select("postings").mapInArrow(batches, "term long, df long, kind long").groupBy("kind", "term").agg(F.sum("df").alias("df")))
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("df"))), F.lit(0))
-    stats = sums.where("kind > 0").agg(of(1).alias("n"), of(2).alias("words")).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    # stats and mean are one row each, by construction
-    raw = sums.where("kind = 0").join(F.broadcast(stats.select("n"))).select("term", "df", F.round(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), 9).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    weights = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.round("mean", 9)).otherwise(F.col("raw")).alias("idf"))
-    return weights, stats
-
-
-def bm25(queries: DataFrame, docs: DataFrame, s: Settings = Settings(), query_id="item_id", query_text="text", id_col="doc_id", text_col="text", indexed: DataFrame | None = None, block: int = 256) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``pool`` best documents of each query, documents without its terms included.
-
-    ``indexed`` is what ``index`` made of the documents, for several searches. Each chunk of documents is scored against a
-    block of queries by one product of matrices, and hands on only its own ``pool`` best of each query.
-    """
-    indexed = index(docs, id_col, text_col) if indexed is None else indexed
-    weights, stats = term_weights(indexed, s.epsilon)
-    n = _number_of_blocks(queries, block)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"))
-    kind = q.schema["query_id"].dataType.simpleString()
-
-    def asked_terms(it):
-        hashes = _Hashes()
-        for b in it:
-            counts = [Counter(_TOKEN.findall(t or "")) for t in b.column("text").to_pylist()]
-            # a query without terms still has its documents, all of score 0
-            terms = [[np.uint64(hashes[w]).astype(np.int64) for w in c] or [None] for c in counts]
-            of = np.repeat(np.arange(len(counts)), [len(x) for x in terms])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("query_id").take(pa.array(of)), pa.array([t for x in terms for t in x], pa.int64()), pa.array([v for c in counts for v in (list(c.values()) or [0])], pa.int64())],
-                names=["query_id", "term", "qtf"],
-            )
-
-    asked = q.mapInArrow(asked_terms, f"query_id {kind}, term long, qtf long").join(weights, "term", "left")
-    asked = asked.select("query_id", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"))
-
-    def block_of(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        coded = t.column("query_id").combine_chunks().dictionary_encode()
-        term = t.column("term").fill_null(0).to_numpy()
-        blob = _packed(query=coded.indices.to_numpy(), term=term.view(np.uint64), w=t.column("w").to_numpy())
-        return pa.table({"block": t.column("block").slice(0, 1), "queries": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), "asked": pa.array([blob], pa.binary())})
-
-    blocks = stored(asked.groupBy("block").applyInArrow(block_of, f"block int, queries array<{kind}>, asked binary").join(F.broadcast(stats)))
-    id_type = indexed.schema["ids"].dataType.elementType.simpleString()
-    pool, k1, b_ = s.pool, s.k1, s.b
-
-    def scored(it):
-        for b in it:
-            for ids, postings, queries_, asked_, avgdl in zip(b.column("ids"), b.column("postings"), b.column("queries"), b.column("asked"), b.column("avgdl").to_pylist()):
-                p, a = _unpacked(postings.as_py()), _unpacked(asked_.as_py())
-                ids, of = ids.values, queries_.values
-                terms = np.unique(a["term"])
-                at = np.minimum(np.searchsorted(terms, p["term"]), len(terms) - 1)
-                hit = terms[at] == p["term"]
-                found, col = np.unique(at[hit], return_inverse=True)
-                norm = k1 * (1 - b_ + b_ * p["dl"] / (avgdl or 1.0))
-                doc, tf = p["doc"][hit], p["tf"][hit]
-                grid = np.zeros((len(ids), len(found)))
-                grid[doc, col] = tf * (k1 + 1) / (tf + norm[doc])
-                want = np.zeros((len(of), len(terms)))
-                want[a["query"], np.searchsorted(terms, a["term"])] = a["w"]
-                score = np.round(want[:, found] @ grid.T, 6)
-                # documents in the order of their ids, so that the first of equal ones stay
-                order = np.array(pc.sort_indices(ids))
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :pool]]
-                rows, k = best.shape
-                yield pa.RecordBatch.from_arrays(
-                    [of.take(pa.array(np.repeat(np.arange(rows), k))), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel() + 0.0)],
-                    names=["query_id", "doc_id", "score"],
-                )
-
-    met = _met(indexed, blocks, n).select("ids", "postings", "queries", "asked", "avgdl")
-    return top(met.mapInArrow(scored, f"query_id {kind}, doc_id {id_type}, score double"), ["query_id"], [F.desc("score"), F.asc("doc_id")], s.pool)
-
-
-def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each group, with rank; Spark prunes to k before the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
-
-
 def vector_top(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", least: float | None = None, block: int = 4096, query_id="query_id", id_col="vec_id", vector="embedding") -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows of each query by cosine or by 1 - squared distance.
 

@@ -16,15 +16,14 @@ from .registry import query
 @query("tokenize_df", f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def tokenize_df(spark, d):
     """Document and corpus frequency of each term."""
-    return R.postings(t(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.term_counts(t(spark, d, "documents"), "text")
 
 
 @query("bm25_stats", f"""WITH tok AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), dl AS (SELECT len({TOKENS.format('text')}) AS dl FROM documents)
 SELECT (SELECT count(*) FROM dl)::BIGINT AS n, (SELECT round(avg(dl), 6) FROM dl) AS avgdl, (SELECT count(DISTINCT term) FROM tok)::BIGINT AS terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM tok))::BIGINT AS postings""")
 def bm25_stats(spark, d):
     docs = t(spark, d, "documents")
-    posts = R.postings(docs, "doc_id", "text")
-    terms = posts.groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    terms = R.term_counts(docs, "text").agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     stats = R.corpus(R.lengths(docs, "doc_id", "text")).select("n", F.round("avgdl", 6).alias("avgdl"))
     return stats.join(F.broadcast(terms))  # one row each
 
