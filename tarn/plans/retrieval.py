@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.operators import evaluation as E
 from tarn.operators import retrieval as R
 from tarn.operators import routing
+from tarn.sources.collection import Collection
+from tarn.sources.files import shared_folder
 
 from .common import BM25, FUSED, TOKENS, VEC, WORDS, q, t
 from .registry import query
@@ -64,6 +68,18 @@ def vector_min_similarity(spark, d):
     return R.vector_top(_every_twentieth(spark, d), t(spark, d, "embeddings"), 10, least=0.3)
 
 
+@query("collection_search", """WITH m AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS w FROM embeddings WHERE vec_id % 11 <> 4 OR vec_id % 7 = 0),
+a AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, id, round(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 6) AS score FROM a, m)
+SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def collection_search(spark, d):
+    """The ten nearest members of a stored collection, after an upsert of other vectors and a delete."""
+    e = t(spark, d, "embeddings")
+    made = Collection.create(e, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}")
+    made.upsert(e.where("vec_id % 7 = 0").withColumn("embedding", F.reverse("embedding")), 1, deleted=e.where("vec_id % 11 = 4").select("vec_id"))
+    return made.search(_every_twentieth(spark, d), 10)
+
+
 def _fused(spark, d, k):
     docs, vectors = t(spark, d, "documents"), t(spark, d, "embeddings")
     queries = t(spark, d, "benchmark").join(vectors, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "embedding")

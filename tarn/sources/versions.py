@@ -54,10 +54,11 @@ class Versions:
         later = upsert(self._keys("delta", since), [self.key], [F.desc("version")])
         return later if base is None else self._keys("base", [base]).join(later.select(self.key), self.key, "left_anti").unionByName(later)
 
-    def current(self) -> DataFrame:
-        """All records of all keys that aren't deleted, as of the last whole version."""
-        live = self.known().where("not deleted").select(self.key, "version")
-        versions = children(self.spark, f"{self.path}/records")
+    def current(self, before: int | None = None) -> DataFrame:
+        """All records of all keys that aren't deleted, as of the last whole version (before one, if it is given)."""
+        live = self.known(before).where("not deleted").select(self.key, "version")
+        # a version that has not been replaced since is one that is written now, or that died: its keys are not known
+        versions = [v for v in children(self.spark, f"{self.path}/records") if before is None or int(v) < before]
         reader = self.spark.read.schema(self.record_schema)
         records = reader.parquet(*[f"{self.path}/records/{v}" for v in versions]) if versions else self.spark.createDataFrame([], self.record_schema)
         return records.join(live, [self.key, "version"])
