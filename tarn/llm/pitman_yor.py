@@ -306,7 +306,7 @@ def _deal(chosen: DataFrame, hot: Hot, buckets: int) -> DataFrame:
             cell = _among(hot.pairs, pair)
             is_hot = split[cell >= 0]
             header = _pack(cell=cell[cell >= 0].astype(np.uint32), doc=doc[is_hot])
-            rows = [(-1 - (batch & 0x3FFFFFFF), batch, None, header, ids.to_pylist(), held.tolist(), sizes.tolist())]
+            rows = [(-1 - int(_mixed(np.array([batch], np.uint64))[0] >> np.uint64(34)), batch, None, header, ids.to_pylist(), held.tolist(), sizes.tolist())]
             for at in np.unique(cell[cell >= 0]):  # the block of a hot pair gets its customers without places
                 x = is_hot[cell[cell >= 0] == at]
                 w, u = tokens[x[:1]], ctx[x[:1]]
@@ -560,8 +560,8 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
                     for _ in range(model.sweeps):
                         k.sweep()
                     k._parent(True)
-                c, t = (np.bincount(k.ctx, weights=x, minlength=len(k.ctxs)).astype(np.uint32) for x in (k.c, k.t))
-                rows = [(int(r), bucket, _ctx_bytes(k.ctxs[lo:hi]) + c[lo:hi].tobytes() + t[lo:hi].tobytes(), None, None)
+                c, t = (np.bincount(k.ctx, weights=x, minlength=len(k.ctxs)).astype(np.uint64) for x in (k.c, k.t))
+                rows = [(int(r), bucket, _sums_blob(k.ctxs[lo:hi], c[lo:hi], t[lo:hi]), None, None)
                         for r, lo, hi in zip(*_range_runs(k.ctxs, ranges))]
                 rows.append((-1 - bucket, bucket, zstandard.compress(k.t[k.c > 1].astype(np.uint32).tobytes(), 1), None, None))
                 c0, own = np.bincount(k.word, weights=k.t, minlength=len(k.words)), k.own
@@ -576,9 +576,9 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
         """Sums by context of all blobs of a range, sent back to each block in its own order."""
 
         def totals(of, rows):
-            n = [len(blob) // 13 for _, blob in rows]
-            ctx = np.concatenate([_ctx_array(blob, k) for (_, blob), k in zip(rows, n)])
-            c, t = (np.concatenate([np.frombuffer(blob[a * k : (a + 4) * k], np.uint32) for (_, blob), k in zip(rows, n)]) for a in (5, 9))
+            opened = [_sums_of(blob) for _, blob in rows]
+            n = [len(x[0]) for x in opened]
+            ctx, c, t = (np.concatenate(x) for x in zip(*opened))
             distinct, at = np.unique(ctx, return_inverse=True)
             c, t = (np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64)[at] for x in (c, t))
             ends = np.cumsum(n)
@@ -618,6 +618,19 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
     return met, after
 
 
+def _sums_blob(ctxs: np.ndarray, c: np.ndarray, t: np.ndarray) -> bytes:
+    """Contexts with their customers and tables, in 32 bits each, or in 64 where a context has more customers than that."""
+    width = 4 if not len(c) or int(c.max()) < 1 << 32 else 8
+    return bytes([width]) + _ctx_bytes(ctxs) + c.astype(f"u{width}").tobytes() + t.astype(f"u{width}").tobytes()
+
+
+def _sums_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = blob[0]
+    k = (len(blob) - 1) // (5 + 2 * width)
+    c, t = (np.frombuffer(blob, f"u{width}", k, 1 + (5 + i * width) * k).astype(np.uint64) for i in (0, 1))
+    return _ctx_array(blob[1:], k), c, t
+
+
 def _range_runs(ctxs: np.ndarray, ranges: int):
     """(range, start, end) of the even ranges of sorted 40-bit contexts, as three arrays."""
     of = (ctxs * np.uint64(ranges) >> np.uint64(40)).astype(np.int64) if ranges < 1 << 24 else np.zeros(len(ctxs), np.int64)
