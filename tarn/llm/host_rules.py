@@ -2,8 +2,9 @@
 
 Every document is measured and held against the rules. The failures are then summed by host, each host's failure rate
 is shrunk towards the rate of all hosts by a beta prior that is fitted to the hosts themselves, and the host's verdict
-is joined back. A document goes if it fails a hard rule, or if it fails a soft rule and its host isn't clearly better than
-hosts are by the prior; so a document that fails no rule always stays, and a good host's odd pages do, too.
+is joined back. A host is bad if its posterior lies clearly above the prior's mean, good if clearly below, else like most.
+A document goes if it fails a hard rule. If it fails soft rules, the host decides how many are too many: one on a bad host,
+two on a host like most, none is on a good host. So a document that fails no rule always stays.
 
 Edge cases: a null or empty text has no words (it fails the word-count rule); documents without a host form one group
 of their own, as null; an empty table gives an empty result; repeated rows each count and each return a row. Only the
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table
+from .common import WORD, plain_names, saved, table
 
 #: Characters that the symbol rule counts.
 SYMBOLS = "#*$%&|<>"
@@ -28,10 +29,10 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules. The first two are hard, the others are forgiven on good hosts.
+    """Limits of the rules. The first two are hard, the others soft.
 
-    A host is good if its shrunk rate is below ``good_share`` of the prior's mean, or ``good_deviations`` of the prior's
-    standard deviations below it, or if it has fewer than ``min_host_documents``, which say little about it.
+    A host is bad if its shrunk rate is above ``bad_share`` of the prior's mean, and by ``deviations`` of the posterior's
+    standard deviations above the mean itself; good likewise below. Hosts with fewer than ``min_host_documents`` are like most.
     """
 
     min_words: int = 50
@@ -39,8 +40,9 @@ class Rules:
     max_symbols_per_word: float = 0.1
     max_dup_line_share: float = 0.4
     mean_word_chars: tuple[float, float] = (2.5, 12.0)
-    good_share: float = 0.5
-    good_deviations: float = 2.0
+    good_share: float = 0.8
+    bad_share: float = 1.25
+    deviations: float = 2.0
     min_host_documents: int = 5
 
 
@@ -90,17 +92,23 @@ def document_measures(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
 
 def with_failures(measures: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds base_failed (a hard rule) and rule_failed (any rule)."""
+    """Adds base_failed (a hard rule), n_soft (how many soft ones) and rule_failed (any rule)."""
     n = F.col("n_words")
     low, high = rules.mean_word_chars
     base = (n < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat_share * n)
-    soft = (
-        (F.col("n_symbols") > rules.max_symbols_per_word * n)
-        | (F.col("n_dup_lines") > rules.max_dup_line_share * F.col("n_lines"))
-        | (F.col("word_chars") < low * n)
-        | (F.col("word_chars") > high * n)
-    )
-    return measures.withColumn("base_failed", base).withColumn("rule_failed", base | soft)
+    soft = [
+        F.col("n_symbols") > rules.max_symbols_per_word * n,
+        F.col("n_dup_lines") > rules.max_dup_line_share * F.col("n_lines"),
+        (F.col("word_chars") < low * n) | (F.col("word_chars") > high * n),
+    ]
+    failed = measures.withColumn("base_failed", base).withColumn("n_soft", sum(x.cast("int") for x in soft))
+    return failed.withColumn("rule_failed", base | (F.col("n_soft") > 0))
+
+
+def _gone():
+    """Whether a document goes, by its own failures and its host's verdict (host_tail: -1 good, 0 like most, 1 bad)."""
+    tail = F.coalesce("host_tail", F.lit(0))
+    return F.col("base_failed") | ((tail > 0) & (F.col("n_soft") >= 1)) | ((tail == 0) & (F.col("n_soft") >= 2))
 
 
 def host_verdicts(judged: DataFrame, host_col: str, rules: Rules = Rules()) -> DataFrame:
@@ -123,15 +131,20 @@ def host_verdicts(judged: DataFrame, host_col: str, rules: Rules = Rules()) -> D
     spread = F.greatest(F.col("__v") - mean * F.col("__inv"), F.lit(1e-6))
     weight = F.least(F.greatest(mean / spread - 1, F.lit(1.0)), F.lit(1e4))
     prior = fit.select(F.col("__m"), weight.alias("__w"))
-    limit = F.greatest(rules.good_share * F.col("__m"), F.col("__m") - rules.good_deviations * F.sqrt(mean / (F.col("__w") + 1)))
+    known = F.col("host_documents") >= rules.min_host_documents
+    x, m = F.col("host_rate"), F.col("__m")
+    far = rules.deviations * F.sqrt(x * (1 - x) / (F.col("host_documents") + F.col("__w") + 1))
+    bad, good = (x > rules.bad_share * m) & (x - far > m), (x < rules.good_share * m) & (x + far < m)
+    tail = F.when(known & bad, 1).when(known & good, -1).otherwise(0)
     # the prior is one row by construction, so this is no cross join of data
     return hosts.join(F.broadcast(prior)).select(
         "__host",
         "host_documents",
         "host_failures",
         ((F.col("host_failures") + F.col("__m") * F.col("__w")) / (F.col("host_documents") + F.col("__w"))).alias("host_rate"),
-        limit.alias("__limit"),
-    ).select("__host", "host_documents", "host_failures", "host_rate", ((F.col("host_rate") >= F.col("__limit")) & (F.col("host_documents") >= rules.min_host_documents)).alias("host_bad"))
+        F.col("__m"),
+        F.col("__w"),
+    ).select("__host", "host_documents", "host_failures", "host_rate", tail.alias("host_tail"))
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: Rules = Rules()) -> DataFrame:
@@ -143,9 +156,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
     chosen = docs.select(*[F.col(c) for c in keep], F.col(host_col).alias("__of"), F.col(text_col).alias("__body"))
     judged = saved(with_failures(document_measures(chosen, "__body", (*keep, "__of")), rules))
     hosts = host_verdicts(judged, "__of", rules)
-    return judged.join(hosts, judged["__of"].eqNullSafe(hosts["__host"]), "left").withColumn(
-        "kept", ~(F.col("base_failed") | (F.col("rule_failed") & F.coalesce(F.col("host_bad"), F.lit(False))))
-    ).drop("__of", "__host")
+    return judged.join(hosts, judged["__of"].eqNullSafe(hosts["__host"]), "left").withColumn("kept", ~_gone()).drop("__of", "__host")
 
 
 def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -154,13 +165,13 @@ def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", rule
     Texts are measured twice, first for the hosts' verdicts and then for their own, and never shuffled for a host table
     that Spark can broadcast.
     """
+    columns, docs = docs.columns, plain_names(docs)
     slim = docs.select(F.col(host_col).alias("__of"), F.col(text_col).alias("__body"))
-    hosts = saved(host_verdicts(with_failures(document_measures(slim, "__body", ("__of",)), rules), "__of", rules).select("__host", "host_bad"))
+    hosts = saved(host_verdicts(with_failures(document_measures(slim, "__body", ("__of",)), rules), "__of", rules).select("__host", "host_tail"))
     row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host_col).alias("__of"), F.col(text_col).alias("__body"))
     judged = with_failures(document_measures(row, "__body", ("__row", "__of")), rules)
     met = judged.join(hosts, judged["__of"].eqNullSafe(hosts["__host"]), "left")
-    gone = F.col("base_failed") | (F.col("rule_failed") & F.coalesce(F.col("host_bad"), F.lit(False)))
-    return met.where(~gone).select("__row.*")
+    return met.where(~_gone()).select("__row.*").toDF(*columns)
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -179,13 +190,15 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed,
-  n_symbols > 0.1 * n_words OR n_dup_lines > 0.4 * n_lines OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words AS soft_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed OR soft_failed)::DOUBLE AS bad FROM f GROUP BY source),
+  (n_symbols > 0.1 * n_words)::INT + (n_dup_lines > 0.4 * n_lines)::INT + (word_chars < 2.5 * n_words OR word_chars > 12 * n_words)::INT AS n_soft FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed OR n_soft > 0)::DOUBLE AS bad FROM f GROUP BY source),
 a AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS inv FROM h),
 p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 1), 1e4) AS weight FROM a),
-q AS (SELECT source, n, (bad + m * weight) / (n + weight) AS host_rate, greatest(0.5 * m, m - 2 * sqrt(m * (1 - m) / (weight + 1))) AS good FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (soft_failed AND host_rate >= good AND n >= 5)) AS kept, round(host_rate, 6) AS host_rate
-FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
+q AS (SELECT source, n, (bad + m * weight) / (n + weight) AS host_rate, weight, m FROM h, p),
+d AS (SELECT *, 2 * sqrt(host_rate * (1 - host_rate) / (n + weight + 1)) AS far FROM q),
+v AS (SELECT source, host_rate, CASE WHEN n < 5 THEN 0 WHEN host_rate > 1.25 * m AND host_rate - far > m THEN 1 WHEN host_rate < 0.8 * m AND host_rate + far < m THEN -1 ELSE 0 END AS tail FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR (tail = 1 AND n_soft >= 1) OR (tail = 0 AND n_soft >= 2)) AS kept, round(host_rate, 6) AS host_rate
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
