@@ -64,5 +64,10 @@ def saved(df: DataFrame, arrow_rows: int | None = None, group_bytes: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """The same columns by place; those whose names have points or other signs under plain names. ``toDF`` names them again."""
+    return docs.toDF(*[c if re.fullmatch(r"\w+", c) else f"__column{i}__" for i, c in enumerate(docs.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain_names, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -175,7 +175,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rules: EntropyRules = EntropyRules()) -> DataFrame:
     """The same rows and columns with every span of ``text_col`` replaced by ``mask``; other texts are left as they are."""
     columns = docs.columns
-    at = columns.index(text_col)
+    at, docs = columns.index(text_col), plain_names(docs)
 
     def batches(it):
         scanner = Scanner(rules)
@@ -195,7 +195,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rule
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(batches, docs.schema).toDF(*columns)
 
 
 def op6_secret_scan(spark, sf_dir):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, saved, table
+from .common import WORD_BYTES, plain_names, saved, table
 
 SEED = 42
 _BIT = np.arange(64, dtype=np.uint64)
@@ -414,14 +414,32 @@ def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     return found
 
 
+def _hashes(text_col: str) -> list:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
+
+
+def clashes(docs: DataFrame, text_col: str) -> DataFrame:
+    """(__h1, __h2, __other): texts that share the first 64 bits of their hash with another, by the further 64 bits, each with
+    a node of its own. One in some thousand millions of texts, so a table of next to no rows."""
+    same = docs.select(*_hashes(text_col)).distinct().groupBy("__h1").agg(F.sort_array(F.collect_list("__h2")).alias("all")).where(F.size("all") > 1)
+    each = same.select("__h1", F.posexplode("all").alias("__at", "__h2")).where("__at > 0")
+    return saved(each.select("__h1", "__h2", F.xxhash64("__h1", "__h2", F.lit("other")).alias("__other")))
+
+
+def with_nodes(docs: DataFrame, text_col: str, apart: DataFrame) -> DataFrame:
+    """``docs`` with node, the hash of the text: equal for equal texts, and told apart by 128 bits."""
+    met = docs.select("*", *_hashes(text_col)).join(apart, ["__h1", "__h2"], "left")
+    return met.withColumn("node", F.coalesce("__other", "__h1")).drop("__h1", "__h2", "__other")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row for each document: node (hash of its text), doc_id, root (node of its group) and keeper, its least doc_id.
 
     Two texts belong together if their sets of shingles of ``width`` words have this Jaccard similarity, or are linked by
     such pairs. All pairs count, and each link is settled on the whole sets.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    chosen = docs.select(node.alias("node"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = with_nodes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", clashes(docs, text_col))
     every = saved(chosen.select("node", "doc_id"))
     roots = components(near_links(chosen.select("node", "text"), width, similarity))
     ids = every.groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -433,17 +451,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the least id (one of repeated rows)."""
+    columns, docs = docs.columns, plain_names(docs)
     found = saved(near_copies(docs, id_col, text_col))
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("keeper")))
     # rows that share id and text, or groups with null ids only: then one row of the group is picked
     twice = not stays.groupBy("root").count().where("count > 1").isEmpty()
     of_text = stays.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.col("doc_id").alias("__id")).distinct()
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.select(F.struct(*docs.columns).alias("__row"), node.alias("__node"), F.col(id_col).alias("__of")).join(of_text, "__node")
+    kept = with_nodes(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"), F.col(id_col).alias("__of")), "__text", clashes(docs, text_col))
+    kept = kept.select("__row", F.col("node").alias("__node"), "__of").join(of_text, "__node")
     kept = kept.where(F.col("__of").eqNullSafe(F.col("__id")))
     if twice:
         kept = kept.dropDuplicates(["__root"])
-    return kept.select("__row.*")
+    return kept.select("__row.*").toDF(*columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

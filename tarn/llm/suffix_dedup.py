@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, shared_dir, table, tidy
+from .common import partitions, plain_names, saved, shared_dir, table, tidy
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1  # grams in a window
@@ -474,12 +474,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, each text without its repeated bytes; a text that loses nothing stays as it is."""
+    columns, docs = docs.columns, plain_names(docs)
     found = dedup_texts(distinct_texts(docs, text_col), True).where("n_removed > 0").select("k1", "k2", "kept")
     keys = _key(F.coalesce(F.col(text_col), F.lit("")))
     inner = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(found, ["k1", "k2"], "left")
     return inner.select(
         *[(F.coalesce("kept", F.col("row")[c]) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
-    )
+    ).toDF(*columns)
 
 
 def op1_suffix_dedup(spark, sf_dir):

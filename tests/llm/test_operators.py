@@ -816,13 +816,60 @@ def test_bad_hosts(spark):
 
 
 def test_hosts_decide(spark):
-    """On the given tables, whose hosts are alike, failures of soft rules go; they are junk by the tables' labels."""
+    """One failed soft rule goes on a bad host, two on a host like most, none on a good one."""
+    fine = " ".join(f"word{i}" for i in range(60))
+    symbols, both = fine + " #" * 20, " ".join(f"word{i} longer than any word of a sentence".replace(" ", "-") for i in range(60)) + " #" * 20
+    rows = []
+    for h in range(40):
+        bad = {0: 36, 1: 0}.get(h, 6)  # of 40 documents; the others' rates lie about 6 of 40
+        bad += (h % 5 - 2) if h > 1 else 0
+        rows += [(f"h{h}", symbols)] * bad + [(f"h{h}", fine)] * (38 - bad) + [(f"h{h}", both)] * (2 if h != 1 else 1) + [(f"h{h}", "few")] * (h == 1)
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    judged = host_rules.judge(df, keep=("doc_id", "source", "text"))
+    got = {(r["source"], r["n_soft"]): r["kept"] for r in judged.where("NOT base_failed").collect()}
+    assert {s: got[s, 0] for s, _ in rows} == dict.fromkeys((s for s, _ in rows), True)
+    assert [got["h0", n] for n in (1, 2)] == [False, False]
+    assert [got["h7", n] for n in (1, 2)] == [True, False]
+    assert got["h1", 2]
+    assert not judged.where("base_failed").collect()[0]["kept"]
+    assert sorted(map(tuple, host_rules.keep(df).collect())) == sorted((r["doc_id"], r["source"], r["text"]) for r in judged.where("kept").collect())
+
+
+def test_columns_with_points(spark):
+    """Stages take any names of further columns, and give them back in their places."""
+    long = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long, "a", 1, "x"), (2, long, "b", 2, "y"), (3, long + " token=Zx81kLmQ09aB7", None, 3, None)], "doc_id long, text string, source string, `a.b` int, `n m` string")
+    for stage in (host_rules.keep, simhash_gray.keep_one, suffix_dedup.remove_repeats, secret_scan.redact):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert {r["a.b"]: r["n m"] for r in out.collect()}.items() <= {1: "x", 2: "y", 3: None}.items()
+
+
+def test_texts_with_clashing_hashes_stay_apart(spark, monkeypatch):
+    """Nodes come from 128 bits: here the first 64 take two values only, and no text is taken for another."""
     from pyspark.sql import functions as F
 
-    judged = host_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    gone = judged.where("NOT kept AND NOT base_failed").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    n, good = gone.agg(F.count("*"), F.sum("quality")).first()
-    assert n > 20 and good == 0
+    plain = simhash_gray._hashes
+    monkeypatch.setattr(simhash_gray, "_hashes", lambda c: [(plain(c)[0] % 2).alias("__h1"), plain(c)[1]])
+    texts = [" ".join(f"w{i * 50 + j}" for j in range(40)) for i in range(9)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3] + [None, ""])], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_gray.keep_one(df).select(F.col("doc_id")).collect()} == {*range(9), 12}
+
+
+def test_headers_of_all_partitions_are_dealt(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i}", False) for i in range(64)], "doc_id long, text string, held_out boolean").repartition(16)
+    chosen = pitman_yor._chosen(docs, "doc_id", "text")
+    hot, _ = pitman_yor._totals(chosen, 8)
+    headers = pitman_yor._deal(chosen, hot, 8).where("bucket < 0").select("bucket", "batch").distinct().collect()
+    assert len(headers) >= 12 and len({r["bucket"] for r in headers}) == len(headers)
+
+
+@pytest.mark.parametrize("most", [5, 2**32 - 1, 2**32, 10**12])
+def test_sums_of_contexts_beyond_32_bits(most):
+    ctx = np.array([1, 2**39, 2**40 - 1], np.uint64)
+    c, t = np.array([0, most, 7], np.uint64), np.array([0, most // 3, 7], np.uint64)
+    got = pitman_yor._sums_of(pitman_yor._sums_blob(ctx, c, t))
+    assert [x.tolist() for x in got] == [x.tolist() for x in (ctx, c, t)]
 
 
 def test_quality_edges(spark, odd):
