@@ -44,20 +44,30 @@ def clean_lines(spark, d):
     return pages.select("doc_id", F.sha2("clean", 256).alias("sha"), F.length("clean").alias("chars"))
 
 
-@query("chunk_spans")
+WHITE = class_of(I.WHITE)
+STRIP = f"regexp_replace({{}}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
+#: Chunks step by step: c (doc_id, chunk_no, start, end, chunk).
+CHUNKS = f"""RECURSIVE f AS (SELECT doc_id, {STRIP.format("coalesce(text, '')")} AS t, 0 AS at_, 0 AS least, NULL::INT AS a, NULL::INT AS e, NULL::VARCHAR AS c, false AS taken, false AS done FROM documents
+UNION ALL SELECT doc_id, t, nxt + length(regexp_extract(substr(t, nxt + 1, 60), '(?s)^[^{WHITE}]*[{WHITE}]')), floor_, at_, stop, piece, got, last
+FROM (SELECT *, greatest(stop - 150, at_ + 1, floor_) AS nxt FROM (SELECT *, CASE WHEN got THEN at_ + 590 ELSE least END AS floor_
+FROM (SELECT *, length(piece) >= 40 AND at_ >= least AS got FROM (SELECT *, {STRIP.format("left(win, cut)")} AS piece, at_ + cut AS stop
+FROM (SELECT *, CASE WHEN last THEN length(win) ELSE 680 + coalesce(nullif(length(regexp_extract(right(win, 120), '(?s)^.*[।?!.]')), 0), nullif(length(regexp_extract(right(win, 120), '(?s)^.*[{WHITE}]')), 0), 120) END AS cut
+FROM (SELECT * EXCLUDE (a, e, c, taken, done), substr(t, at_ + 1, 800) AS win, at_ + 800 >= length(t) AS last FROM f WHERE NOT done AND t <> ''))))))),
+c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_no, a::BIGINT AS start, e::BIGINT AS end_, c AS chunk FROM f WHERE taken)"""
+
+
+@query("chunk_spans", f"WITH {CHUNKS} SELECT doc_id, chunk_no, doc_id || '::c' || chunk_no AS chunk_id, start, end_ AS \"end\", chunk FROM c")
 def chunk_spans(spark, d):
     """All chunks of all documents with their places."""
     return I.chunks(t(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_no", "chunk_id", "start", "end", "chunk")
 
 
-@query("chunk_count")
+@query("chunk_count", f"WITH {CHUNKS}, n AS (SELECT doc_id, count(*) AS chunks, sum(end_ - start) AS chars FROM c GROUP BY doc_id) SELECT source, count(*)::BIGINT AS documents, coalesce(sum(chunks), 0)::BIGINT AS chunks, coalesce(sum(chars), 0)::BIGINT AS chars FROM documents LEFT JOIN n USING (doc_id) GROUP BY source")
 def chunk_count(spark, d):
-    """Chunks and characters in them, by source: texts cross to Python once, sums are made before the shuffle."""
-    docs = t(spark, d, "documents")
-    per = I.chunks(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("chars"))
-    return docs.select("doc_id", "source").join(per, "doc_id", "left").groupBy("source").agg(
-        F.count("*").alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")
-    )
+    """Chunks and characters in them, by source: counted where the texts stand, so one shuffle of sums."""
+    each = t(spark, d, "documents").select("source", I.chunk_array(F.col("text")).alias("c"))
+    chars = F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return each.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("c")).alias("chunks"), F.sum(chars).alias("chars"))
 
 
 @query("chunk_embeddings")

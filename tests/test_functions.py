@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn import config, dictionaries as D
 from tarn.functions import market as M
 from tarn.functions import text as X
+from tarn.config import Settings
 from tarn.operators import degenerate, detection, evaluation, ingest, reports, retrieval, routing
 from tarn.sources import capabilities, files
 
@@ -114,14 +115,36 @@ def test_loops():
     assert degenerate.loops(" ".join([words] * 3)) and not degenerate.loops(" ".join([words] * 2)) and not degenerate.loops("a b c")
 
 
-def test_chunks():
-    assert ingest.chunk_spans("x" * 39) == [] and len(ingest.chunk_spans("x" * 40)) == 1
+def spans(spark, texts, s=Settings(), **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [[] for _ in texts]
+    for r in ingest.chunks(df, "doc_id", "text", s, **options).orderBy("doc_id", "chunk_no").collect():
+        out[r["doc_id"]].append((r["start"], r["end"], r["chunk"]))
+    return out
+
+
+def test_chunks(spark):
     text = " ".join(f"word{i}." for i in range(900))
-    spans = ingest.chunk_spans(text)
-    assert spans[0][0] == 0 and spans[-1][1] == len(text)
-    assert all(b[0] <= a[1] for a, b in zip(spans, spans[1:])), "chunks cover the text"
-    assert all(b[0] - a[0] >= 590 for a, b in zip(spans, spans[1:]))
-    assert ingest.chunk_spans(text, drop_first=True)[0][0] > 0
+    assert [len(x) for x in spans(spark, ["x" * 39, "x" * 40, None, "", " \u3000\n"])] == [0, 1, 0, 0, 0]
+    (got,) = spans(spark, [text])
+    assert got[0][0] == 0 and got[-1][1] == len(text)
+    assert all(b[0] <= a[1] for a, b in zip(got, got[1:])), "chunks cover the text"
+    assert all(b[0] - a[0] >= 590 for a, b in zip(got, got[1:]))
+    assert all(c == text[a:e].strip() and (e == len(text) or text[e - 1] == ".") for a, e, c in got)
+    (later,) = spans(spark, [text], drop_first=True)
+    assert later[0][0] > 0 and later == got[1:]
+
+
+def test_chunks_end_and_begin_where_they_may(spark):
+    s = Settings(chunk_size=300, chunk_overlap=50, min_chunk=10)
+    marks = "a" * 200 + "। " + "b" * 50 + " " + "c" * 300
+    blanks = "a" * 250 + " " + "b" * 400
+    neither = "\U0001F600" * 700
+    got = spans(spark, [marks, blanks, neither], s)
+    assert [x[0][1] for x in got] == [201, 251, 300]
+    # the next one begins behind the first blank from 50 before the end on, where there is one within 60
+    assert got[0][1][0] == 202 and got[1][1][0] == 251 and got[2][1][0] == 250
+    assert "".join(c for _, _, c in got[2])[:700].count("\U0001F600") == 700
 
 
 def test_rrf(spark):
