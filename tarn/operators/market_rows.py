@@ -15,6 +15,7 @@ from tarn import dictionaries as D
 from tarn.functions import market as M
 
 from . import reports as P
+from .many_words import occurring
 
 
 @dataclass(frozen=True)
@@ -270,7 +271,7 @@ def crop_prices(rows: DataFrame, division: str, crops: DataFrame, as_of: Column,
     found = priced_rows(latest_reports(rows, division, as_of, max_age_days), by, w)
     left = F.lower(F.array_join(F.slice("cells", 1, 4), " "))
     wanted = crops.select("crop", F.explode("variants").alias("v")).select("crop", F.lower(M.normalize(F.col("v"))).alias("v"))
-    hits = found.withColumn("__left", left).join(wanted, F.contains("__left", F.col("v")))
+    hits = occurring(found.withColumn("__left", left), F.col("__left"), wanted, "v")
     first = hits.groupBy(*by, "crop").agg(F.min_by(F.struct("product", "lo", "hi", "unit_cell"), F.struct("table_no", "row_no")).alias("x"))
     unit = unit_of(F.col("x.product"), F.col("x.unit_cell"), w)
     middle = F.bround((F.col("x.lo") + F.col("x.hi")) / 2, 2)

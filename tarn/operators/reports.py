@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import market as M
+from tarn.operators.many_words import occurring
 
 
 def latest(rows: DataFrame, key: str, date: str, as_of: Column, tie: str, max_age_days: int = 0) -> DataFrame:
@@ -40,9 +41,10 @@ def current_header(c: Column, date_pattern: str, markers: tuple[str, ...], again
 def first_match(wanted: DataFrame, rows: DataFrame, variants: str, text: str, order: list[str]) -> DataFrame:
     """For each wanted name, the first row in order whose text holds one of its variants (an array column).
 
-    ``wanted`` is a caller's list of names; rows are filtered while they are scanned, and only hits are shuffled.
+    All variants are looked for in one pass over a text, and only hits are shuffled.
     """
-    hits = rows.join(wanted, F.exists(F.col(variants), lambda v: F.contains(F.lower(F.col(text)), F.lower(v))))
+    each = wanted.withColumn("__v", F.explode(variants))
+    hits = occurring(rows, F.col(text), each, "__v").drop("__v", "at")
     w = Window.partitionBy("name").orderBy(*order)
     return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -65,12 +67,10 @@ def omitted(rows: DataFrame, by: list[str], looks_omitted: Column) -> DataFrame:
 def ticker(pages: DataFrame, text: str, variants: DataFrame, span: int = 300) -> DataFrame:
     """(crop, lo, hi, ...) by the first variant of each crop, in order, that a parsable price follows in a page.
 
-    ``variants`` (crop, variant, place) is a caller's list; it meets the pages by a filter while they are scanned.
+    All ``variants`` (crop, variant, place) are looked for in one pass over a page.
     """
-    low = F.lower(M.normalize(F.col(text)))
-    at = F.instr(low, F.lower(F.col("variant")))
-    hits = pages.join(variants, F.contains(low, F.lower(F.col("variant"))))
-    priced = hits.withColumn("price", M.parse_price(F.substring(M.normalize(F.col(text)), at, F.lit(span)))).where("price is not null")
+    hits = occurring(pages, M.normalize(F.col(text)), variants, "variant")
+    priced = hits.withColumn("price", M.parse_price(F.substring(M.normalize(F.col(text)), F.col("at") + 1, F.lit(span)))).where("price is not null")
     keys = [c for c in pages.columns if c != text]
     best = priced.groupBy(*keys, "crop").agg(F.min_by("price", "place").alias("p"))
     return best.select(*keys, "crop", "p.lo", "p.hi")
@@ -83,34 +83,3 @@ def repaired(c: Column, corrections: dict[str, str]) -> Column:
     c = F.trim(F.regexp_replace(c, "[ \\t]+", " "))
     opened = F.regexp_count(c, F.lit("\\(")) - F.regexp_count(c, F.lit("\\)"))
     return F.when(opened == 1, F.concat(c, F.lit(")"))).otherwise(c)
-
-
-def product_of(row: Column, price_at: Column, noise: Column, ditto: tuple[str, ...] = ("", ",,", '"', "”", "''", '""')) -> Column:
-    """The name in a row of cells: the last cell left of the price that is no ditto mark, number, unit or header word."""
-    left = F.slice(row, F.lit(1), F.greatest(F.least(price_at, F.lit(4)), F.lit(0)))
-    fits = lambda x: ~F.trim(x).isin(*ditto) & ~x.rlike("^[0-9০-৯ .,()-]+$") & ~F.array_contains(noise, F.trim(x))
-    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(left, fits)), -1)
-
-
-def is_ambiguous(c: Column, known: tuple[str, ...]) -> Column:
-    """A name that begins with a vowel sign or digit, has more marks than letters allow, or holds no known word."""
-    letters = F.regexp_count(c, F.lit("[\\u0985-\\u09B9\\u09DC-\\u09DFa-zA-Z]"))
-    marks = F.regexp_count(c, F.lit("[\\u0981-\\u0983\\u09BC-\\u09CD\\u09D7]"))
-    sure = F.lit(False)
-    for k in known:
-        sure = sure | F.contains(F.lower(c), F.lit(k.lower()))
-    return c.isNull() | c.rlike("^[\\u0981-\\u0983\\u09BC-\\u09CD\\u09D70-9০-৯]") | (marks > 2 * letters + 3) | ~sure
-
-
-def report_index(pages: DataFrame, html: str, base_url: str = "") -> DataFrame:
-    """(..., report_date, column, urls) of the date rows of the first table with links: one row for each filled cell."""
-    row = F.regexp_extract_all(F.regexp_extract(html, "(?is)<table[^>]*>(.*?)</table>", 1), F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = lambda r: F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    plain = lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))
-    keys = [c for c in pages.columns if c != html]
-    rows = pages.select(*keys, F.transform(cells(F.get(row, 0)), plain).alias("__head"), F.explode(F.slice(row, 2, 100_000)).alias("__r"))
-    cut = rows.select(*keys, "__head", cells(F.col("__r")).alias("__c")).select(*keys, "__head", M.parse_date(plain(F.get("__c", F.lit(0)))).alias("report_date"), F.posexplode("__c").alias("__i", "__cell"))
-    href = F.filter(F.regexp_extract_all("__cell", F.lit("(?i)href=[\"']([^\"']*)[\"']"), F.lit(1)), lambda u: ~u.startswith("#") & ~F.lower(u).startswith("javascript:") & (u != ""))
-    urls = F.array_distinct(F.transform(href, lambda u: F.when(u.rlike("^[a-z]+://"), u).otherwise(F.concat(F.lit(base_url), u))))
-    found = cut.where("__i > 0 and report_date is not null").select(*keys, "report_date", F.get("__head", F.col("__i")).alias("column"), urls.alias("urls"))
-    return found.where(F.size("urls") > 0)

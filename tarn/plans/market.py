@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import market_rows as R
+from tarn.sources import html_tables
 
 from .common import t
 from .registry import query
@@ -91,3 +92,31 @@ def price_cache(spark, d):
 
     answers, _ = R.through_cache(brands.select(key), cache, "cache_key", compute, now, 48)
     return answers.select("cache_key", "available", "result", "came_from")
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def index_pages(spark, d):
+    """(region, html): a page for each region with a table of months and priorities: links where an order is. One page lacks a
+    column. There is a table before it and one within a cell, and cells and rows that are never closed."""
+    o, c, n, r = (t(spark, d, x) for x in ("orders", "customer", "nation", "region"))
+    month = F.add_months(F.date_trunc("month", "o_orderdate"), 144)  # dates of reports are of this century
+    got = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    got = got.select(F.col("r_name").alias("region"), month.alias("month"), F.col("o_orderpriority").alias("p")).groupBy("region", "month").agg(F.collect_set("p").alias("has"))
+    link = lambda p: F.when(F.array_contains("has", p), F.concat(F.lit(f'<a href="{p[0]}/'), F.date_format("month", "yyyy-MM"), F.lit('.pdf">pdf</a><a href="#top">up</a>'))).otherwise(F.lit("-"))
+    row = F.concat(F.lit("<tr><td>"), F.date_format("month", "dd/MM/yyyy"), F.lit("<table><tr><td>inner</table>"), *[x for p in PRIORITIES for x in (F.lit("<td>"), link(p))])
+    body = got.groupBy("region").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    head = F.concat(F.lit("<table><tr><td>menu</td></tr></table><table><thead><tr><th>Date"), *[F.when((F.col("region") == "AFRICA") & F.lit(p == "5-LOW"), F.lit("<th>other")).otherwise(F.lit(f"<th>{p}")) for p in PRIORITIES], F.lit("</thead>"))
+    return body.select("region", F.concat(head, "rows", F.lit("</table>")).alias("html"))
+
+
+@query("report_index", """WITH o AS (SELECT DISTINCT r_name AS region, (date_trunc('month', o_orderdate) + INTERVAL 144 MONTH)::DATE AS m, o_orderpriority AS p
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT region, m AS report_date, p AS division, 'https://reports.example/' || region || '/' || p[1] || '/' || strftime(m, '%Y-%m') || '.pdf' AS url, NULL AS error FROM o WHERE region <> 'AFRICA' AND m <= DATE '2009-06-15'
+UNION ALL SELECT DISTINCT region, NULL, '5-LOW', NULL, 'no column of this division' FROM o WHERE region = 'AFRICA'""")
+def report_index(spark, d):
+    """The reports that a page's table links to by date and division; an error where a division has no column."""
+    base = F.concat(F.lit("https://reports.example/"), "region", F.lit("/"))
+    found = html_tables.report_index(index_pages(spark, d), "html", {p: p for p in PRIORITIES}, F.lit("2009-06-15").cast("date"), "date", base)
+    return found.select("region", "report_date", "division", F.get("urls", F.lit(0)).alias("url"), "error")

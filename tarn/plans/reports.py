@@ -9,6 +9,7 @@ from tarn.functions import market as M
 from tarn.operators import detection as V
 from tarn.operators import reports as P
 from tarn.operators import routing
+from tarn.operators.many_words import occurring
 
 from .common import q, t
 from .registry import query
@@ -211,3 +212,17 @@ def full_frame_labels(spark, d):
     """Whole-image labels by folder; folders without a class drop out."""
     mapping = spark.createDataFrame([("en", 0), ("de", 1)], "from_label string, class_id int")
     return V.full_frame(t(spark, d, "documents").select("doc_id", "lang"), "lang", mapping).select("doc_id", "line")
+
+
+DICTIONARY = "SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM benchmark"
+
+
+@query("many_words", f"""WITH w AS ({DICTIONARY}), h AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) AS n, count(*) OVER (PARTITION BY doc_id) AS words, instr(lower(text), word) - 1 AS place_ FROM documents JOIN w ON word <> '' AND contains(lower(text), word))
+SELECT doc_id, word AS longest, words::BIGINT AS words, place_::INTEGER AS place FROM h WHERE n = 1""")
+def many_words(spark, d):
+    """How many of all items' words stand in each text, the longest of them, and where."""
+    words = t(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    hits = occurring(docs, F.col("text"), words, "word").select("doc_id", "word", "at")
+    best = F.min(F.struct((-F.length("word")).alias("n"), "word", "at")).alias("b")
+    return hits.groupBy("doc_id").agg(best, F.count("*").alias("words")).select("doc_id", F.col("b.word").alias("longest"), "words", F.col("b.at").alias("place"))
