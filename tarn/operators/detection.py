@@ -86,14 +86,6 @@ def remapped(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def inspected(files: DataFrame, folder: str, size: str, corrupt: Column) -> DataFrame:
-    """Files, corrupt files and the histogram of sizes of each folder."""
-    hist = files.groupBy(folder, size).agg(F.count("*").alias("n"), F.count_if(corrupt).alias("bad"))
-    return hist.groupBy(folder).agg(
-        F.sum("n").alias("files"), F.sum("bad").alias("corrupt"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(size).cast("string"), "n")))).alias("sizes")
-    )
-
-
 def full_frame(images: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
     """A label line over the whole image for each image of a mapped folder label (from_label, class_id)."""
     m = mapping.select(F.col("from_label").alias("__l"), "class_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.operators import detection as V
 from tarn.operators import ingest as I
-from tarn.sources import capabilities
+from tarn.operators.page_tables import page_tables as page_tables_of
+from tarn.sources import capabilities, files, images
 
 from .common import D, WS, class_of, q, strip_sql, t
 from .registry import query
@@ -36,8 +39,11 @@ STAYS = f"x = '' OR (NOT regexp_matches(x, {BARE}) AND NOT (length(x) >= 15 AND
 SQUEEZED = strip_sql("regexp_replace(regexp_replace(array_to_string(k, '\n'), '[ \\t\u00a0]+', ' ', 'g'), '\\n{3,}', '\n\n', 'g')")
 
 
-@query("clean_lines", f"""WITH {MARKS}, a AS (SELECT source, list(line) AS marks FROM m GROUP BY source), f AS (SELECT doc_id, list_filter({LINES}, lambda x: {STAYS}) AS k FROM documents LEFT JOIN a USING (source))
-SELECT doc_id, sha256({SQUEEZED}) AS sha, length({SQUEEZED})::INTEGER AS chars FROM f""")
+#: Texts without the lines that go: k (doc_id, source, k).
+KEPT = f"{MARKS}, a AS (SELECT source, list(line) AS marks FROM m GROUP BY source), k AS (SELECT doc_id, source, list_filter({LINES}, lambda x: {STAYS}) AS k FROM documents LEFT JOIN a USING (source))"
+
+
+@query("clean_lines", f"WITH {KEPT} SELECT doc_id, sha256({SQUEEZED}) AS sha, length({SQUEEZED})::INTEGER AS chars FROM k")
 def clean_lines(spark, d):
     """Texts without boilerplate, bare numbers and lines of another script."""
     pages = I.clean_pages(t(spark, d, "documents"), ["source"], "doc_id", "text", D.LATIN)
@@ -46,14 +52,15 @@ def clean_lines(spark, d):
 
 WHITE = class_of(I.WHITE)
 STRIP = f"regexp_replace({{}}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
-#: Chunks step by step: c (doc_id, chunk_no, start, end, chunk).
-CHUNKS = f"""RECURSIVE f AS (SELECT doc_id, {STRIP.format("coalesce(text, '')")} AS t, 0 AS at_, 0 AS least, NULL::INT AS a, NULL::INT AS e, NULL::VARCHAR AS c, false AS taken, false AS done FROM documents
+#: Chunks of a table (doc_id, text) step by step: c (doc_id, chunk_no, start, end, chunk).
+CHUNKS_OF = f"""f AS (SELECT doc_id, {STRIP.format("coalesce(text, '')")} AS t, 0 AS at_, 0 AS least, NULL::INT AS a, NULL::INT AS e, NULL::VARCHAR AS c, false AS taken, false AS done FROM $table
 UNION ALL SELECT doc_id, t, nxt + length(regexp_extract(substr(t, nxt + 1, 60), '(?s)^[^{WHITE}]*[{WHITE}]')), floor_, at_, stop, piece, got, last
 FROM (SELECT *, greatest(stop - 150, at_ + 1, floor_) AS nxt FROM (SELECT *, CASE WHEN got THEN at_ + 590 ELSE least END AS floor_
 FROM (SELECT *, length(piece) >= 40 AND at_ >= least AS got FROM (SELECT *, {STRIP.format("left(win, cut)")} AS piece, at_ + cut AS stop
 FROM (SELECT *, CASE WHEN last THEN length(win) ELSE 680 + coalesce(nullif(length(regexp_extract(right(win, 120), '(?s)^.*[।?!.]')), 0), nullif(length(regexp_extract(right(win, 120), '(?s)^.*[{WHITE}]')), 0), 120) END AS cut
 FROM (SELECT * EXCLUDE (a, e, c, taken, done), substr(t, at_ + 1, 800) AS win, at_ + 800 >= length(t) AS last FROM f WHERE NOT done AND t <> ''))))))),
 c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_no, a::BIGINT AS start, e::BIGINT AS end_, c AS chunk FROM f WHERE taken)"""
+CHUNKS = "RECURSIVE " + CHUNKS_OF.replace("$table", "documents")
 
 
 @query("chunk_spans", f"WITH {CHUNKS} SELECT doc_id, chunk_no, doc_id || '::c' || chunk_no AS chunk_id, start, end_ AS \"end\", chunk FROM c")
@@ -126,14 +133,56 @@ def html_text(spark, d):
     return t(spark, d, "pages").select("page_id", F.sha2(c, 256).alias("sha"), F.length(c).alias("chars"))
 
 
-@query("folder_inspection", "WITH f AS (SELECT source, lang, count(*) AS n, count_if(length(text) < 100) AS bad FROM documents GROUP BY ALL) SELECT source, sum(n)::BIGINT AS files, sum(bad)::BIGINT AS corrupt, string_agg(lang || '=' || n, ',' ORDER BY lang) AS sizes FROM f GROUP BY source")
+def image_files(spark, d):
+    """Files of parts: PNG and JPEG headers of some size, cut short where the number is divisible by 7, plain text by 11."""
+    p = t(spark, d, "part")
+    two = lambda n: F.lpad(F.hex(n), 4, "0")
+    w, h, k = (F.col("p_size") * 16).cast("int"), (F.col("p_size") + 100).cast("int"), F.col("p_partkey")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D494844520000"), two(w), F.lit("0000"), two(h), F.lit("080200000012345678"), F.lit("0000000049454E44AE426082"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB000401C0FFC000110800"), F.substring(two(h), 3, 2), two(w), F.lit("03012200021101031101FFDA0002C0C1FFD9"))
+    code = F.when(k % 2 == 0, png).otherwise(jpeg)
+    cut = F.when(k % 11 == 0, F.hex(F.encode("p_name", "UTF-8"))).when(k % 7 == 0, F.left(code, F.length(code) - 4)).otherwise(code)
+    return p.select("p_brand", F.unhex(cut).alias("content"))
+
+
+@query("folder_inspection", """WITH f AS (SELECT p_brand AS folder, p_partkey % 11 = 0 OR p_partkey % 7 = 0 AS bad, (p_size * 16) || 'x' || (p_size + 100) AS size FROM part), n AS (SELECT folder, size, count(*) AS n FROM f WHERE NOT bad GROUP BY ALL)
+SELECT folder, count(*)::BIGINT AS files, count_if(bad)::BIGINT AS corrupt, (SELECT string_agg(size || '=' || n, ',' ORDER BY size) FROM n WHERE n.folder = f.folder) AS sizes FROM f GROUP BY folder""")
 def folder_inspection(spark, d):
-    """Files, bad files and a histogram for each folder (here source and language)."""
-    got = V.inspected(t(spark, d, "documents"), "source", "lang", F.length("text") < 100)
+    """Files, corrupt files and the sizes of sound ones in each folder (here brands), from the files' bytes."""
+    got = images.inspected(image_files(spark, d), F.col("p_brand"))
     pairs = F.transform(F.map_entries("sizes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return got.withColumn("sizes", F.array_join(pairs, ","))
 
 
+@query("page_tables", """WITH p AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS page FROM lineitem), k AS (SELECT doc, page, CASE WHEN page % 3 = 0 THEN 1 ELSE 0 END AS strategy, CASE WHEN page IN (2, 4) THEN 2 ELSE page END AS same FROM p WHERE page <> 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc, same ORDER BY page) AS n FROM k)
+SELECT doc, page, (row_number() OVER (PARTITION BY doc ORDER BY page) - 1)::INTEGER AS table_no, 2 AS n_rows, same || ':' || strategy AS mark FROM f WHERE n = 1""")
+def page_tables(spark, d):
+    """Tables of pages (lines of orders) by the first strategy that finds any; two pages hold the same one, one has none."""
+    pages = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).distinct()
+    same = F.when(F.col("page").isin(2, 4), 2).otherwise(F.col("page"))
+    row = lambda *cells: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    mark = lambda s: F.concat(same.cast("string"), F.lit(f":{s}"))
+    table = lambda s: F.array(row("a", " b ", "c", "d", "e"), row("", "", "", "", ""), row(mark(s), "1", "2", "3", "4"))
+    small = F.array(row("one", "row"))
+    first = F.when(F.col("page") % 3 == 0, F.array(small)).when(F.col("page") == 5, F.array(small)).otherwise(F.array(small, table(0)))
+    second = F.when(F.col("page") == 5, F.lit(None)).otherwise(F.array(table(1)))
+    found = pages.select("doc", "page", F.explode(F.array(F.struct(F.lit(0).alias("strategy"), first.alias("tables")), F.struct(F.lit(1).alias("strategy"), second.alias("tables")))).alias("x")).select("doc", "page", "x.*")
+    got = page_tables_of(found, "doc")
+    return got.select("doc", "page", "table_no", F.size("cells").alias("n_rows"), F.get(F.get("cells", F.lit(1)), F.lit(0)).alias("mark"))
+
+
+@query("dataset_counts", """WITH l AS (SELECT l_orderkey AS image, (l_linenumber - 1)::INT AS c FROM lineitem), g AS (SELECT image, min(c) AS class_id, count(*) AS lines FROM l WHERE c < 5 GROUP BY image),
+s AS (SELECT image, lines, row_number() OVER (PARTITION BY class_id ORDER BY sha256('42:' || image), image) AS i, count(*) OVER (PARTITION BY class_id) AS n FROM g),
+p AS (SELECT image, lines, CASE WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM s),
+w AS (SELECT coalesce(split, 'none') AS split, count(*) AS wrong FROM l LEFT JOIN p USING (image) WHERE c >= 5 GROUP BY 1)
+SELECT split, coalesce(k.images, 0)::BIGINT AS images, coalesce(k.lines, 0)::BIGINT AS lines, coalesce(wrong, 0)::BIGINT AS wrong FROM (SELECT split, count(*) AS images, sum(lines) AS lines FROM p GROUP BY split) k FULL JOIN w USING (split)""")
+def dataset_counts(spark, d):
+    """A dataset of label lines written by split: images and lines of each, and lines of classes that there aren't."""
+    line = F.concat((F.col("l_linenumber") - 1).cast("string"), F.lit(" 0.5 0.5 0.25 "), F.round("l_discount", 2).cast("string"))
+    return files.write_dataset(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), line.alias("line")), [f"class {i}" for i in range(5)], f"{files.shared_folder(spark)}/dataset-{uuid.uuid4().hex}", 16)
+
+
 SPLIT = """s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
 p AS (SELECT doc_id, lang, CASE WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM s)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
@@ -11,10 +13,13 @@ from tarn.operators import evaluation as E
 from tarn.operators import ingest as I
 from tarn.operators import retrieval as R
 from tarn.operators import routing as N
+from tarn.sources import knowledge
 from tarn.sources.capabilities import Capability
+from tarn.sources.files import shared_folder
 
 from .common import TOKENS, VEC, D, class_of, q, strip_sql, t
 from .guard import ROUTE, TURNS
+from .ingest import CHUNKS_OF, KEPT, SQUEEZED
 from .registry import query
 
 SCRIPT = f"""n AS (SELECT {TURNS}, {strip_sql("coalesce(text, '')")} AS t FROM conversations), c AS (SELECT *, len(regexp_extract_all(t, {q(class_of(X.QUERY_CHARS))})) AS n, len(regexp_extract_all(t, '[{D.BANGLA}]')) AS b, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM n),
@@ -52,16 +57,28 @@ def table_records(spark, d):
     return I.table_records(rows.select("l_orderkey", cells.alias("rows")), "rows")
 
 
-def _ingested(spark, d):
+def _pages(spark, d):
+    """(pages, sources): sources stand for documents, and their texts for pages."""
     docs = t(spark, d, "documents").withColumn("filename", F.col("source")).withColumn("page", F.col("doc_id"))
     pages = docs.join(docs.groupBy("filename").agg(F.substring(F.sha2(F.max("text"), 256), 1, 16).alias("content_hash")), "filename").select("filename", "page", "text", "content_hash")
-    known = pages.select("filename", "content_hash").distinct().where(F.col("filename").endswith("1"))
     sources = docs.select("filename").distinct().where(~F.col("filename").endswith("2")).select(
         "filename", F.upper("filename").alias("title"), F.lit("org").alias("source_org"), F.lit(None).cast("string").alias("source_url"), F.array(F.lit("rice")).alias("crop"))
+    return pages, sources
+
+
+def _ingested(spark, d):
+    pages, sources = _pages(spark, d)
+    known = pages.select("filename", "content_hash").distinct().where(F.col("filename").endswith("1"))
     return I.run(pages, None, sources, known, D.LATIN)
 
 
-@query("ingest_run")
+#: Records of all documents but those that are known: r (filename, page, chunk_id, text, ...).
+RECORDS = f"""RECURSIVE {KEPT}, y AS (SELECT doc_id, source, {SQUEEZED} AS text FROM k), {CHUNKS_OF.replace("$table", "y")},
+r AS (SELECT source AS filename, doc_id AS page, source || '::c' || (row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) - 1) AS chunk_id, chunk AS text, CASE WHEN ends_with(source, '2') THEN source ELSE upper(source) END AS title,
+  CASE WHEN ends_with(source, '2') THEN 'unspecified' ELSE 'org' END AS source_org, 'not recorded' AS source_url, CASE WHEN ends_with(source, '2') THEN '' ELSE 'rice' END AS crop FROM c JOIN documents USING (doc_id))"""
+
+
+@query("ingest_run", f"WITH {RECORDS} SELECT * FROM r WHERE NOT ends_with(filename, '1')")
 def ingest_run(spark, d):
     """Records of all new or changed documents (here a source is a document, and each of its texts a page)."""
     return _ingested(spark, d)[0].select("filename", "page", "chunk_id", "text", "title", "source_org", "source_url", "crop")
@@ -73,6 +90,18 @@ def ingest_manifest(spark, d):
     return _ingested(spark, d)[1].select("filename", "content_hash")
 
 
+@query("ingest_counts", f"""WITH {RECORDS} SELECT count(DISTINCT source)::BIGINT AS documents, (SELECT count(*) FROM r)::BIGINT AS records, 0::BIGINT AS tables, 0::BIGINT AS without_vector, (SELECT sum(length(text)) FROM r)::BIGINT AS chars, 0::BIGINT AS changed,
+(SELECT count(*) FROM r)::BIGINT AS kept FROM documents""")
+def ingest_counts(spark, d):
+    """What a run into a knowledge base counted while it wrote, and that a second run of the same pages changes nothing."""
+    base = knowledge.KnowledgeBase(spark, f"{shared_folder(spark)}/knowledge-{uuid.uuid4().hex}")
+    pages, sources = _pages(spark, d)
+    first = base.run(pages, sources, 0, script=D.LATIN)
+    again = base.run(pages, sources, 1, script=D.LATIN)
+    counts = first | {"changed": again["documents"]}
+    return base.records.current().agg(F.count("*").alias("kept")).select("*", *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
 @query("vector_only", f"WITH {VEC} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM vr JOIN benchmark ON item_id = query_id WHERE rank <= 5 AND {strip_sql('text')} <> ''")
 def vector_only(spark, d):
     """Retrieval with words switched off."""
@@ -107,8 +136,9 @@ TERMS = {"rice": ("src1", "then"), "potato": ("src2", "ering")}
 
 @query("image_contexts", """WITH b AS (SELECT user_id AS image, CASE event_type WHEN 'click' THEN 'rice_blast' WHEN 'view' THEN 'potato_healthy' ELSE 'other' END AS cls FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC,
   CASE event_type WHEN 'click' THEN 'rice_blast' WHEN 'view' THEN 'potato_healthy' ELSE 'other' END) AS n FROM events) WHERE n = 1),
-h AS (SELECT unnest(['rice_blast', 'potato_healthy']) AS cls, unnest(range(0, 8)) AS i), k AS (SELECT cls, unnest(range(0, 8)) AS i FROM (SELECT DISTINCT cls FROM h WHERE cls IS NOT NULL)),
-m AS (SELECT image, doc_id, i + 1 AS rank, source, text, cls FROM b JOIN k USING (cls) JOIN documents ON doc_id = i),
+h AS (SELECT CASE a.vec_id WHEN 0 THEN 'rice_blast' ELSE 'potato_healthy' END AS cls, e.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], e.embedding::DOUBLE[])
+  / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) DESC, e.vec_id) AS rank FROM embeddings a, embeddings e JOIN documents ON doc_id = e.vec_id WHERE a.vec_id IN (0, 1)),
+m AS (SELECT image, doc_id, rank, source, text, cls FROM b JOIN h USING (cls) JOIN documents ON doc_id = i WHERE rank <= 8),
 f AS (SELECT *, CASE WHEN cls = 'rice_blast' THEN contains(source, 'src1') OR contains(source, 'then') ELSE contains(source, 'src2') OR contains(source, 'ering') END AS s,
  CASE WHEN cls = 'rice_blast' THEN contains(lower(text), 'src1') OR contains(lower(text), 'then') OR contains(lower(text), 'rice') ELSE contains(lower(text), 'src2') OR contains(lower(text), 'ering') OR contains(lower(text), 'potato') END AS x FROM m),
 g AS (SELECT *, bool_or(s) OVER (PARTITION BY image) AS ns, bool_or(x) OVER (PARTITION BY image) AS nx FROM f)
@@ -118,7 +148,11 @@ def image_contexts(spark, d):
     cls = F.when(F.col("event_type") == "click", F.lit("rice_blast")).when(F.col("event_type") == "view", F.lit("potato_healthy")).otherwise(F.lit("other"))
     detections = t(spark, d, "events").select(F.col("user_id").alias("image"), cls.alias("class_name"), F.col("value").alias("confidence"))
     docs = t(spark, d, "documents").select("doc_id", "source", "text")
-    hits = docs.where("doc_id < 8").select(F.explode(F.array(F.lit("rice_blast"), F.lit("potato_healthy"))).alias("class_name"), "doc_id", (F.col("doc_id") + 1).alias("rank"))
+    # the vectors of two rows stand for those of the classes' questions
+    vectors = t(spark, d, "embeddings")
+    asked = vectors.where("vec_id in (0, 1)").select(F.when(F.col("vec_id") == 0, F.lit("rice_blast")).otherwise(F.lit("potato_healthy")).alias("query_id"), "embedding")
+    hits = R.vector_top(asked, vectors.join(docs.select("doc_id"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding"), 8)
+    hits = hits.select(F.col("query_id").alias("class_name"), F.col("id").alias("doc_id"), "rank")
     texts = {k: (*v, k) for k, v in TERMS.items()}
     return A.image_contexts(detections, hits, docs, TERMS, texts)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import Settings
 from tarn.functions import text as X
+from tarn.operators import detection as V
 from tarn.operators.ingest import content_hash, upsert
 
 MANIFEST = (
@@ -99,12 +100,44 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def write_manifest(known: DataFrame, done: DataFrame, path: str) -> None:
     """The manifest with new hashes of what was done; written whole to a new ``path``."""
     keep = known.join(done.select("filename"), "filename", "left_anti")
-    keep.unionByName(done.select("filename", "content_hash")).coalesce(1).write.mode("errorifexists").json(path)
+    keep.unionByName(done.select("filename", "content_hash")).write.mode("errorifexists").json(path)
 
 
-def write_labels(lines: DataFrame, path: str) -> None:
-    """Label lines (image, line) as text, a folder for each image."""
-    lines.select("image", F.col("line").alias("value")).write.mode("errorifexists").partitionBy("image").text(path)
+def merged(parts: dict[str, DataFrame], key: str = "image") -> DataFrame:
+    """Datasets as one, with ``dataset`` saying where a row is from; an error if two of them hold the same image."""
+    every = None
+    for name, rows in parts.items():
+        part = rows.withColumn("dataset", F.lit(name))
+        every = part if every is None else every.unionByName(part)
+    twice = every.select(key, "dataset").distinct().groupBy(key).agg(F.sort_array(F.collect_set("dataset")).alias("d")).where(F.size("d") > 1).orderBy(key).limit(5).collect()
+    if twice:
+        raise ValueError("images in several datasets: " + ", ".join(f"{r[key]} ({', '.join(r['d'])})" for r in twice))
+    return every
+
+
+def write_dataset(lines: DataFrame, classes: list[str], path: str, buckets: int = 64, seed: int = 42) -> DataFrame:
+    """Label lines (image, line) as a dataset: checked, split by class and packed; returns (split, images, lines, wrong).
+
+    ``path/labels/split=<s>/bucket=<b>`` has a row (image, body) for each image, so folders are three times ``buckets`` however
+    many images there are; ``path/wrong`` has the lines that say nothing valid, with the reason; ``path/data.yaml`` the
+    description, written last: a dataset without it isn't whole. An image keeps its split when others come, as far as the shares of
+    its class allow: images are ordered by a hash.
+    """
+    spark = lines.sparkSession
+    judged = lines.select("image", "line").withColumn("reason", V.label_line(F.col("line"), len(classes)))
+    good = judged.where("reason = ''")
+    of = V.primary_class(good)
+    placed = V.split(of, "class_id", "image", seed).select("image", "split")
+    body = good.groupBy("image").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    packed = body.join(placed, "image").withColumn("bucket", F.pmod(F.xxhash64("image"), F.lit(buckets)))
+    # a bucket's rows come together first, so that a folder gets a file and not one from each task
+    packed.repartition("split", "bucket").write.mode("errorifexists").partitionBy("split", "bucket").parquet(f"{path}/labels")
+    judged.where("reason <> ''").write.mode("errorifexists").json(f"{path}/wrong")
+    spark.createDataFrame([(dataset_yaml(classes),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/data.yaml")
+    kept = spark.read.parquet(f"{path}/labels").groupBy("split").agg(F.count("*").alias("images"), F.sum(F.size(F.split("body", "\n"))).alias("lines"))
+    wrong = judged.join(placed, "image", "left").where("reason <> ''").groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("wrong"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return kept.join(wrong, "split", "full_outer").select("split", zero("images"), zero("lines"), zero("wrong"))
 
 
 def dataset_yaml(classes: list[str], path: str = ".") -> str:
