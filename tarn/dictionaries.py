@@ -103,6 +103,16 @@ ALLOWED = {"আটা": ("প্যাকেট-সাদা", "প্যাক
 ONLY_WITH = {"রসুন": "দেশী"}
 CURRENT = ("আজ", "আির", "আদর", "র্াজার", "বাজার", "সর্বনিম্ন")
 COMPARED = ("সাথে", "হ্রাস", "বৃদ্ধি", "%", "গি ম", "গি র")
+#: Of those the ones that count where no header names current prices.
+COMPARED_SURELY = ("সাথে", "হ্রাস", "বৃদ্ধি", "%")
+#: Whole cells that are units of pieces or litres, as reports spell them.
+UNIT_CELLS = (
+    "(?:[0-9]+[ \\t]*)?টি",
+    "(?:প্রতি|প্রনি|প্রতিটি|প্রনিটি)[ \\t]*টি",
+    "(?:[0-9]+[ \\t]*)?(?:লি[.]?|লিটার|নিটার|তিটার|রিটার|রিটারি|বেরি)",
+)
+#: Fixed value: the division of questions that name none.
+DEFAULT_DIVISION = "ঢাকা"
 #: (pattern, replacement) that names are repaired by, in this order.
 NAME_REPAIRS = (
     ("^রুই মা(?=[ ]|$)", "রুই মাছ"),

@@ -40,6 +40,8 @@ class Words:
     only_with: dict = field(default_factory=lambda: D.ONLY_WITH)
     current: tuple = D.CURRENT
     compared: tuple = D.COMPARED
+    compared_surely: tuple = D.COMPARED_SURELY
+    unit_cells: tuple = D.UNIT_CELLS
     repairs: tuple = D.NAME_REPAIRS
     corrections: dict = field(default_factory=dict)  # misread phrases, for the caller to supply
     letters: str = "\\u0980-\\u09FF"
@@ -81,7 +83,7 @@ def name_of(c: Column, w: Words = Words()) -> Column:
 def is_unit(c: Column, w: Words = Words()) -> Column:
     """Whether a cell is a unit: it holds a unit's mark, or matches the pattern of one."""
     v = F.lower(M.normalize(c))
-    whole = F.lit(False)
+    whole = M.ascii_digits(v).rlike("^(?:" + "|".join(w.unit_cells) + ")$") if w.unit_cells else F.lit(False)
     for _, pattern in w.units:
         whole = whole | v.rlike(pattern) if isinstance(pattern, str) else whole
     return (v != "") & (M.any_in(v, w.unit_marks) | whole)
@@ -189,8 +191,10 @@ def price_columns(rows: DataFrame, by: list[str], w: Words = Words(), header_row
     cells = head.select(*key, "__r", "report_date", F.posexplode("cells").alias("col", "cell"))
     text = F.lower(M.normalize(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "cell"))), lambda x: x["cell"]), " ")))
     titles = cells.groupBy(*key, "col").agg(text.alias("t"), F.first("report_date").alias("d"))
-    dated = M.date_in(F.col("t"), F.col("d")) & ~M.any_in(F.col("t"), w.compared)
-    found = titles.groupBy(*key).agg(F.coalesce(F.min(F.when(dated & M.any_in(F.col("t"), w.current), F.col("col"))), F.min(F.when(dated, F.col("col")))).alias("head"))
+    dated = M.date_in(F.col("t"), F.col("d"))
+    named = dated & ~M.any_in(F.col("t"), w.compared) & M.any_in(F.col("t"), w.current)
+    likely = dated & ~M.any_in(F.col("t"), w.compared_surely)
+    found = titles.groupBy(*key).agg(F.coalesce(F.min(F.when(named, F.col("col"))), F.min(F.when(likely, F.col("col")))).alias("head"))
     scores = rows.select(*key, F.posexplode("cells").alias("col", "cell")).groupBy(*key, "col").agg(F.count_if(M.is_price_like(F.col("cell"))).cast("int").alias("n"))
     sizes = rows.groupBy(*key).agg(F.count("*").cast("int").alias("size"))
     scores = scores.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "n"))), lambda x: x["n"]).alias("scores"))

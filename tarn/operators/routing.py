@@ -73,10 +73,11 @@ def longest_alias(c: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(v)) for k, v in sorted(aliases.items(), key=lambda x: (-len(x[0]), x[0]))])
 
 
-def canonical(rows: DataFrame, column: str, aliases: DataFrame, to: str = "canonical") -> DataFrame:
-    """Rows with the canonical name of a column's alias; unknown names pass through."""
+def canonical(rows: DataFrame, column: str, aliases: DataFrame, to: str = "canonical", default: str | None = None) -> DataFrame:
+    """Rows with the canonical name of a column's alias; unknown names pass through, none at all is ``default`` if one is given."""
     a = aliases.select(F.lower("alias").alias("__a"), F.col("canonical").alias("__c"))
-    return rows.join(a, F.lower(F.col(column)) == F.col("__a"), "left").withColumn(to, F.coalesce("__c", column)).drop("__a", "__c")
+    name = F.col(column) if default is None else F.coalesce(F.when(F.trim(F.col(column)) != "", F.col(column)), F.lit(default))
+    return rows.join(a, F.lower(name) == F.col("__a"), "left").withColumn(to, F.coalesce("__c", name)).drop("__a", "__c")
 
 
 def scoped(ranked: DataFrame, by_source: Column, by_text: Column, k: int, unscoped: bool = True) -> DataFrame:

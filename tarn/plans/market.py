@@ -13,7 +13,7 @@ from .registry import query
 WORDS = R.Words(
     unit_marks=("kg", "dozen"), units=(("per dozen", ("dozen",)), ("per kg", ("kg",))), noise=("name",), qualifiers=("small", "large"), pulses=(), pulse_names=(),
     own_units={"red": "per piece"}, oils=("rod",), eggs=(), flesh=("gizmo",), by_piece=("ring",), confident=("ring", "bolt", "gear", "gizmo", "widget", "rod", "economy"),
-    roots=("ECONOMY", "SMALL", "hot", "cold"), allowed={}, only_with={}, current=("today",), compared=("change", "%"), repairs=(("[ \\t]+", " "),), letters="A-Za-z",
+    roots=("ECONOMY", "SMALL", "hot", "cold"), allowed={}, only_with={}, current=("today",), compared=("change", "%"), compared_surely=("change", "%"), unit_cells=(), repairs=(("[ \\t]+", " "),), letters="A-Za-z",
     marks="\\u0300-\\u036F", litre="per litre", kilogram="per kg", piece="per piece", known_units=("per dozen", "per kg", "per piece"),
 )
 DAY = "2024-01-02"

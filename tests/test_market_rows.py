@@ -88,3 +88,30 @@ def test_cache(spark):
     assert [r["k"] for r in store.collect()] == ["b"], "only available results are stored"
     answers, store = R.through_cache(asked, cache, "k", compute, now, 48, force=True)
     assert {r["came_from"] for r in answers.collect()} == {"report"} and store.count() == 0
+
+
+def test_whole_cells_that_are_units(spark):
+    cells = ["১ লি", "লি.", "2 লিটার", "রিটারি", "৫ টি", "টি", "প্রতি টি", "প্রতিটি টি", "লিচু", "টিন", "12", ""]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r["u"] for r in df.select("i", R.is_unit(F.col("c")).alias("u")).orderBy("i").collect()]
+    assert got == [True] * 8 + [False] * 4
+
+
+def test_second_choice_of_price_columns_counts_fewer_words(spark):
+    """A dated header with one of the doubtful words is no current price, but is taken where no header is."""
+    from datetime import date
+
+    rows = [("d", 0, 0, date(2026, 8, 19), ["পণ্য", "19/08/2026 গি ম", "19/08/2026 %"]), ("d", 0, 1, date(2026, 8, 19), ["x", "10 - 20", "5"]), ("d", 0, 2, date(2026, 8, 19), ["y", "30 - 40", "5"])]
+    rows += [("e", 0, 0, date(2026, 8, 19), ["পণ্য", "19/08/2026 গি ম", "19/08/2026 বাজার"]), ("e", 0, 1, date(2026, 8, 19), ["x", "10 - 20", "1 - 2"]), ("e", 0, 2, date(2026, 8, 19), ["y", "30 - 40", "3 - 4"])]
+    df = spark.createDataFrame(rows, "division string, table_no int, row_no int, report_date date, cells array<string>")
+    got = {(r["division"], r["row_no"]): r["lo"] for r in R.priced_rows(df, ["division", "report_date"]).collect() if r["lo"] is not None}
+    assert got["d", 1] == 10 and got["e", 1] == 1
+
+
+def test_names_without_a_division_take_the_default(spark):
+    from tarn.operators import routing
+
+    aliases = spark.createDataFrame([("dhaka", "ঢাকা"), ("ঢাকা", "ঢাকা")], "alias string, canonical string")
+    df = spark.createDataFrame([(1, "Dhaka"), (2, None), (3, " "), (4, "Khulna")], "i int, d string")
+    named = lambda **o: {r["i"]: r["canonical"] for r in routing.canonical(df, "d", aliases, **o).collect()}
+    assert named(default="ঢাকা") == {1: "ঢাকা", 2: "ঢাকা", 3: "ঢাকা", 4: "Khulna"} and named()[2] is None

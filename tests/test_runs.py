@@ -21,22 +21,71 @@ def test_long_turns(spark):
     assert [tuple(r) for r in got] == [(False, False, False), (True, False, True), (False, True, True), (True, False, True), (False, False, False), (False, True, True), (False, False, False)]
 
 
-def test_requests_are_tried_again(spark):
-    waits, calls = [], []
-
-    def get(url):
-        calls.append(url)
-        if len(calls) < 3 or "never" in url:
-            raise OSError("busy")
-        return b"page"
-
-    call = http.fetching(get, 3, 1.0, 1.5, sleep=waits.append).load()
-    assert call(["a"]) == [b"page"] and waits == [1.0, 1.5]
-    with pytest.raises(OSError):
-        call(["never"])
-    with pytest.raises(OSError):
-        http.fetching(get, 3, permanent=lambda e: True, sleep=waits.append).load()(["never"])
-    assert len(waits) == 4
+def site():
+    """A client that knows two pages, a busy one and a broken one."""
+
+    def load():
+        from tarn.sources.http import Answered
+
+        def get(url):
+            if url == "http://gone":
+                raise Answered(404)
+            if url == "http://busy":
+                raise Answered(503, "come back later")
+            if url == "http://slow":
+                raise TimeoutError("timed out")
+            if url == "nonsense":
+                raise ValueError("no scheme")
+            return b"page of " + url.encode()
+
+        return get
+
+    return load
+
+
+def test_requests_by_rounds(spark, tmp_path):
+    urls = ["http://a", "http://b", "http://gone", "http://busy", "http://slow", "nonsense", None, ""]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    waits = []
+    answers = http.fetched(rows, "url", site(), rounds=3, first_wait=1.0, most_wait=1.5, sleep=waits.append)
+    got = {r["i"]: (r["status"], r["content"] and bytes(r["content"]), r["error"], r["tries"]) for r in answers.collect()}
+    assert waits == [1.0, 1.5]
+    assert got == {
+        0: (200, b"page of http://a", None, 1), 1: (200, b"page of http://b", None, 1), 2: (404, None, "status 404", 1), 3: (503, None, "come back later", 3),
+        4: (None, None, "TimeoutError: timed out", 3), 5: (None, None, "ValueError: no scheme", 1), 6: (None, None, "no address", 1), 7: (None, None, "no address", 1),
+    }
+    http.recorded(answers, f"{tmp_path}/snapshot")
+    again = {r["i"]: (r["status"], r["error"]) for r in http.replayed(rows, "url", f"{tmp_path}/snapshot").collect()}
+    assert again[0] == (200, None) and again[2] == (None, "not in the snapshot") and len(again) == len(urls)
+
+
+def test_rounds_end_when_nothing_is_left(spark):
+    waits = []
+    rows = spark.createDataFrame([("http://a",)], "url string")
+    assert http.fetched(rows, "url", site(), sleep=waits.append).first()["tries"] == 1 and waits == []
+    assert http.fetched(rows.where("false"), "url", site(), sleep=waits.append).count() == 0
+
+
+def test_places_are_geocoded(spark):
+    from tarn.sources import weather
+
+    places = {"barishal sadar": (22.7, 90.37, "BD"), "berlin": (52.5, 13.4, "DE"), "somewhere": (24.0, 90.0, None)}
+    geocoder = C.Capability("geocoding", lambda: lambda xs: [places.get(x) for x in xs], weather.FOUND)
+    service = C.Capability("weather", lambda: lambda xs: [(round(x["lat"]), "clear", 60, False) for x in xs], weather.OBSERVATION)
+    known = spark.createDataFrame([("dhaka", 23.8, 90.4)], "alias string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "Dhaka"), (2, " Barishal Sadar "), (3, "Berlin"), (4, "Somewhere"), (5, "nowhere"), (6, None), (7, "barishal sadar")], "i int, place string")
+    got = {r["i"]: (r["weather"] and r["weather"]["temperature_c"], r["error"]) for r in weather.lookup(asked, "place", known, service, geocoder).collect()}
+    lost = (None, "no such place")
+    assert got == {1: (24.0, None), 2: (23.0, None), 3: lost, 4: (24.0, None), 5: lost, 6: lost, 7: (23.0, None)}
+
+
+def test_queries_of_a_run(spark):
+    from tarn.operators import evaluation
+
+    df = spark.createDataFrame([(f"q{i}",) for i in (3, 1, 2, 5, 4)], "id string")
+    ids = lambda **o: [r["id"] for r in evaluation.selected(df, **o).orderBy("id").collect()]
+    assert ids() == ["q1", "q2", "q3", "q4", "q5"] and ids(limit=2) == ["q1", "q2"] and ids(limit=0) == []
+    assert ids(ids=["q5", "q3", "none"]) == ["q3", "q5"] and ids(ids=["q5", "q3", "q4"], limit=2) == ["q3", "q4"] and ids(ids=[]) == []
 
 
 def test_replies():
