@@ -3,8 +3,9 @@
 Every document is measured and held against the rules. The failures are then summed by host, each host's failure rate
 is shrunk towards the rate of all hosts by a beta prior that is fitted to the hosts themselves, and the host's verdict
 is joined back. A host is bad if its posterior lies clearly above the prior's mean, good if clearly below, else like most.
-A document goes if it fails a hard rule. If it fails soft rules, the host decides how many are too many: one on a bad host,
-two on a host like most, none is on a good host. So a document that fails no rule always stays.
+A document goes if it fails a hard rule. A soft rule failed is a point, and two if it is missed by more than twice its limit;
+the host decides how many points are too many: one on a bad host, two on a host like most, none is on a good host. So a
+document that fails no rule always stays.
 
 Edge cases: a null or empty text has no words (it fails the word-count rule); documents without a host form one group
 of their own, as null; an empty table gives an empty result; repeated rows each count and each return a row. Only the
@@ -92,16 +93,16 @@ def document_measures(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
 
 def with_failures(measures: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds base_failed (a hard rule), n_soft (how many soft ones) and rule_failed (any rule)."""
+    """Adds base_failed (a hard rule), n_soft (points of soft ones) and rule_failed (any rule)."""
     n = F.col("n_words")
     low, high = rules.mean_word_chars
     base = (n < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat_share * n)
-    soft = [
-        F.col("n_symbols") > rules.max_symbols_per_word * n,
-        F.col("n_dup_lines") > rules.max_dup_line_share * F.col("n_lines"),
-        (F.col("word_chars") < low * n) | (F.col("word_chars") > high * n),
+    soft = lambda k: [
+        F.col("n_symbols") > k * rules.max_symbols_per_word * n,
+        F.col("n_dup_lines") > k * rules.max_dup_line_share * F.col("n_lines"),
+        (F.col("word_chars") < low / k * n) | (F.col("word_chars") > k * high * n),
     ]
-    failed = measures.withColumn("base_failed", base).withColumn("n_soft", sum(x.cast("int") for x in soft))
+    failed = measures.withColumn("base_failed", base).withColumn("n_soft", sum(x.cast("int") for x in [*soft(1), *soft(2)]))
     return failed.withColumn("rule_failed", base | (F.col("n_soft") > 0))
 
 
@@ -190,7 +191,8 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed,
-  (n_symbols > 0.1 * n_words)::INT + (n_dup_lines > 0.4 * n_lines)::INT + (word_chars < 2.5 * n_words OR word_chars > 12 * n_words)::INT AS n_soft FROM m),
+  (n_symbols > 0.1 * n_words)::INT + (n_dup_lines > 0.4 * n_lines)::INT + (word_chars < 2.5 * n_words OR word_chars > 12 * n_words)::INT
+  + (n_symbols > 0.2 * n_words)::INT + (n_dup_lines > 0.8 * n_lines)::INT + (word_chars < 1.25 * n_words OR word_chars > 24 * n_words)::INT AS n_soft FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed OR n_soft > 0)::DOUBLE AS bad FROM f GROUP BY source),
 a AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS inv FROM h),
 p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 1), 1e4) AS weight FROM a),

@@ -806,7 +806,7 @@ def test_sql(spark):
 def test_bad_hosts(spark):
     """Soft failures are forgiven on hosts better than most; few documents don't make a host bad."""
     good = " ".join(f"word{i}" for i in range(60))
-    noisy = good + " #" * 20
+    noisy = good + " #" * 10
     rows = [(i, noisy, "bad") for i in range(30)] + [(100 + i, good, "fine") for i in range(30)] + [(200, noisy, "fine"), (201, noisy, "tiny"), (202, good, "bad")]
     rows += [(300 + i, good, "fine") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -816,9 +816,9 @@ def test_bad_hosts(spark):
 
 
 def test_hosts_decide(spark):
-    """One failed soft rule goes on a bad host, two on a host like most, none on a good one."""
+    """One point of soft rules is too much on a bad host, two on a host like most, none on a good one."""
     fine = " ".join(f"word{i}" for i in range(60))
-    symbols, both = fine + " #" * 20, " ".join(f"word{i} longer than any word of a sentence".replace(" ", "-") for i in range(60)) + " #" * 20
+    symbols, both = fine + " #" * 10, fine + " #" * 20
     rows = []
     for h in range(40):
         bad = {0: 36, 1: 0}.get(h, 6)  # of 40 documents; the others' rates lie about 6 of 40
