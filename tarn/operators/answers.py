@@ -11,6 +11,7 @@ from tarn.functions import text as X
 from tarn.operators import retrieval as R
 from tarn.operators import routing as N
 from tarn.sources.capabilities import Capability, apply
+from tarn.sources.files import stored
 
 
 def compact(c: Column, most: int = 850) -> Column:
@@ -29,11 +30,19 @@ def prepared(queries: DataFrame, id_col: str, text_col: str, s: Settings = Setti
     )
 
 
-def contexts(questions: DataFrame, docs: DataFrame, source: str, s: Settings = Settings(), first: int = 3) -> DataFrame:
-    """(query_id, context, citations) of the questions that need retrieval; suspicious documents are no context."""
+def contexts(questions: DataFrame, docs: DataFrame, source: str, s: Settings = Settings(), first: int = 3, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, context, citations) of the questions that need retrieval; suspicious documents are no context.
+
+    By words, or by words and ``vectors`` fused: those of questions (query_id, embedding) and of documents (vec_id, embedding).
+    """
     asked = questions.where("needs_rag").select(F.col("query_id").alias("item_id"), F.col("query").alias("text"))
     safe = docs.where(X.injection(F.col("text")).isNull())
-    hits = R.bm25(asked, safe, s).where(F.col("rank") <= first)
+    hits = R.bm25(asked, safe, s)
+    if vectors is not None:
+        near = vectors[1].join(safe.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        mine = vectors[0].join(questions.where("needs_rag").select("query_id"), "query_id", "left_semi")
+        hits = R.fuse(R.vector_top(mine, near, s.pool), hits, first, s.rrf_k)
+    hits = hits.where(F.col("rank") <= first).select("query_id", "doc_id", "rank")
     body = safe.select("doc_id", F.col(source).alias("source"), compact(F.col("text")).alias("cut"))
     rows = hits.join(body, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "cut"))).alias("h"))
     line = lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["source"], F.lit(": "), x["cut"])
@@ -48,14 +57,13 @@ def price_answer(prices: DataFrame, labels: dict[str, str] = D.CROP_LABELS) -> D
     return once.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("price_answer"))
 
 
-def answered(questions: DataFrame, context: DataFrame, prices: DataFrame | None, model: Capability = Capability("language model"), none: str = "No information.") -> DataFrame:
+def answered(questions: DataFrame, context: DataFrame, prices: DataFrame | None, model: Capability = Capability("language model"), none: str = "No information.", concise: str = "Answer in three to five short sentences, and finish the last one.") -> DataFrame:
     """Questions with answer and method.
 
     Price-only questions never meet the model; those that do are filtered first, as Spark evaluates Python for all rows.
-    Where the model has no answer, or a looping or cut-off one, the first context line stands in.
+    A reply that was cut off is asked for once more, with ``concise`` after the question. Where the model then has no
+    answer, or a looping or cut-off one, the first context line stands in.
     """
-    from tarn.operators.degenerate import flagged
-
     q = questions.join(context, "query_id", "left")
     q = q.join(prices, "query_id", "left") if prices is not None else q.withColumn("price_answer", F.lit(None).cast("string"))
     short = F.col("price_answer").isNotNull() & ~F.col("needs_rag") & ~F.col("needs_weather")
@@ -66,14 +74,26 @@ def answered(questions: DataFrame, context: DataFrame, prices: DataFrame | None,
         full = rest.select("query_id", fallback.alias("answer"), F.lit("fallback").alias("method"))
         return _guarded(cheap.unionByName(full))
     prompt = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), "query")
-    told = apply(rest.withColumn("prompt", prompt), "prompt", model, "reply")
-    bad = flagged(told.select(F.col("query_id"), F.col("reply")), "query_id", "reply").withColumnRenamed("doc_id", "query_id")
-    told = told.join(bad, "query_id", "left")
-    good = F.col("reply").isNotNull() & ~F.coalesce("degenerate", F.lit(False)) & ~X.looks_incomplete(F.col("reply"))
-    full = told.select("query_id", F.when(good, F.col("reply")).otherwise(fallback).alias("answer"), F.when(good, F.lit("model")).otherwise(F.lit("fallback")).alias("method"))
+    told = _replies(rest.select("query_id", fallback.alias("fallback"), prompt.alias("prompt")), model)
+    again = told.where("cut").select("query_id", "fallback", F.concat("prompt", F.lit("\n\n" + concise)).alias("prompt"))
+    told = told.where("not cut").withColumn("by", F.lit("model")).unionByName(_replies(again, model).withColumn("by", F.lit("retry")))
+    full = told.select("query_id", F.when(F.col("good"), F.col("reply")).otherwise(F.col("fallback")).alias("answer"), F.when(F.col("good"), F.col("by")).otherwise(F.lit("fallback")).alias("method"))
     return _guarded(cheap.unionByName(full))
 
 
+def _replies(rows: DataFrame, model: Capability) -> DataFrame:
+    """Rows (query_id, fallback, prompt) with reply, whether it is good, and whether it was cut off; written, so that no model is
+    asked twice for the same."""
+    from tarn.operators.degenerate import flagged
+
+    told = stored(apply(rows, "prompt", model, "reply"))
+    bad = flagged(told.select("query_id", "reply"), "query_id", "reply").withColumnRenamed("doc_id", "query_id")
+    met = told.join(bad, "query_id", "left")
+    short = F.coalesce(X.looks_incomplete(F.col("reply")), F.lit(False)) | F.coalesce(F.col("reply_error").rlike("(?i)truncat|token.?limit|max.?tokens|length"), F.lit(False))
+    good = F.col("reply").isNotNull() & ~F.coalesce("degenerate", F.lit(False)) & ~short
+    return met.select("query_id", "fallback", "prompt", "reply", good.alias("good"), short.alias("cut"))
+
+
 def _guarded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("answer", X.strip_sources(X.strip_garbage(F.col("answer"))))
 
