@@ -83,6 +83,7 @@ PULSES = ("ডাল", "মসুর ডাল", "মুগ ডাল")
 PULSE_NAMES = ("মসুর", "মুগ", "মাষকলাই", "কেসারি")
 OWN_UNITS = {"লাউ": "প্রতিটি", "চালকুমড়া": "প্রতিটি"}
 OILS = ("সয়াবিন তেল", "পাম তেল", "সরিষার তেল", "তেল (", "তেল-")
+#: Eggs are asked for before flesh, so the two lists are apart.
 EGGS = ("ডিম",)
 FLESH = ("মাছ", "রুই", "কাতলা", "পাঙ্গাস", "তেলাপিয়া", "ইলিশ", "মুরগি", "মোরগ", "গরু", "ছাগল", "মাংস", "মোংস")
 BY_PIECE = ("কলা", "লাউ", "চালকুমড়া")
@@ -101,6 +102,7 @@ ROOTS = (
 ALLOWED = {"আটা": ("প্যাকেট-সাদা", "প্যাকেট", "খোলা"), "রসুন": ("দেশী", "দেশি")}
 #: A name that begins with the first is kept only with the second.
 ONLY_WITH = {"রসুন": "দেশী"}
+#: Words of headers that name current prices, and of those that compare.
 CURRENT = ("আজ", "আির", "আদর", "র্াজার", "বাজার", "সর্বনিম্ন")
 COMPARED = ("সাথে", "হ্রাস", "বৃদ্ধি", "%", "গি ম", "গি র")
 #: Of those the ones that count where no header names current prices.
@@ -113,7 +115,7 @@ UNIT_CELLS = (
 )
 #: Fixed value: the division of questions that name none.
 DEFAULT_DIVISION = "ঢাকা"
-#: (pattern, replacement) that names are repaired by, in this order.
+#: Fixed values: (pattern, replacement) that names are repaired by, in this order.
 NAME_REPAIRS = (
     ("^রুই মা(?=[ ]|$)", "রুই মাছ"),
     ("[ \\t]+", " "),
@@ -126,11 +128,12 @@ NAME_REPAIRS = (
     (" */ *", " / "),
     ("([\\u0980-\\u09FF)])(?=[0-9])", "$1 "),
 )
+#: Names of crops.
 CROP_LABELS = {
     "potato": "আলু", "onion": "পেঁয়াজ", "masur dal": "মসুর ডাল", "tomato": "টমেটো", "garlic": "রসুন", "ginger": "আদা",
     "green chili": "কাঁচা মরিচ", "rice": "চাল",
 }
-#: class -> (crop, name, query)
+#: Class -> (crop, name, query), and what stands for unknown classes.
 CLASSES = {
     "rice_brown_spot": ("ধান", "বাদামী দাগ রোগ", "ধানের বাদামী দাগ রোগ প্রতিকার"),
     "rice_leaf_scald": ("ধান", "পাতা ঝলসানো রোগ (লিফ স্কাল্ড)", "ধানের পাতা ঝলসানো রোগ প্রতিকার"),
@@ -148,3 +151,6 @@ NO_CLASS = ("অজানা", "সনাক্ত করা যায়নি"
 #: A script's characters, and Latin with the accents of western Europe.
 BANGLA = "ঀ-৿"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: What services say of replies that were cut off, and the marks that whole replies end with.
+CUT_OFF = ("LENGTH", "MAX_TOKENS", "MAXTOKENS", "TOKEN_LIMIT")
+CLOSING_MARKS = ".!?।॥:;)]}»”\"'’"

@@ -10,6 +10,7 @@ from tarn import dictionaries as D
 TOKEN = f"[{D.BANGLA}a-zA-Z0-9]+"
 SPACE = "[ \\t\\n\\x0B\\f\\r\\u00A0]"
 SPACES = "[ \\t\\u00A0]+"
+#: A line that is a number, and the characters that shares of a script leave out.
 BARE_NUMBER = "^[ \\t০-৯0-9|.\\-–]{1,10}$"
 #: Characters that a script's share is taken of.
 LINE_CHARS = "[^ \\t\\n\\x0B\\f\\r\\p{Nd}.,;:()\\-|/]"
@@ -73,8 +74,10 @@ _NUM = "[0-9০-৯]+(?:[.,][0-9০-৯]+)?"
 _CUR = "(?:৳|[Tt][Kk]\\.?|[Bb][Dd][Tt])?"
 _PART = "[0-9০-৯]{1,4}"
 NUMERIC = f"^(?:{_PART}[./\\\\–—‑-]{_PART}[./\\\\–—‑-]{_PART}|{_CUR}{_NUM}|{_CUR}{_NUM}[–—‑-]{_CUR}{_NUM})$"
+#: Marks around a token.
 MARKS = ".,;:!?()[]{}<>\"'“”‘’*"
 _MARK_CLASS = "[.,;:!?()\\[\\]{}<>\"'“”‘’*]+"
+#: Fixed value: letters and vowel signs of the script.
 LETTER = "[\\u0985-\\u09B9\\u09BE-\\u09CC\\u09CE\\u09D7\\u09DC-\\u09DF]"
 
 
@@ -106,7 +109,7 @@ def strip_garbage(c: Column) -> Column:
     return F.when(has_garbage(c) & (F.regexp_replace(cleaned, "[ \\n]", "") != ""), cleaned).otherwise(c)
 
 
-#: What strip_sources removes, in this order; the first cuts the rest of the text off.
+#: What strip_sources removes, in this order; the first cuts the rest of the text off.
 SOURCE_BLOCK = "(?is)\\n[ \\t\\n]*(?:---[ \\t]*SOURCES[ \\t]*---|Sources?[ \\t]*/?[ \\t]*তথ্যসূত্র|তথ্যসূত্র|উৎস(?:সমূহ)?[ \\t]*:?)[ \\t]*\\n?.*$"
 SOURCE_INLINE = (
     "(?i)[ \\t\\n]*\\((?:[^()\\n]{0,140}(?:\\.pdf|পৃষ্ঠা|page)[^()\\n]{0,80})\\)",

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn import dictionaries as D
+
 
 @dataclass(frozen=True)
 class Capability:
@@ -79,7 +81,7 @@ def hashed_embedding(dim: int = 64) -> Capability:
 
 def stopped_short(reason: str | None) -> bool:
     """Whether a service's reason for stopping says that the reply was cut off."""
-    return any(x in str(reason or "").upper() for x in ("LENGTH", "MAX_TOKENS", "MAXTOKENS", "TOKEN_LIMIT"))
+    return any(x in str(reason or "").upper() for x in D.CUT_OFF)
 
 
 def sound_reply(text: str | None, as_json: bool = False, least_words: int = 18) -> bool:
@@ -89,7 +91,7 @@ def sound_reply(text: str | None, as_json: bool = False, least_words: int = 18)
     text = (text or "").strip()
     if as_json or not text:
         return bool(text)
-    return not loops(text) and (len(text.split()) < least_words or text[-1] in ".!?।॥:;)]}»”\"'’")
+    return not loops(text) and (len(text.split()) < least_words or text[-1] in D.CLOSING_MARKS)
 
 
 def first_of(name: str, providers: list[Capability], sound: Callable[[str | None], bool] = sound_reply) -> Capability:
