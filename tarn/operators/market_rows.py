@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn import dictionaries as D
 from tarn.functions import market as M
+from tarn.sources.files import stored
 
 from . import reports as P
 from .many_words import occurring
@@ -235,7 +236,11 @@ def market_items(rows: DataFrame, by: list[str], w: Words = Words()) -> DataFram
 
     A row without a unit of its own has that of the last shown row above it in its table, before the product's family decides.
     """
-    shown = priced_rows(rows, by, w).where(~F.col("unclear"))
+    return _items(priced_rows(rows, by, w), by, w)
+
+
+def _items(priced: DataFrame, by: list[str], w: Words) -> DataFrame:
+    shown = priced.where(~F.col("unclear"))
     own = F.when(F.col("unit_cell") != "", F.col("unit_cell"))
     above = Window.partitionBy(*by, "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     shown = shown.withColumn("unit", unit_of(F.col("product"), F.coalesce(F.last(own, ignorenulls=True).over(above), F.lit("")), w))
@@ -248,7 +253,10 @@ def market_items(rows: DataFrame, by: list[str], w: Words = Words()) -> DataFram
 
 def omitted_counts(rows: DataFrame, by: list[str], w: Words = Words()) -> DataFrame:
     """(by, omitted): priced rows of each report that aren't shown, as their product is unclear."""
-    p = priced_rows(rows, by, w)
+    return _omitted(priced_rows(rows, by, w), by, w)
+
+
+def _omitted(p: DataFrame, by: list[str], w: Words) -> DataFrame:
     left_out = is_omitted(F.col("cells"), F.col("price_at"), F.col("product"), w) | ((F.col("product") != "") & F.col("unclear"))
     return p.groupBy(*by).agg(F.count_if(left_out).alias("omitted"))
 
@@ -265,7 +273,8 @@ def market_prices(rows: DataFrame, division: str, as_of: Column, w: Words = Word
     """All products of each division's last report, with the number of rows that it leaves out."""
     last = latest_reports(rows, division, as_of, max_age_days)
     by = [division, "report_date"]
-    return market_items(last, by, w).join(omitted_counts(last, by, w), by)
+    priced = stored(priced_rows(last, by, w))  # read twice
+    return _items(priced, by, w).join(_omitted(priced, by, w), by)
 
 
 def crop_prices(rows: DataFrame, division: str, crops: DataFrame, as_of: Column, w: Words = Words(), max_age_days: int = 0) -> DataFrame:
