@@ -793,7 +793,7 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, DATA)
