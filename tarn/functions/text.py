@@ -18,7 +18,7 @@ QUERY_CHARS = "[^ \\t\\n\\x0B\\f\\r\\p{Nd}.,;:()\\-!?]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def tokens(c: Column) -> Column:
