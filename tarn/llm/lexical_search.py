@@ -45,14 +45,14 @@ from .words import Cells, mixed, text_bytes, words
 STEP = 4096
 _DIMENSIONS = 32
 #: So many documents go to Python at once.
-_ROWS = 256
+_ROWS = 512
 
 
 @dataclass(frozen=True)
 class Layout:
     """Documents in a shard and in a block, queries in a block of queries, shards of the first search."""
 
-    shard: int = 512
+    shard: int = 1024
     block: int = 64
     queries: int = 256
     pilot: int = 8
