@@ -91,3 +91,29 @@ def test_bounds_hold_and_spare_chunks(spark):
 def test_term_counts(spark):
     d = spark.createDataFrame([("a b a",), ("a",), (None,), ("",)], "text string")
     assert sorted(map(tuple, L.term_counts(d, "text").collect())) == [("a", 2, 3), ("b", 1, 1)]
+
+
+def test_many_queries_by_blocks_equal_every_score(spark):
+    """Chunks and blocks of a few rows; queries without known terms, equal scores, and weights below 0."""
+    docs, queries = corpus(300, 2)
+    docs += [(300, None), (301, ""), (302, "w1 w1 w1"), (303, "w1 w1 w1")]
+    queries += [(200, "nowhere"), (201, ""), (202, None), (203, "w1 w59 w1")]
+    below = [(i, "a b c" if i < 9 else "d") for i in range(12)], [(1, "a"), (2, "a d"), (3, "d")]
+    for docs, queries in ((docs, queries), below, ([(1, "a b"), (2, "c")], [(1, "c a"), (2, "z")])):
+        d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "item_id long, text string")
+        assert rows(L.bm25_of_many(q, d, S.pool, S, rows=16, block=3)) == brute(queries, docs)
+    assert L.bm25_of_many(q, d.where("false"), 5, S).count() == 0 and L.bm25_of_many(q.where("false"), d, 5, S).count() == 0
+
+
+def test_many_queries_meet_chunks_without_a_shuffle(spark, monkeypatch):
+    """What is written before the last ranking grows with queries and documents, not with their pairs."""
+    written = []
+    keep = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, **k: written.append(keep(df, **k)) or written[-1])
+    # many documents are copies, so that scores are often equal
+    docs = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 12))) for i in range(400)]
+    queries = [(i, f"w{i % 97} w{i % 89} w{i % 7}") for i in range(200)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(queries, "item_id long, text string")
+    L.bm25_of_many(q, d, 3, S, rows=20, block=50).count()
+    # 20 chunks: 4000 pairs of queries and chunks, 3 documents of each
+    assert max(w.count() for w in written) < 200 * 20
