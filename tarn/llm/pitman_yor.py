@@ -47,11 +47,13 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 #: Documents and bytes of a batch; a document's place in its batch fits 15 bits.
 BATCH, BATCH_BYTES = 1024, 4 << 20
 #: Bytes that are split into tokens at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Blocks of tokens are so much smaller than a shuffle partition, as a sampler holds its block several times over.
 BLOCKS_PER_PARTITION = 4
 #: Batches whose sums a task holds before it sends them on.
 HELD = 250
+#: Rows of texts, blocks and sums that a worker is given at once.
+ARROW_ROWS = 16
 #: Cells with more customers draw their tables by the saddle point.
 EXACT = 64
 
@@ -244,7 +246,7 @@ def _totals(chosen: DataFrame, share: int) -> tuple[Hot, int]:
         yield pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([0, 0]), pa.array([0, 0]), pa.array([total, train])], names=["kind", "key", "word", "n"])
 
     found = chosen.select("text", "held_out").mapInArrow(batches, "kind long, key long, word long, n long")
-    sums = saved(found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
+    sums = saved(found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word")), ARROW_ROWS)
     count = {r["kind"]: r["n"] for r in sums.where("kind > 2").collect()}  # two rows
     # at most 2 * share of each kind
     hot = sums.where((F.col("kind") <= 2) & (F.col("n") * 2 * share >= count.get(3, 0))).toPandas()
@@ -323,6 +325,7 @@ def _deal(chosen: DataFrame, hot: Hot, buckets: int) -> DataFrame:
             dealt[split] = place
             bucket = _range(dealt[order], buckets)
             tokens, ctx, doc = tokens[order], ctx[order], doc[order]
+            del order, dealt, keep, which  # a batch's arrays are some of the largest that a worker holds
             first, last = _run_bounds(bucket, tokens, ctx)
             n = last - first
             c = np.add.reduceat((doc >> 15).astype(np.int64), first) if len(first) else n
@@ -392,7 +395,7 @@ def _blocks(dealt: DataFrame) -> DataFrame:
 
     made = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(batches, arrow_schema)
     name = f"tarn_blocks_{uuid.uuid4().hex}"
-    with tidy(spark, arrow_rows=64):
+    with tidy(spark, arrow_rows=ARROW_ROWS):
         made.write.bucketBy(n, "bucket").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -578,9 +581,14 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
         def totals(of, rows):
             opened = [_sums_of(blob) for _, blob in rows]
             n = [len(x[0]) for x in opened]
-            ctx, c, t = (np.concatenate(x) for x in zip(*opened))
-            distinct, at = np.unique(ctx, return_inverse=True)
-            c, t = (np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64)[at] for x in (c, t))
+            distinct, at = np.unique(np.concatenate([x[0] for x in opened]), return_inverse=True)
+
+            def total(x):
+                sums = np.bincount(at, weights=np.concatenate(x), minlength=len(distinct))
+                return sums.astype(np.uint32 if not len(sums) or sums.max() < 1 << 32 else np.int64)[at]
+
+            # one after the other: a range's arrays are the largest that a worker holds
+            c, t = (total([x[i] for x in opened]) for i in (1, 2))
             ends = np.cumsum(n)
             out = [(of, bucket, _pack(c=c[e - k : e], t=t[e - k : e]), None, None) for (bucket, _), k, e in zip(rows, n, ends)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
@@ -601,7 +609,7 @@ def _pass(blocks: DataFrame, met: DataFrame | None, hot: Hot, state: State, mode
 
     base = blocks.where("bucket >= 0").select("bucket", "cells")
     parts = (base.join(met, "bucket") if salt else base).mapInArrow(batches, PARTS)
-    totals = saved(parts.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(added, PARTS))
+    totals = saved(parts.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(added, PARTS), ARROW_ROWS)
     got = totals.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # 7 and two a hot token
     sums = dict(zip(got["key"].to_numpy(np.int64).tolist(), got["n"].tolist()))
     r = {name: sums.get(-1 - i, 0.0) for i, name in enumerate(_SUMS)}
@@ -627,7 +635,7 @@ def _sums_blob(ctxs: np.ndarray, c: np.ndarray, t: np.ndarray) -> bytes:
 def _sums_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = blob[0]
     k = (len(blob) - 1) // (5 + 2 * width)
-    c, t = (np.frombuffer(blob, f"u{width}", k, 1 + (5 + i * width) * k).astype(np.uint64) for i in (0, 1))
+    c, t = (np.frombuffer(blob, f"u{width}", k, 1 + (5 + i * width) * k) for i in (0, 1))
     return _ctx_array(blob[1:], k), c, t
 
 
@@ -726,7 +734,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     headers = blocks.where("bucket < 0")
     partial = joined.select("bucket", "cells", "places", "met").mapInArrow(cold_scores, _Sums.SCHEMA)
     partial = partial.unionByName(headers.select("batch", "places").mapInArrow(hot_scores, _Sums.SCHEMA))
-    gathered = headers.select("batch", "ids", "held", "tokens").unionByName(partial, allowMissingColumns=True)
+    # written here, so that blocks go to Python a few at a time
+    gathered = headers.select("batch", "ids", "held", "tokens").unionByName(saved(partial, ARROW_ROWS), allowMissingColumns=True)
 
     def combined(t: pa.Table) -> pa.Table:
         ids = held = sizes = None

@@ -981,3 +981,16 @@ def test_pipeline_edges(spark, odd):
         assert {r["doc_id"] for r in rows} == want
         assert not docs.where("text LIKE '%abcdefgh%'").count()
         check_sequences(rows)
+
+
+def test_tokens_need_little_memory(monkeypatch):
+    """Words of a batch's texts are hashed a piece at a time: what is held besides the tokens is a few times a piece."""
+    import tracemalloc
+
+    monkeypatch.setattr(pitman_yor, "_powers", [np.ones(1, np.uint64)] * 2)
+    texts = ["lorem ipsum dolor sit amet " * 40_000] * 4
+    tracemalloc.start()
+    tokens, sizes = pitman_yor._tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.tolist() == [200_001] * 4 and peak < 60e6
