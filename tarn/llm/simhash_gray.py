@@ -11,8 +11,9 @@ Groups that grow beyond ``group_rows`` fingerprints are dealt again by further b
 argument holds there), so no group has to fit one task. A group returns a forest of its links, never all its pairs;
 components are joined by alternating star contractions on tables, with the lineage cut at every round.
 
-The pipeline's stage (``near_copies``) asks for similar sets of shingles, which no number of fingerprints finds for sure:
-its candidates share one of their rarest shingles (prefix filter), which every pair of the similarity does.
+The pipeline's stage (``near_copies``) begins with the links of fingerprints by this index, and checks them on whole sets of
+shingles. It asks for all similar sets, which no number of fingerprints finds for sure: so texts that share one of their
+rarest shingles (prefix filter), which every pair of the similarity does, follow as further candidates.
 """
 
 from __future__ import annotations
@@ -371,10 +372,22 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return with_y.where((either == 0) | (both / either >= similarity)).select("a", "b")
 
 
+def fingerprint_links(texts: DataFrame, width: int = 3, d: int = 2) -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` (node, text) whose fingerprints are equal, or within ``d`` bits by the Gray-order
+    index; a < b."""
+    fp = saved(fingerprints(texts, "node", "text", width).distinct())
+    ids = saved(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    equal = fp.join(ids, "fp").where("doc_id <> least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b"))
+    found = links(ids.select("fp"), d)
+    of = lambda c: ids.select(F.col("fp").alias(c), F.col("least_id").alias(f"{c}_id"))
+    near = found.join(of("a"), "a").join(of("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return saved(equal.unionByName(near))
+
+
 def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of this similarity; ``texts`` has node and text.
 
-    Texts that share a shingle of their prefixes are a group. First each group's least node is checked against the others.
+    Links of fingerprints come first, settled on the whole sets like all others. Texts that share a shingle of their prefixes are a group. First each group's least node is checked against the others.
     What these links don't join is then checked pair by pair: every pair of a group that lies in two components and whose
     sizes, places and parity maps allow the similarity.
     """
@@ -384,7 +397,8 @@ def near_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     first = saved(first.select("s", F.col("p.node").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.place").alias("p_place")))
     met = saved(rows.join(first, "s").where("node <> pivot").distinct())
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    checked = saved(met.where(_may(similarity, "", "p_")).withColumn("other", F.col("pivot")).select(*pair).distinct())
+    pivots = met.where(_may(similarity, "", "p_")).withColumn("other", F.col("pivot")).select(*pair)
+    checked = saved(pivots.unionByName(fingerprint_links(texts)).distinct())
     found = saved(_alike(checked, texts, width, similarity))
     maps = both.where("s is null").dropDuplicates(["node"]).select("node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY_WORDS)])
     # a few of the pairs join most of what belongs together, so that the last turn, which leaves none out, has few to check

@@ -994,3 +994,17 @@ def test_tokens_need_little_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sizes.tolist() == [200_001] * 4 and peak < 60e6
+
+
+def test_pipeline_keeps_by_fingerprints_of_the_gray_index(spark, monkeypatch):
+    """The pipeline's stage gets its first candidates from the index over fingerprints, and checks them."""
+    body = [f"w{i}" for i in range(300)]
+    texts = [" ".join(body), " ".join(body) + " end", " ".join(body[::-1]), "short one", "Short  one", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, links = [], simhash_gray.links
+    monkeypatch.setattr(simhash_gray, "links", lambda fp, *a, **k: seen.append({r["fp"] for r in fp.collect()}) or links(fp, *a, **k))
+    kept = sorted(r["doc_id"] for r in simhash_gray.keep_one(docs).collect())
+    want = {np.uint64(simhash_gray.fingerprint(simhash_gray.hashes(simhash_gray.shingles(t, 3)))).astype(np.int64) for t in texts}
+    assert seen == [want] and kept == [0, 2, 3, 5]
+    pairs = simhash_gray.fingerprint_links(docs.select(docs["doc_id"].alias("node"), "text")).collect()
+    assert (3, 4) in {(r["a"], r["b"]) for r in pairs}
