@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import market as M
+from tarn.sources.files import stored, tasks_of
 
 
 def page_tables(found: DataFrame, document: str, page: str = "page", strategy: str = "strategy", tables: str = "tables", least_rows: int = 2, least_cells: int = 5) -> DataFrame:
@@ -20,10 +21,17 @@ def page_tables(found: DataFrame, document: str, page: str = "page", strategy: s
     rows = lambda t: F.filter(F.transform(t, lambda r: F.transform(r, value)), lambda r: F.exists(r, lambda c: c != ""))
     shaped = lambda t: (F.size(t) >= least_rows) & F.exists(t, lambda r: F.size(r) >= least_cells)
     good = F.filter(F.transform(F.coalesce(tables, F.array().cast(found.schema[tables].dataType)), rows), shaped)
+    prints = F.transform("__tables", lambda t: F.sha2(F.to_json(t), 256)).alias("__prints")
     some = found.select(document, page, strategy, good.alias("__tables")).where(F.size("__tables") > 0)
-    first = some.groupBy(document, page).agg(F.min_by("__tables", strategy).alias("__tables"))
-    each = first.select(document, page, F.posexplode("__tables").alias("__at", "cells")).withColumn("__print", F.sha2(F.to_json("cells"), 256))
-    once = each.groupBy(document, "__print").agg(F.min_by(F.struct(page, "__at", "cells"), F.struct(page, "__at")).alias("x"))
+    # cells are written once; what is sorted are rows' numbers and fingerprints, which are short
+    some = stored(some.select("*", F.monotonically_increasing_id().alias("__row"), prints))
+    n = tasks_of(some)
+    narrow = some.select(document, page, strategy, "__row", "__prints").repartition(n, document)
+    first = narrow.groupBy(document, page).agg(F.min_by(F.struct("__row", "__prints"), strategy).alias("x"))
+    each = first.select(document, page, "x.__row", F.posexplode("x.__prints").alias("__at", "__print"))
+    once = each.groupBy(document, "__print").agg(F.min_by(F.struct(page, "__at", "__row"), F.struct(page, "__at")).alias("x"))
     # a document's tables, by places alone
-    place = once.select(document, "__print", f"x.{page}", "x.__at").withColumn("table_no", F.row_number().over(Window.partitionBy(document).orderBy(page, "__at")) - 1)
-    return place.join(once.select(document, "__print", "x.cells"), [document, "__print"]).select(document, page, "table_no", "cells")
+    place = once.select(document, f"x.{page}", "x.__at", "x.__row").withColumn("table_no", F.row_number().over(Window.partitionBy(document).orderBy(page, "__at")) - 1)
+    # the places become the table that is looked up, so that rows with cells pass by it unsorted
+    met = some.select("__row", "__tables").repartition(n, "__row").join(place.repartition(n, "__row").hint("shuffle_hash"), "__row")
+    return met.select(document, page, "table_no", F.get("__tables", F.col("__at")).alias("cells"))

@@ -73,6 +73,20 @@ def test_tables_by_the_first_strategy_that_finds_any(spark):
     assert P.page_tables(df.where("false"), "doc").count() == 0
 
 
+def test_rows_with_cells_are_not_sorted(spark):
+    rows = [("d", i, 0, [[[f"{i}", "b", "c", "d", "e"], ["1", "2", "3", "4", "5"]]]) for i in range(20)]
+    got = P.page_tables(spark.createDataFrame(rows, "doc string, page int, strategy int, tables array<array<array<string>>>"), "doc")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not [x for x in plan.splitlines() if "Sort" in x and ("__tables" in x or "cells" in x)]
+    assert sorted((r["page"], r["table_no"], r["cells"][0][0]) for r in got.collect()) == [(i, i, f"{i}") for i in range(20)]
+
+
+def test_tasks_grow_with_rows_to_a_limit(spark):
+    rows = spark.range(1000)
+    assert [files.tasks_of(rows, n) for n in (1000, 100, 1)] == [4, 10, 200]
+
+
 # datasets
 
 
