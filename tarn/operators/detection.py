@@ -46,9 +46,12 @@ def split(rows: DataFrame, by: str, key: str, seed: int = 42, train: float = 0.8
 
 def label_line(c: Column, classes: int) -> Column:
     """The reason why a label line (class and box) is wrong, or an empty string."""
+    one = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731 - value is worked out once
     parts = F.filter(F.split(F.trim(c), " +"), lambda x: x != "")
-    numbers = F.transform(F.slice(parts, 2, 4), lambda x: x.try_cast("double"))
-    k = F.get(parts, 0).try_cast("int")
+    return one(parts, lambda p: one(F.transform(F.slice(p, 2, 4), lambda x: x.try_cast("double")), lambda numbers: _reason(p, numbers, F.get(p, 0).try_cast("int"), classes)))
+
+
+def _reason(parts: Column, numbers: Column, k: Column, classes: int) -> Column:
     return (
         F.when(F.size(parts) != 5, F.concat(F.lit("expected 5 fields, got "), F.size(parts).cast("string")))
         .when(k.isNull() | F.exists(numbers, lambda x: x.isNull()), F.lit("non-numeric field"))

@@ -90,6 +90,18 @@ def test_tasks_grow_with_rows_to_a_limit(spark):
 # datasets
 
 
+def test_label_lines_are_read_and_judged_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def line(i):
+        seen.add(1)
+        return f"{i % 4} 0.5 0.5 1.0 1.0"
+
+    rows = spark.range(40).select(F.concat(F.lit("img"), (F.col("id") % 20).cast("string")).alias("image"), F.udf(line)("id").alias("line"))
+    got = files.write_dataset(rows, ["a", "b", "c"], f"{tmp_path}/d", buckets=2).agg(F.sum("images"), F.sum("lines"), F.sum("wrong")).first()
+    assert (*got, seen.value) == (15, 30, 10, 40)
+
+
 def test_dataset_in_bounded_folders(spark, tmp_path):
     lines = [(f"img{i}", f"{i % 3} 0.5 0.5 1.0 1.0") for i in range(300)] + [("img0", "2 0.1 0.1 0.1 0.1"), ("img1", "7 0.5 0.5 1 1"), ("bad", "x 0 0 0 0")]
     df = spark.createDataFrame(lines, "image string, line string")
