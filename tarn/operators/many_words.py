@@ -6,12 +6,15 @@ batches, and only what was found becomes rows. So neither the number of words no
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most words and characters of one automaton: some hundred megabytes in each task.
 MOST_WORDS, MOST_CHARS = 2_000_000, 40_000_000
+#: Texts that are Python objects at once, with what is found in them.
+_TEXTS = 64
 _BUILT: dict[int, object] = {}
 
 
@@ -38,24 +41,36 @@ def _collected(words: DataFrame, word: str) -> list[str]:
     return sorted(r["w"] for r in chosen.collect())
 
 
+def _found(texts: pa.Array, words: list[str], automaton) -> pa.Array:
+    """What ``places`` returns for a batch of texts."""
+    which, at, ends = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [0]
+    for lo in range(0, len(texts), _TEXTS):
+        held: list[dict[int, int]] = []
+        for t in texts.slice(lo, _TEXTS).to_pylist():
+            first: dict[int, int] = {}
+            for end, (i, n) in automaton.iter(t or "") if automaton else ():
+                first.setdefault(i, end - n + 1)
+            held.append(first)
+            ends.append(ends[-1] + len(first))
+        n = ends[-1] - ends[-1 - len(held)]
+        # numbers of four bytes, not objects, wait for the end of the batch
+        which.append(np.fromiter((i for f in held for i in f), np.int32, n))
+        at.append(np.fromiter((x for f in held for x in f.values()), np.int32, n))
+    which, at = np.concatenate(which), np.concatenate(at)
+    distinct, code = np.unique(which, return_inverse=True)
+    names = pa.array([words[i] for i in distinct.tolist()], pa.string()).take(pa.array(code, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(at)], names=["word", "at"]))
+
+
 def places(text: Column, words: list[str], spark) -> Column:
     """An array of (word, at): each word of the list that stands in the lower-cased text, with its first place (from 0)."""
     shared = spark.sparkContext.broadcast(words)
 
-    def find(s):
-        if not words:
-            return s.map(lambda t: [])
-        a = _automaton(shared)
-        out = []
-        for t in s:
-            first: dict[int, int] = {}
-            for end, (i, n) in a.iter(t or ""):
-                first.setdefault(i, end - n + 1)
-            out.append([{"word": words[i], "at": at} for i, at in first.items()])
-        return pd.Series(out, index=s.index)
+    def find(texts: pa.Array) -> pa.Array:
+        return _found(texts, shared.value, _automaton(shared) if shared.value else None)
 
-    find.__annotations__ = {"s": pd.Series, "return": pd.Series}  # real types: this module's annotations are strings
-    return F.pandas_udf(find, "array<struct<word:string,at:int>>")(F.lower(text))
+    find.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # real types: this module's annotations are strings
+    return F.arrow_udf(find, "array<struct<word:string,at:int>>")(F.lower(text))
 
 
 def occurring(rows: DataFrame, text: Column, words: DataFrame, word: str) -> DataFrame:

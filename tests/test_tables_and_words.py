@@ -92,6 +92,26 @@ def test_occurring_gives_each_word_once_with_its_place(spark):
     assert W.occurring(rows, F.col("body"), words.where("false"), "word").count() == 0
 
 
+def test_a_batch_of_many_hits_stays_small_in_python():
+    import tracemalloc
+
+    import ahocorasick
+    import pyarrow as pa
+
+    words = [f"word{i:03d}" for i in range(300)]
+    automaton = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        automaton.add_word(w, (i, len(w)))
+    automaton.make_automaton()
+    texts = pa.array([" ".join(words), None] * 1000)
+    tracemalloc.start()
+    found = W._found(texts, words, automaton)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and len(found[1]) == 0 and found[1998].as_py() == [{"word": w, "at": 8 * i} for i, w in enumerate(words)]
+    assert peak < 20_000_000  # 300,000 hits
+
+
 def test_too_many_words_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(W, "MOST_WORDS", 2)
     words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
