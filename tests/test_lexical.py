@@ -117,3 +117,17 @@ def test_many_queries_meet_chunks_without_a_shuffle(spark, monkeypatch):
     L.bm25_of_many(q, d, 3, S, rows=20, block=50).count()
     # 20 chunks: 4000 pairs of queries and chunks, 3 documents of each
     assert max(w.count() for w in written) < 200 * 20
+
+
+def test_counts_of_terms_are_handed_on_before_they_are_many(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "_TERMS", 10, raising=False)
+    texts = [f"a{i} b{i} c{i} common" for i in range(100)] + [None, ""]
+    got = list(L._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])] * 2)))
+    assert len(got) > 50 and max(b.num_rows for b in got) < 14
+    sums = Counter()
+    for b in got:
+        for r in b.to_pylist():
+            sums[r["term"]] += r["cf"]
+    assert len(sums) == 301 and sums["common"] == 200 and sums["a7"] == 2
