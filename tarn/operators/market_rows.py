@@ -223,8 +223,10 @@ def price_columns(rows: DataFrame, by: list[str], w: Words = Words(), header_row
 
 def priced_rows(rows: DataFrame, by: list[str], w: Words = Words()) -> DataFrame:
     """Rows with a readable price: lo, hi, product (unclear or not), category, and the unit of their own cell (unit_cell)."""
-    rows = clean_rows(rows)
+    rows = stored(clean_rows(rows))  # read four times
     met = rows.join(price_columns(rows, by, w), [*by, "table_no"])
+    # dealt by rows: there are few tables, and rows pack so well that Spark would read them all in one task
+    met = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "table_no", "row_no")
     met = _settled(met, price=M.parse_price(F.get("cells", F.col("price_at")))).where("price is not null")
     met = with_product(met, "cells", "price_at", w)
     met = _settled(met, lo=F.col("price.lo"), hi=F.col("price.hi"), unit_cell=row_unit(F.col("cells"), F.col("price_at"), w), unclear=is_ambiguous(F.col("product"), w))

@@ -115,3 +115,15 @@ def test_names_without_a_division_take_the_default(spark):
     df = spark.createDataFrame([(1, "Dhaka"), (2, None), (3, " "), (4, "Khulna")], "i int, d string")
     named = lambda **o: {r["i"]: r["canonical"] for r in routing.canonical(df, "d", aliases, **o).collect()}
     assert named(default="ঢাকা") == {1: "ঢাকা", 2: "ঢাকা", 3: "ঢাকা", 4: "Khulna"} and named()[2] is None
+
+
+def test_priced_rows_of_one_table_are_dealt_to_all_tasks(spark):
+    from datetime import date
+
+    from tarn.operators.market_rows import priced_rows
+
+    cells = [["no", "kind", "name", "kg", "2/1/2024", "change %"], *[[str(i), "kind", f"name {i}", "kg", f"{i} - {i + 1}", "5 %"] for i in range(1, 60)]]
+    rows = spark.createDataFrame([("a", date(2024, 1, 2), 0, i, c) for i, c in enumerate(cells)], "division string, report_date date, table_no int, row_no long, cells array<string>")
+    got = priced_rows(rows, ["division", "report_date"])
+    per_task = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert sum(per_task) == got.count() >= 59 and len(per_task) == 4
