@@ -131,3 +131,17 @@ def test_counts_of_terms_are_handed_on_before_they_are_many(monkeypatch):
         for r in b.to_pylist():
             sums[r["term"]] += r["cf"]
     assert len(sums) == 301 and sums["common"] == 200 and sums["a7"] == 2
+
+
+def test_texts_of_an_index_become_objects_a_few_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} " + "word " * 4_000 for i in range(256)])
+    tracemalloc.start()
+    term, tf, sizes, dl = L._counts_of(texts, L.Hashes())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(term) == sizes.sum() == 512 and tf.sum() == dl.sum() == 256 * 4_001
+    assert peak < 3_000_000  # the texts are 5 MB
