@@ -84,6 +84,40 @@ def test_cache_takes_no_request_without_key_or_time(spark, tmp_path):
     assert [(r[2], r[3]) for r in got] == [("unavailable", 3), ("miss", 4), ("expired", None)]
 
 
+def test_state_of_the_cache_is_by_buckets(spark, tmp_path):
+    """Writes to state are bounded by buckets, not by keys; rows are the same with any number of buckets."""
+    rows = [(f"k{i % 1500}", START + dt.timedelta(seconds=5 * i), i, i % 3 > 0, None, f"r{i}") for i in range(3000)]
+    spark.createDataFrame(rows, REQUEST).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = []
+    for buckets in ({}, {"buckets": 3}):
+        at = f"{tmp_path}/{len(got)}"
+        with cache.keyed_state(spark):
+            made = cache.cached(S.read(spark, f"{tmp_path}/in", spark.createDataFrame([], REQUEST).schema), TTL, **buckets)
+            q = made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        puts = sum(o["customMetrics"]["rocksdbPutCount"] for p in q.recentProgress for o in p["stateOperators"])
+        assert 0 < puts < 20 * buckets.get("buckets", 256)  # a state of each key took 12 for each of 1,500 keys
+        got.append(sorted([tuple(r) for r in spark.read.parquet(f"{at}/out").collect()], key=str))
+    assert got[0] == got[1] == replay(rows, rows[-1][1] - dt.timedelta(minutes=10))
+
+
+def test_cache_in_another_time_zone(spark, tmp_path):
+    rows = requests(60)
+    want = feed(spark, [rows], f"{tmp_path}/utc")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Dhaka")
+    try:
+        # the same times and days as they are read there
+        shifted = lambda t: t and t + dt.timedelta(hours=6)
+        with cache.keyed_state(spark):
+            moved = S.read(spark, f"{tmp_path}/utc/in", spark.createDataFrame([], REQUEST).schema).withColumn("ts", F.col("ts") - F.expr("interval 6 hours"))
+            S.run_once(cache.cached(moved, TTL), f"{tmp_path}/dhaka", f"{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/dhaka").collect()]
+    assert sorted([(k, shifted(m), *rest, shifted(s)) for k, m, *rest, s in got], key=str) == want
+
+
 DOC = "name string, text string, at int, gone boolean"
 
 
