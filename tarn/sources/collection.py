@@ -27,6 +27,8 @@ from tarn.sources.versions import Versions
 
 #: Vectors in a packed record, and queries that meet it at once.
 PACK, BLOCK = 1024, 256
+#: Bytes of packed records that go to Python at once.
+ARROW_BYTES = 8 << 20
 #: Scores have six digits; what two of them can differ by is less than this.
 SLACK = 2e-6
 
@@ -36,6 +38,11 @@ def matrix(v) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut into such of at most ``rows``: what is made of them isn't held for a whole one."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -108,9 +115,9 @@ class Collection:
         centroids, cosine = self.spark.sparkContext.broadcast(self.centroids()), self.metric == "cosine"
 
         def batches(it):
-            for b in it:
+            for b in slices(it, PACK):
                 x = matrix(b.column("v"))
-                d = squares(unit(x) if cosine else x, centroids.value) if len(x) else np.empty((0, 1))
+                d = squares(unit(x) if cosine else x, centroids.value)
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(d)), cell]))], names=["id", "v", "cell", "away"])
 
@@ -120,30 +127,30 @@ class Collection:
         """Members by cell, dealt by ranges of (cell, away), so that a large cell spreads over tasks and its records are shells."""
 
         def batches(it):
-            def record(cell, ids, v, away):
-                return [cell, ids, v.tobytes(), away.tobytes(), len(ids), float(away.min()), float(away.max())]
+            held, cell = [], None  # (ids, vectors, distances) of one cell, less than a record of them
 
-            held, cell = [], None  # (ids, vectors, distances) of one cell
-
-            def flush():
+            def record():
                 ids, v, away = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-                rows = [record(cell, ids[i : i + PACK].to_pylist(), v[i : i + PACK], away[i : i + PACK]) for i in range(0, len(ids), PACK)]
-                cols = list(zip(*rows))
-                kinds = [pa.int32(), pa.list_(ids.type), pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64()]
                 held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["cell", "ids", "vectors", "away", "n", "least", "most"])
+                ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                cols = [pa.array([cell], pa.int32()), ids, pa.array([v.tobytes()], pa.binary()), pa.array([away.tobytes()], pa.binary()), pa.array([len(v)], pa.int32()), pa.array([away.min()]), pa.array([away.max()])]
+                return pa.RecordBatch.from_arrays(cols, names=["cell", "ids", "vectors", "away", "n", "least", "most"])
 
             for b in it:
                 cells = b.column("cell").to_numpy()
                 cut = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)] if len(cells) else []
                 for a, e in zip(cut, cut[1:]):
-                    if held and (cells[a] != cell or sum(len(h[0]) for h in held) >= 8 * PACK):
-                        yield flush()
+                    if held and cells[a] != cell:
+                        yield record()
                     cell = int(cells[a])
-                    part = b.slice(a, e - a)
-                    held.append((part.column("id"), matrix(part.column("v")), part.column("away").to_numpy()))
+                    while a < e:
+                        part = b.slice(a, min(e - a, PACK - sum(len(h[0]) for h in held)))
+                        held.append((part.column("id"), matrix(part.column("v")), part.column("away").to_numpy()))
+                        a += part.num_rows
+                        if sum(len(h[0]) for h in held) == PACK:
+                            yield record()
             if held:
-                yield flush()
+                yield record()
 
         dealt = members.repartitionByRange("cell", "away").sortWithinPartitions("cell", "away")
         return dealt.mapInArrow(batches, f"cell int, ids array<{self.id_type}>, vectors binary, away binary, n int, least double, most double")
@@ -176,7 +183,7 @@ class Collection:
         holding = old.select("cell", F.explode("ids").alias("id")).join(ids, "id", "left_semi").select("cell").distinct()
         touched = stored(holding.unionByName(new.select("cell")).distinct())
         stay = self._members(old.join(touched, "cell", "left_semi")).join(ids, "id", "left_anti")
-        packed = stored(self._packed(stay.unionByName(new)))
+        packed = stored(self._packed(stay.unionByName(new)), arrow_bytes=ARROW_BYTES)
         full = packed.select("cell").distinct()
         changed = full.withColumn("content_hash", F.lit(None).cast("string"))
         self.cells.write(version, changed, packed, before.join(touched, "cell", "left_semi").select("cell").join(full, "cell", "left_anti"))
@@ -201,8 +208,8 @@ class Collection:
 
         def batches(it):
             cells, n, least, most, c = data.value
-            for b in it:
-                if not len(cells) or not b.num_rows:
+            for b in slices(it, BLOCK):  # a query comes out once for each cell
+                if not len(cells):
                     continue
                 x = matrix(b.column("v"))
                 away = np.sqrt(squares(unit(x) if cosine else x, c))
@@ -265,7 +272,7 @@ class Collection:
         asked = stored(queries.where(self._usable(vector)).select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"), near.alias("near")))
         parts = max(1, -(-asked.count() // BLOCK))
         first = self._bounds(asked, k, False)
-        begun = stored(top(self._scored(first, k, parts), ["query_id"], [F.desc("score"), F.asc("id")], k))
+        begun = stored(top(self._scored(first, k, parts), ["query_id"], [F.desc("score"), F.asc("id")], k), arrow_bytes=ARROW_BYTES)
         last = begun.where(F.col("rank") == k).select("query_id", to_square(F.col("score")).alias("__near"))
         closer = asked.join(last, "query_id", "left").select("query_id", "v", F.least("near", "__near").alias("near"))
         return first, self._bounds(stored(closer), k, True), begun.drop("rank"), parts
@@ -276,4 +283,4 @@ class Collection:
         found = begun.unionByName(self._scored(rest, k, parts))
         if least is not None:
             found = found.where(F.col("score") >= least)
-        return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+        return stored(top(found, ["query_id"], [F.desc("score"), F.asc("id")], k), arrow_bytes=ARROW_BYTES)

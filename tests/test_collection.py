@@ -1,9 +1,11 @@
 """A stored collection of vectors against exact search, through upserts and deletes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tarn.operators import retrieval as R
-from tarn.sources.collection import Collection, fitted
+from tarn.sources.collection import BLOCK, PACK, Collection, fitted, slices
+from tarn.sources.files import stored
 
 
 def clustered(n, seed=1, dim=8, groups=12, spread=0.05):
@@ -73,3 +75,25 @@ def test_centroids_follow_the_sample():
     c = fitted(x, 12)
     assert c.shape == (12, 8) and np.sqrt(((x[:, None] - c[None]) ** 2).sum(2).min(1)).mean() < 0.2
     assert len(fitted(x[:3], 12)) == 3
+
+
+def test_what_python_holds_is_bounded(spark, tmp_path):
+    """Batches are cut, records are full but for the last of a cell, and blobs go to Python by bytes; results stay exact."""
+    batches = [pa.record_batch({"i": list(range(n))}) for n in (0, 5, 3)]
+    assert [b.column("i").to_pylist() for b in slices(batches, 2)] == [[0, 1], [2, 3], [4], [0, 1], [2]]
+    data = clustered(2 * PACK + 100, groups=2)
+    made = Collection.create(frame(spark, data).coalesce(1), f"{tmp_path}/c", cells=1)
+    sizes = [r["n"] for r in made.cells.current().collect()]
+    assert sum(sizes) == len(data) and max(sizes) <= PACK and sum(n < PACK for n in sizes) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = frame(spark, data[: 2 * BLOCK + 10], "query_id").coalesce(1)
+    assert rows(made.search(queries, 3)) == rows(R.vector_top(queries, frame(spark, data), 3))
+
+    def seen(it):
+        for b in it:
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    blobs = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 100000) as v")
+    assert max(r["n"] for r in stored(blobs.mapInArrow(seen, "n long"), arrow_bytes=1 << 20).collect()) <= 12
+    assert spark.conf.get(name) == before
