@@ -61,6 +61,20 @@ def test_chunks_are_full_and_a_task_hands_on_the_best(spark, monkeypatch, metric
     assert written[-1].count() <= 300 * 5 * partitions * 1.1  # some scores are equal
 
 
+@pytest.mark.parametrize("metric, least", [("cosine", 0.9), ("l2sq", 0.5)])
+def test_tasks_hand_on_what_has_the_least_score(spark, monkeypatch, metric, least):
+    monkeypatch.setattr(R, "_ROWS", 100)
+    written = written_by(monkeypatch)
+    x = np.random.default_rng(6).normal(size=(1000, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in R.vector_top(queries, rows, 10, metric, least=least).collect())
+    want = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in R.vector_top(queries, rows, 10, metric).collect() if r["score"] >= least)
+    assert got == want and len(got) < 400
+    found = written[2]  # after chunks and blocks
+    assert found.count() and found.where(f"score < {least}").count() == 0
+
+
 def test_chunks_of_wide_vectors_have_fewer_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "_BYTES", 64 * 1024)
     written = written_by(monkeypatch)
