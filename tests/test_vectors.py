@@ -107,6 +107,21 @@ def test_odd_vectors_equal_sql(spark, monkeypatch, tmp_path, name, rows):
     assert got == want and any(r[3] == "nan" for r in got) == (name != "vector_topk_l2")
 
 
+@pytest.mark.parametrize("far", [1_000, 3_000_000])
+def test_far_vectors_equal_sql(spark, monkeypatch, tmp_path, far):
+    """Scores of very large size, where rounding moves by more than the sixth digit, and many equal ones."""
+    monkeypatch.setattr(R, "_ROWS", 64)
+    written = written_by(monkeypatch)
+    x = np.random.default_rng(7).integers(-2, 3, (600, 3)) * far
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT query_id, rank, id, score FROM ({registry.ORACLES['vector_topk_l2']})").fetchall())
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in registry.QUERIES["vector_topk_l2"](spark, str(tmp_path)).collect())
+    assert got == want and min(g[3] for g in got) < -far
+    assert max(len(r["ids"]) for r in written[0].collect()) == 64
+
+
 def test_no_rows_and_no_queries(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
     queries = rows.withColumnRenamed("vec_id", "query_id")
